@@ -12,7 +12,7 @@ GROUP_SEPARATOR = "\u202f"
 def display_number(column: Column, digits: int = 2) -> Column:
     """At most ``digits`` decimals, decimal comma, narrow space between thousands."""
     pattern = "#,##0" + ("." + "#" * digits if digits else "")
-    text = F.format_number(F.round(column.cast("double"), digits), pattern)
+    text = F.call_function("format_number", F.round(column.cast("double"), digits), F.lit(pattern))
     localised = F.translate(text, ",.", GROUP_SEPARATOR + ",")
     return F.when(column.isNull() | F.isnan(column.cast("double")), MISSING).otherwise(localised)
 

@@ -108,8 +108,8 @@ def like_any(columns: list[str], query: str | None) -> Column:
     query = (query or "").strip()
     if not query:
         return F.lit(True)
-    pattern = f"%{query}%".replace("\\", "\\\\")
+    pattern = F.lit(f"%{query}%".lower().replace("\\", "\\\\"))
     return reduce(
         lambda a, b: a | b,
-        [F.lower(F.coalesce(F.col(c), F.lit(""))).like(F.lower(F.lit(pattern))) for c in columns],
+        [F.like(F.lower(F.coalesce(F.col(c), F.lit(""))), pattern) for c in columns],
     )
