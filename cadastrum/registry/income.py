@@ -8,6 +8,7 @@ from cadastrum import catalogue as cat
 from cadastrum.functions import round_even
 from cadastrum.operators.quantiles import weighted_mean_of, weighted_median, with_table_weight
 from cadastrum.plans import income as plan
+from cadastrum.plans.layers import income_layers, materialise
 from cadastrum.registry import standins
 from cadastrum.registry.base import query, table
 from cadastrum.registry.standins import INCOME_SQL, OBSERVATIONS_SQL, with_views
@@ -95,16 +96,18 @@ def gold(spark, sf_dir):
 
 
 def communes(spark, sf_dir):
-    return gold(spark, sf_dir).where(F.col("geography_level") == "commune")
+    rows = materialise(gold(spark, sf_dir), "income-gold")
+    return rows.where(F.col("geography_level") == "commune")
 
 
-def department_rows(spark, sf_dir):
-    return plan.departments(gold(spark, sf_dir))
+def layers(spark, sf_dir):
+    """Gold communes and departments, each written once for the steps after it."""
+    return income_layers(gold(spark, sf_dir))
 
 
 def all_gold(spark, sf_dir):
-    rows = gold(spark, sf_dir)
-    return rows.where(F.col("geography_level") == "commune").unionByName(plan.departments(rows))
+    commune_rows, department_rows = layers(spark, sf_dir)
+    return commune_rows.unionByName(department_rows)
 
 
 def _rounded(rows, *columns):
@@ -236,7 +239,7 @@ def harmonised_only(spark, sf_dir):
 def series_exclusive(spark, sf_dir):
     """Official rows first; deriving 2017 again replaces its official rows."""
     path = scratch_path(spark, "department-series")
-    rows = gold(spark, sf_dir)
+    rows = materialise(gold(spark, sf_dir), "income-gold")
     sinks.write_series(rows.where(F.col("geography_level") == "department"), path, "official")
     again = rows.where((F.col("geography_level") == "commune") & F.col("year").isin(2017, 2018))
     sinks.write_series(plan.derive_departments(again), path, "derived")
@@ -327,8 +330,7 @@ decile_summary AS (
     with_views("SELECT * FROM decile_summary", INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, DECILE_SQL),
 )
 def decile_fallback(spark, sf_dir):
-    rows = gold(spark, sf_dir)
-    return plan.decile_summary(rows.where(F.col("geography_level") == "commune"), plan.departments(rows))
+    return plan.decile_summary(*layers(spark, sf_dir))
 
 
 SUMMARY_SQL = """
@@ -352,8 +354,7 @@ year_summary AS (
     with_views("SELECT * FROM year_summary", INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, DECILE_SQL, SUMMARY_SQL),
 )
 def income_year_summary(spark, sf_dir):
-    rows = gold(spark, sf_dir)
-    return plan.year_summary(rows.where(F.col("geography_level") == "commune"), plan.departments(rows))
+    return plan.year_summary(*layers(spark, sf_dir))
 
 
 def _level_sql() -> str:
