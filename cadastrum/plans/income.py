@@ -422,7 +422,10 @@ def summary_table(communes: DataFrame, department_rows: DataFrame, generated_at:
 def summary_collection(summaries: DataFrame, generated_at: str) -> DataFrame:
     """All yearly summaries in one row: years, latest year, map year -> summary."""
     body = F.struct(*[c for c in summaries.columns if c != "year"])
-    entries = F.array_sort(F.collect_list(F.struct(F.col("year").cast("string").alias("key"), body.alias("value"))))
+    entries = F.array_sort(
+        F.collect_list(F.struct(F.col("year").cast("string").alias("key"), body.alias("value"))),
+        lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+    )
     return summaries.agg(
         F.array_sort(F.collect_set("year")).alias("available_years"),
         F.max("year").alias("latest_year"),
@@ -504,7 +507,9 @@ def availability_document(rows: DataFrame) -> DataFrame:
     """Nested JSON: year -> level -> indicator -> entry."""
     entry = F.struct("available", "coverage", "official", "indicator_source", "comparable_with_previous_years")
     by_level = rows.groupBy("year", "level").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("indicator").alias("k"), entry.alias("v"))))).alias("v")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("indicator").alias("k"), entry.alias("v"))))).alias(
+            "v"
+        )
     )
     by_year = by_level.groupBy("year").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("level").alias("k"), "v"))).alias("v")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
-from cadastrum.functions import department_of, ratio
+from cadastrum.column_labels import FILTER_KINDS
+from cadastrum.functions import department_of, preview_label, ratio
 from cadastrum.schemas import INDICATORS
 from cadastrum.sources.sinks import as_document
 
@@ -254,16 +255,15 @@ def _report_case(part: int) -> Column:
 
 
 def schema_report(income: DataFrame, years: list[int], mapping: dict | None = None) -> DataFrame:
-    """Level x canonical column of the loaded income table, with each year's source column.
+    """Level x canonical column, with the source column of each year the table holds.
 
-    Levels and years are those that hold rows; ``years`` fixes the output columns.
+    ``years`` fixes the output columns (one per catalogue year).
     """
     spark = SparkSession.active()
-    present = income.groupBy("geography_level", "year").agg(F.count("*").alias("rows"))
+    present = income.select("year").distinct()
     columns = ["geography_code", "geography_name", *INDICATORS]
-    frame = present.select(
-        "geography_level", "year", F.explode(F.array(*map(F.lit, columns))).alias("canonical_column")
-    )
+    frame = present.withColumn("geography_level", F.explode(F.array(F.lit("commune"), F.lit("department"))))
+    frame = frame.withColumn("canonical_column", F.explode(F.array(*map(F.lit, columns))))
     sources = F.broadcast(cat.source_column_names(spark, mapping))
     wide = (
         frame.join(sources, ["canonical_column", "year"], "left")
@@ -278,3 +278,21 @@ def schema_report(income: DataFrame, years: list[int], mapping: dict | None = No
         _report_case(1).alias("notes"),
         *[F.coalesce(F.col(f"`{y}`"), F.lit("")).alias(f"{y}_column") for y in years],
     )
+
+
+def column_catalogue(df: DataFrame, known: dict[str, tuple[str, str]]) -> DataFrame:
+    """Label, type and filter kind of every column, and how many cells are filled.
+
+    Known columns take their fixed label and type; others are inferred.
+    """
+    rows = []
+    for position, (key, label, kind) in enumerate(column_kinds(df), start=1):
+        label, kind = known.get(key, (label, kind))
+        rows.append((position, key, label, kind, FILTER_KINDS[kind]))
+    described = df.sparkSession.createDataFrame(
+        rows, "position int, key string, label string, type string, filter_kind string"
+    ).withColumn("label", preview_label(F.col("key"), F.col("label")))
+    filled = df.agg(*[F.count(name).alias(name) for name in df.columns]).unpivot([], df.columns, "key", "filled")
+    return filled.join(F.broadcast(described), "key").select(
+        "position", "key", "label", "type", "filter_kind", "filled"
+    )

@@ -42,7 +42,7 @@ def compare(spark, connection, name: str, query, sql: str, sf_dir: str) -> str |
     relation = connection.sql(sql)
     if sorted(df.columns) != sorted(relation.columns):
         return f"columns {sorted(df.columns)} <> {sorted(relation.columns)}"
-    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
     theirs_kind = dict(zip(relation.columns, map(str, relation.types)))
     for column, kind in df.dtypes:
         if kinds.get(kind, kind) != theirs_kind[column]:
