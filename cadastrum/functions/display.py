@@ -21,15 +21,17 @@ def display_boolean(column: Column) -> Column:
     return F.when(column, "Oui").when(~column, "Non").otherwise(MISSING)
 
 
+def iso_day(text: Column) -> Column:
+    """``dd/MM/yyyy`` text as ``yyyy-MM-dd``; other text unchanged."""
+    parts = F.split(text, "/")
+    french = text.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$")
+    return F.when(french, F.concat_ws("-", parts[2], parts[1], parts[0])).otherwise(text)
+
+
 def display_date(column: Column) -> Column:
     """ISO or French day text -> ``dd-MM-yyyy``; other readable dates too, else the text."""
     text = F.trim(F.coalesce(column.cast("string"), F.lit("")))
-    day = F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(text, F.lit("dd/MM/yyyy")),
-        text.try_cast("timestamp"),
-    )
-    shown = F.coalesce(F.date_format(day, "dd-MM-yyyy"), text)
+    shown = F.coalesce(F.date_format(iso_day(text).try_cast("timestamp"), "dd-MM-yyyy"), text)
     return F.when(text == "", MISSING).otherwise(shown)
 
 

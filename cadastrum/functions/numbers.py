@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# Characters a plain number may hold; a cast alone would also take 1d, NaN, Infinity.
+_NUMBER_CHARACTERS = "0123456789.+-eE\t\r\n"
 
 
 def _col(column: Column | str) -> Column:
@@ -20,8 +21,12 @@ def finite(column: Column | str) -> Column:
 
 def french_number(column: Column | str) -> Column:
     """``12 345,60`` -> 12345.6; blank, secret (``s``) and unreadable text -> null."""
-    plain = F.translate(_col(column).cast("string"), ",\u00a0 ", ".")
-    return F.when(plain.rlike(_NUMBER), F.trim(plain).try_cast("double"))
+    return plain_number(F.translate(_col(column).cast("string"), ",\u00a0 ", "."))
+
+
+def plain_number(text: Column) -> Column:
+    """Double value of decimal-point text, else null; no regular expression needed."""
+    return F.when(F.translate(text, _NUMBER_CHARACTERS, "") == "", text.try_cast("double"))
 
 
 def round_even(column: Column | str, digits: int = 2) -> Column:

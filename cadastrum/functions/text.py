@@ -13,7 +13,7 @@ from cadastrum.text_constants import MOJIBAKE, PHRASES, UNACCENTED_WORDS
 
 # Blocks whose letters can decompose to one ASCII character plus marks.
 _LATIN_BLOCKS = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0xFF01, 0xFF5F))
-_COMBINING = "[\\u0300-\\u036f]"
+_COMBINING_MARKS = "".join(chr(code) for code in range(0x0300, 0x0370))
 
 
 @lru_cache(maxsize=1)
@@ -36,12 +36,24 @@ def _ascii_translation() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(source), "".join(target), tuple(longer)
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fold_accents(column: Column) -> Column:
     source, target, longer = _ascii_translation()
-    single = F.translate(F.regexp_replace(column, _COMBINING, ""), source, target)
+    # Letters listed beyond the target's end are deleted: the combining marks.
+    single = F.translate(column, source + _COMBINING_MARKS, target)
     any_longer = "[" + "".join(letter for letter, _ in longer) + "]"
-    spelled = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), longer, single)
-    return F.when(single.rlike(any_longer), spelled).otherwise(single)
+
+    def spelled(text: Column) -> Column:
+        replaced = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), longer, text)
+        return F.when(text.rlike(any_longer), replaced).otherwise(text)
+
+    folded = bound(single, spelled)
+    ascii_only = F.length(column) == F.octet_length(column)
+    return F.when(ascii_only, column).otherwise(folded)
 
 
 def fold_snake(column: Column | str, keep_unmapped_as: str = "_") -> Column:
@@ -74,27 +86,51 @@ def blank_to_null(column: Column | str, upper: bool = False) -> Column:
 
 def repair_text(column: Column | str) -> Column:
     """Undo UTF-8 text that was read as Windows-1252, in the listed order."""
-    column = F.col(column) if isinstance(column, str) else column
-    repaired = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, column)
-    # Every damaged sequence begins with one of these three letters.
-    return F.when(column.rlike("[ÂÃâ]"), repaired).otherwise(column)
 
+    def repaired(text: Column) -> Column:
+        # Every damaged sequence begins with one of these three letters.
+        damaged = F.contains(text, F.lit("Â")) | F.contains(text, F.lit("Ã")) | F.contains(text, F.lit("â"))
+        restored = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, text)
+        return F.when(damaged, restored).otherwise(text)
+
+    return bound(F.col(column) if isinstance(column, str) else column, repaired)
+
+
+def _replace_words(column: Column, words: tuple[tuple[str, str], ...]) -> Column:
+    """Whole words replaced in order; only words the text contains cost a regex pass."""
+    listed = F.array(
+        *[
+            F.struct(
+                # The ASCII start of the word, which no earlier replacement changes.
+                F.lit(re.match("[a-z ]+", word).group()).alias("start"),
+                F.lit(f"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])").alias("pattern"),
+                F.lit(shown).alias("shown"),
+            )
+            for word, shown in words
+        ]
+    )
+
+    def step(state: Column, entry: Column) -> Column:
+        replaced = F.regexp_replace(state["text"], entry["pattern"], entry["shown"])
+        hit = F.contains(state["lowered"], entry["start"])
+        return F.struct(
+            state["lowered"].alias("lowered"), F.when(hit, replaced).otherwise(state["text"]).alias("text")
+        )
+
+    def replaced_in(text: Column) -> Column:
+        start = F.struct(F.lower(text).alias("lowered"), text.alias("text"))
+        return F.reduce(listed, start, step, lambda state: state["text"])
 
-def _whole_word(word: str) -> str:
-    return f"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"
+    return bound(column, replaced_in)
 
 
 def french_display_text(column: Column | str) -> Column:
     """Repaired text with the accents of common unaccented French words restored."""
-    repaired = repair_text(column)
-    accented = reduce(lambda c, pair: F.regexp_replace(c, _whole_word(pair[0]), pair[1]), UNACCENTED_WORDS, repaired)
-    any_word = "(?i)" + "|".join(word for word, _ in UNACCENTED_WORDS)
-    return F.when(repaired.rlike(any_word), accented).otherwise(repaired)
+    return _replace_words(repair_text(column), UNACCENTED_WORDS)
 
 
 def preview_value(column: Column | str) -> Column:
-    text = french_display_text(column)
-    return reduce(lambda c, pair: F.regexp_replace(c, _whole_word(pair[0]), pair[1]), PHRASES, text)
+    return _replace_words(repair_text(column), (*UNACCENTED_WORDS, *PHRASES))
 
 
 def preview_label(key: Column, label: Column) -> Column:

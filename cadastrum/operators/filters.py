@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cadastrum.functions.display import iso_day
+from cadastrum.functions.numbers import plain_number
+from cadastrum.functions.text import bound
 from cadastrum.text_constants import FALSE_TOKENS, TRUE_TOKENS
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _text(column: Column) -> Column:
@@ -18,14 +20,13 @@ def _text(column: Column) -> Column:
 
 def number_of(column: Column) -> Column:
     """Number in a cell; the first comma counts as decimal point; else null."""
-    text = F.regexp_replace(F.trim(_text(column)), "^([^,]*),", "$1.")
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    # A second comma stays and makes the cell unreadable.
+    return bound(F.regexp_replace(F.trim(_text(column)), "^([^,]*),", "$1."), plain_number)
 
 
 def moment_of(column: Column) -> Column:
     """ISO or French (``dd/MM/yyyy``) day or time in a cell; else null."""
-    text = F.trim(_text(column))
-    return F.coalesce(text.try_cast("timestamp"), F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))
+    return bound(F.trim(_text(column)), lambda text: iso_day(text).try_cast("timestamp"))
 
 
 def boolean_of(column: Column) -> Column:
@@ -33,11 +34,18 @@ def boolean_of(column: Column) -> Column:
     return F.when(token.isin(*TRUE_TOKENS), True).when(token.isin(*FALSE_TOKENS), False)
 
 
-def _within(value: Column, low: Column, high: Column, unbounded: bool) -> Column:
-    # A bound that cannot be read does not limit; a cell that cannot be read
-    # passes only when no bound was given at all.
-    inside = F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True))
-    return F.when(value.isNull(), F.lit(unbounded)).otherwise(inside)
+def _within(value: Column, low: Column | None, high: Column | None) -> Column:
+    """Range predicate. Without any bound every cell passes, else unreadable ones fail."""
+    if low is None and high is None:
+        return F.lit(True)
+
+    def inside(cell: Column) -> Column:
+        # A bound that cannot be read is null and does not limit.
+        at_least = F.lit(True) if low is None else F.coalesce(cell >= low, low.isNull())
+        at_most = F.lit(True) if high is None else F.coalesce(cell <= high, high.isNull())
+        return cell.isNotNull() & at_least & at_most
+
+    return bound(value, inside)
 
 
 def matches(
@@ -54,11 +62,11 @@ def matches(
     """Predicate for one column's filter; ``kind`` as in the column catalogue."""
     cell = F.col(column)
     if kind == "number-range":
-        return _within(
-            number_of(cell), number_of(F.lit(minimum)), number_of(F.lit(maximum)), not minimum and not maximum
-        )
+        low, high = (number_of(F.lit(bound)) if bound else None for bound in (minimum, maximum))
+        return _within(number_of(cell), low, high)
     if kind == "date-range":
-        return _within(moment_of(cell), moment_of(F.lit(start)), moment_of(F.lit(end)), not start and not end)
+        low, high = (moment_of(F.lit(bound)) if bound else None for bound in (start, end))
+        return _within(moment_of(cell), low, high)
     if kind == "boolean-select":
         if boolean == "all":
             return F.lit(True)

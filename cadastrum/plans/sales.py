@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,30 +68,36 @@ def _typed(bronze: DataFrame) -> DataFrame:
     return typed.withColumn("price_m2", ratio("valeur_fonciere", "surface_reelle_bati"))
 
 
-def _stage() -> Column:
-    """Name of the first rule a row fails, else null."""
+def _rules() -> list[Column]:
+    """The four keeping rules in order. Plain conjuncts, so Catalyst can push each down."""
 
     def text(name: str) -> Column:
         return F.trim(F.coalesce(F.col(name), F.lit("")))
 
-    is_sale = text("nature_mutation") == SALE
-    residential = text("type_local").isin(*PROPERTY_TYPES)
-    valid = (
-        (F.coalesce("valeur_fonciere", F.lit(0.0)) > 0)
-        & (F.coalesce("surface_reelle_bati", F.lit(0.0)) > 0)
-        & (text("code_departement") != "")
-    )
-    usual = F.col("price_m2").between(*PRICE_M2_RANGE) & F.col("surface_reelle_bati").between(*SURFACE_RANGE)
-    rules = zip(FUNNEL_STAGES, (is_sale, residential, valid, usual), strict=True)
-    stage = None
-    for name, rule in rules:
-        stage = F.when(~rule, name) if stage is None else stage.when(~rule, name)
+    return [
+        text("nature_mutation") == SALE,
+        text("type_local").isin(*PROPERTY_TYPES),
+        (F.col("valeur_fonciere") > 0) & (F.col("surface_reelle_bati") > 0) & (text("code_departement") != ""),
+        F.col("surface_reelle_bati").between(*SURFACE_RANGE) & F.col("price_m2").between(*PRICE_M2_RANGE),
+    ]
+
+
+def _stage() -> Column:
+    """Name of the first rule a row fails, else null."""
+    first, *later = zip(FUNNEL_STAGES, _rules(), strict=True)
+
+    def failed(rule: Column) -> Column:
+        return ~F.coalesce(rule, F.lit(False))
+
+    stage = F.when(failed(first[1]), first[0])
+    for name, rule in later:
+        stage = stage.when(failed(rule), name)
     return stage
 
 
 def to_silver(bronze: DataFrame) -> DataFrame:
     """Residential sales with a plausible price. One narrow pass; also runs on a stream."""
-    kept = _typed(bronze).where(_stage().isNull())
+    kept = _typed(bronze).where(reduce(Column.__and__, _rules()))
     return kept.select(*SALES_COLUMNS, F.col("year").cast("long").alias("year"), "price_m2")
 
 

@@ -165,8 +165,10 @@ def sales_silver_write(spark, sf_dir):
 def stream_sales_silver(spark, sf_dir):
     from cadastrum.streaming.sales_stream import run_silver_stream
 
+    """Bronze text rows in several files, run through the stream."""
     source = scratch_path(spark, "stream-source")
-    standins.sales(spark, sf_dir).repartition(4).write.parquet(source)
+    bronze = plan.to_bronze(standins.raw_sales(spark, sf_dir), F.col("year"))
+    bronze.repartition(4).write.parquet(source)
     target = run_silver_stream(spark, source, scratch_path(spark, "stream-silver"))
     return readers.read_years(spark, target).select(*SALES_COLUMNS, "year", "price_m2")
 
@@ -188,7 +190,7 @@ def stream_sales_silver(spark, sf_dir):
     ),
 )
 def quality_funnel(spark, sf_dir):
-    return plan.quality_funnel(plan.to_bronze(standins.raw_sales(spark, sf_dir)), ["year"])
+    return plan.quality_funnel(standins.sales(spark, sf_dir), ["year"])
 
 
 _NATIONAL_SQL = f"""
