@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from cadastrum.functions.numbers import finite, round_even
 from cadastrum.session import is_small
 
-# Bins per e-fold of |value| (below 1: per unit), and slices of a located bin.
-BINS = 4096
+# Bins per e-fold of |value| (below 1: per unit), and slices of a located bin. A
+# group spanning e-folds gives a few thousand bins to sum over, and the rows that
+# go on (one bin in thousands) are cut 4096-fold again.
+BINS = 512
 SLICES = 4096
 
 _KEY, _VALUE, _WEIGHT = "__key", "__value", "__weight"
@@ -32,7 +34,9 @@ _Targets = Callable[[Column], Column]
 
 def _bin(value: Column) -> Column:
     # signum, log1p and floor never decrease, so the bin keeps the value order.
-    return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(BINS))).cast("long")
+    # The bound keeps infinities in a bin of their own; finite doubles stay below 710.
+    magnitude = F.least(F.log1p(F.abs(value)), F.lit(1000.0))
+    return (F.signum(value) * F.floor(magnitude * F.lit(BINS))).cast("long")
 
 
 def _slice(value: Column, low: Column, high: Column) -> Column:

@@ -34,10 +34,8 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def measure_pivot(long: DataFrame, keys: list[str], measure: str, value: str, order: str, measures: dict) -> DataFrame:
     """Long -> wide: first value in source order per key and listed measure, renamed."""
-    wanted = long.where(F.col(measure).isin(*measures) & F.col(value).isNotNull())
-    wide = wanted.groupBy(*keys).pivot(measure, list(measures)).agg(F.min_by(value, order))
-    kept = long.select(*keys).distinct()
-    return kept.join(wide, keys, "left").withColumnsRenamed(measures)
+    first = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
+    return long.groupBy(*keys).pivot(measure, list(measures)).agg(first).withColumnsRenamed(measures)
 
 
 def unpivot_series(wide: DataFrame, keys: list[str], columns: list[str], labels: DataFrame | None = None) -> DataFrame:

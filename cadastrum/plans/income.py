@@ -491,7 +491,7 @@ def availability(gold: DataFrame, catalogue: dict | None = None) -> DataFrame:
         F.col("comparable")
     )
     comparable = available & (F.col("level") == "commune") & ~F.col("methodological_break") & kept
-    return F.broadcast(frame).join(measured, ["year", "level", "indicator"], "left").select(
+    return frame.join(measured, ["year", "level", "indicator"], "left").select(
         "year",
         "level",
         "indicator",

@@ -266,7 +266,8 @@ def _unit_prices(spark, sf_dir):
 def weighted_median_query(spark, sf_dir):
     """The binned plan over the whole table."""
     rows = _unit_prices(spark, sf_dir)
-    return weighted_median(rows, ["l_returnflag", "l_linestatus"], "value", "weight", "median", strategy="binned")
+    keys = ["l_returnflag", "l_linestatus"]
+    return weighted_median(rows, keys, "value", "weight", "median", strategy="binned")
 
 
 @query(

@@ -257,6 +257,7 @@ def quantiles(spark, sf_dir):
         {"unit": {"d1": 0.1, "median": 0.5, "d9": 0.9}},
         {"rows": F.count("*")},
         strategy="binned",
+        bounded_groups=True,  # two flag columns with fixed values
     )
 
 

@@ -99,13 +99,19 @@ def read_gzip(spark: SparkSession, path: str, partitions: int | None = None, **o
 
 
 def read_years(
-    spark: SparkSession, base: str, columns: list[str] | None = None, years: list[int] | None = None
+    spark: SparkSession,
+    base: str,
+    columns: list[str] | None = None,
+    years: list[int] | None = None,
+    schema: StructType | None = None,
 ) -> DataFrame:
     """``base/year=YYYY`` folders as one table; only listed years and columns are read.
 
     A year without a folder is just absent; a column some years lack is null there.
+    With a ``schema`` no footers are read to find the columns.
     """
-    table = spark.read.option("mergeSchema", True).parquet(base)
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    table = reader.parquet(base)
     if columns is not None:
         absent = [c for c in columns if c not in table.columns]
         table = table.withColumns({c: F.lit(None).cast("double") for c in absent}).select(*columns, "year")
