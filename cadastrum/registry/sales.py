@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastrum import catalogue as cat
 from cadastrum.functions import french_number, full_commune_code, round_even
 from cadastrum.operators.quantiles import quantile_table
 from cadastrum.operators.shape import two_maps_to_rows
@@ -311,12 +312,34 @@ def _documents(spark, sf_dir):
     return plan.summary_documents(silver(spark, sf_dir), "silver/sales", "2024-01-01T00:00:00+00:00")
 
 
-@query("sales_summary_doc")
+_YEARS = ", ".join(map(str, cat.SALES_YEARS))
+_DOCUMENT_SQL = with_views(
+    f"""SELECT CAST(to_json({{
+          year: n.year, available_years: [{_YEARS}], generated_at: '2024-01-01T00:00:00+00:00', source_file: 'silver/sales',
+          filters: {{nature_mutation: 'Vente', property_types: ['Appartement', 'Maison'],
+            outliers: {{price_m2_min: 300, price_m2_max: 50000, surface_min: 9, surface_max: 1000}}}},
+          total_sales_count: total_sales_count, median_price_m2: n.median_price_m2, d1_price_m2: d1_price_m2,
+          d9_price_m2: d9_price_m2, median_surface: median_surface, sales_count_by_department: counts,
+          median_price_m2_by_department: medians, median_price_m2_by_property_type: types,
+          departments: departments}}) AS VARCHAR) AS document
+        FROM national n
+        JOIN (SELECT year, map_from_entries(list((department_code, sales_count) ORDER BY department_code)) AS counts,
+                     map_from_entries(list((department_code, median_price_m2) ORDER BY department_code)) AS medians,
+                     list({{department_code: department_code, year: year, sales_count: sales_count,
+                            median_price_m2: median_price_m2}} ORDER BY department_code) AS departments
+              FROM by_department GROUP BY year) d ON d.year = n.year
+        JOIN (SELECT year, map_from_entries(list((property_type, median_price_m2) ORDER BY property_type)) AS types
+              FROM by_type GROUP BY year) t ON t.year = n.year""",
+    SALES_SQL, SILVER_SQL, _NATIONAL_SQL, _DEPARTMENT_SQL, _TYPE_SQL,
+)
+
+
+@query("sales_summary_doc", _DOCUMENT_SQL)
 def sales_summary_doc(spark, sf_dir):
     return _documents(spark, sf_dir)
 
 
-@query("summary_json")
+@query("summary_json", _DOCUMENT_SQL)
 def summary_json(spark, sf_dir):
     """The documents written as JSON lines and read back as text."""
     path = scratch_path(spark, "summary-json")
