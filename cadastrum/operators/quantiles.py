@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastrum.functions.numbers import finite, round_even
-from cadastrum.session import is_small
+from cadastrum import session
+from cadastrum.session import input_bytes, is_small, materialise
 
 # Bins per e-fold of |value| (below 1: per unit), and slices of a located bin. A
 # group spanning e-folds gives a few thousand bins to sum over, and the rows that
@@ -75,21 +76,28 @@ def _order_statistics(rows: DataFrame, targets: _Targets, bounded_groups: bool)
     result has one row per (key, target id) with ``value``, ``share``.
     """
     rows = rows.withColumn("__bin", _bin(F.col(_VALUE)))
-    if not bounded_groups:
-        # One narrow shuffle, ties collapsed before it; everything below reuses it.
-        rows = rows.groupBy(_KEY, "__bin", _VALUE).agg(F.sum(_WEIGHT).alias(_WEIGHT))
     bins = rows.groupBy(_KEY, "__bin").agg(
         F.sum(_WEIGHT).alias(_WEIGHT), F.min(_VALUE).alias("__low"), F.max(_VALUE).alias("__high")
     )
     found = _locate(bins, [_KEY], "__bin", targets(F.col("__total")), F.lit(0.0)).select(
         _KEY, "__bin", "__low", "__high", "__start", "__wanted"
     )
-    # With a bounded number of groups ``found`` holds a few rows per group: it
-    # may be broadcast, and the second scan keeps about 1/BINS of the rows.
+    # A few rows per group. Without a known bound on the groups they are stored,
+    # which tells their size.
+    small = True
+    if not bounded_groups:
+        found = materialise(found, "located-bins")
+        small = input_bytes(found) <= session.BROADCAST_BYTES
     edges = found.select(_KEY, "__bin", "__low", "__high")
+    if small:
+        # A second scan that keeps about one row in thousands and shuffles just those.
+        kept = rows.join(F.broadcast(edges), [_KEY, "__bin"])
+    else:
+        # Narrow rows are shuffled to their bins, ties collapsed before; AQE splits a hot bin.
+        ties = rows.groupBy(_KEY, "__bin", _VALUE).agg(F.sum(_WEIGHT).alias(_WEIGHT))
+        kept = ties.join(edges, [_KEY, "__bin"])
     candidates = (
-        rows.join(F.broadcast(edges) if bounded_groups else edges, [_KEY, "__bin"])
-        .withColumn("__slice", _slice(F.col(_VALUE), F.col("__low"), F.col("__high")))
+        kept.withColumn("__slice", _slice(F.col(_VALUE), F.col("__low"), F.col("__high")))
         .groupBy(_KEY, "__bin", "__slice", _VALUE)
         .agg(F.sum(_WEIGHT).alias(_WEIGHT))
     )
@@ -154,8 +162,8 @@ def quantile_table(
 
     ``specs`` maps a value column to ``{output name: probability}``; ``totals``
     are further plain aggregates. ``bounded_groups`` states that the number of
-    groups has a small fixed bound (years, property types), which lets the
-    binned plan rescan instead of shuffling the values once.
+    groups has a small fixed bound (years, property types); the binned plan then
+    stays fully lazy. Else it stores the located bins first to learn their size.
     """
     if strategy == "auto":
         strategy = "buffered" if is_small(df) else "binned"

@@ -10,21 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastrum.plans import income, publish, sales
-from cadastrum.session import scratch_path
+from cadastrum.session import materialise
 from cadastrum.sources.sinks import write_years
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to shared scratch space and read it back.
-
-    Later steps scan a compact table instead of repeating the work, their plans
-    stay short, and a lost executor costs a re-read, not a re-run.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def income_layers(gold: DataFrame, label: str = "income") -> tuple[DataFrame, DataFrame]:
     """Gold communes and departments (official, else derived), both materialised."""
     gold = materialise(gold, f"{label}-gold")

@@ -8,12 +8,12 @@ from cadastrum import catalogue as cat
 from cadastrum.functions import round_even
 from cadastrum.operators.quantiles import weighted_mean_of, weighted_median, with_table_weight
 from cadastrum.plans import income as plan
-from cadastrum.plans.layers import income_layers, materialise
+from cadastrum.plans.layers import income_layers
 from cadastrum.registry import standins
 from cadastrum.registry.base import query, table
 from cadastrum.registry.standins import INCOME_SQL, OBSERVATIONS_SQL, with_views
 from cadastrum.schemas import INCOME_GOLD, INDICATORS
-from cadastrum.session import scratch_path
+from cadastrum.session import materialise, scratch_path
 from cadastrum.sources import readers, sinks
 
 _ALL = ", ".join(INDICATORS)

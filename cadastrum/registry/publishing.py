@@ -27,7 +27,7 @@ from cadastrum.registry.income import layers as income_layers
 from cadastrum.registry.sales import _NATIONAL_SQL, COMMUNE_SQL, silver
 from cadastrum.registry.standins import INCOME_SQL, SALES_SQL, SILVER_SQL, with_views
 from cadastrum.schemas import INDICATORS, SALES_COLUMNS
-from cadastrum.session import scratch_path
+from cadastrum.session import materialise, scratch_path
 from cadastrum.sources import readers, sinks
 
 _COMMUNE_YEAR_SQL = f"""
@@ -245,7 +245,7 @@ def summary_collection(spark, sf_dir):
 )
 def income_metadata(spark, sf_dir):
     """Metadata document of a gold table that lacks one configured year, read back."""
-    rows = layers.materialise(gold(spark, sf_dir).where(F.col("year") != 2021), "metadata-gold")
+    rows = materialise(gold(spark, sf_dir).where(F.col("year") != 2021), "metadata-gold")
     document = income.metadata_document(
         rows, publish.missing_years(spark, rows), {"commune_all_years": "gold/commune_all_years.parquet"}, ""
     )

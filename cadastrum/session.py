@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Below this many input bytes a whole group certainly fits in one task.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
+# Largest stored table that may be broadcast (a few times as much in memory).
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 _local_scratch: str | None = None
 
@@ -62,3 +64,15 @@ def input_bytes(df: DataFrame) -> int:
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return input_bytes(df) <= limit
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to shared scratch space and read it back.
+
+    Later steps scan a compact table instead of repeating the work, their plans
+    stay short, and a lost executor costs a re-read, not a re-run. The size of
+    the stored table is known to the planner.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

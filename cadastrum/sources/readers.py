@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,13 +123,15 @@ def read_years(
 
 def read_harmonised_years(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
     """Union of the year folders that carry every column of ``schema``; others are skipped."""
-    found = spark.read.parquet(base).select("year").distinct().orderBy("year").collect()  # one row per year folder
+    # The file listing names the years; no file is opened for it.
+    files = spark.read.parquet(base).inputFiles()
+    found = sorted({int(year) for name in files for year in re.findall(r"/year=([0-9]+)/", name)})
     needed = [name for name in schema.fieldNames() if name != "year"]
     kept = []
-    for row in found:
-        year = spark.read.parquet(f"{base}/year={row['year']}")
-        if not set(needed) - set(year.columns):
-            kept.append(year.select(*needed, F.lit(row["year"]).cast("long").alias("year")))
+    for year in found:
+        rows = spark.read.parquet(f"{base}/year={year}")
+        if not set(needed) - set(rows.columns):
+            kept.append(rows.select(*needed, F.lit(year).cast("long").alias("year")))
     if not kept:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, kept).select(*schema.fieldNames())

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadastrum import session
 from cadastrum.operators import quantiles
 from cadastrum.operators.quantiles import quantile_table, weighted_mean_of, weighted_median, with_table_weight
 
@@ -73,6 +74,14 @@ def test_weighted_median_matches_brute_force(spark, rows, strategy, bounded):
         assert found.get(key) == brute_weighted_median([(v, w) for k, v, w in rows if k == key])
 
 
+def test_located_bins_too_large_to_broadcast(spark, rows, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    found = {r["k"]: r["m"] for r in weighted_median(df, ["k"], "v", "w", "m", "binned").collect()}
+    for key in {r[0] for r in rows}:
+        assert found.get(key) == brute_weighted_median([(v, w) for k, v, w in rows if k == key])
+
+
 @pytest.mark.parametrize("strategy", STRATEGIES)
 def test_without_keys(spark, strategy):
     df = spark.createDataFrame([(float(v),) for v in range(1, 101)], "v double")
