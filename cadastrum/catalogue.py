@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastrum.schemas import INDICATORS
+from cadastrum.session import small_table
 
 SALES_YEARS = (2014, 2015, 2016, 2017, 2018, 2019, 2020, 2021, 2022, 2023, 2024)
 
@@ -182,7 +183,8 @@ def source_years(spark: SparkSession, catalogue: dict | None = None, enabled_onl
                 source.get("methodological_break_label") or f"Methodological break for {dispositif}",
             )
         )
-    return spark.createDataFrame(
+    return small_table(
+        spark,
         rows,
         "year long, dispositif string, source_generation string, comparable boolean,"
         " secondary_comparable boolean, methodological_break boolean, break_label string",
@@ -198,7 +200,7 @@ def published_columns(spark: SparkSession, mapping: dict | None = None) -> DataF
             by_year.setdefault(int(year), [])
             if source:
                 by_year[int(year)].append(column)
-    return spark.createDataFrame(sorted(by_year.items()), "year long, published array<string>")
+    return small_table(spark, sorted(by_year.items()), "year long, published array<string>")
 
 
 def source_column_names(spark: SparkSession, mapping: dict | None = None) -> DataFrame:
@@ -209,12 +211,12 @@ def source_column_names(spark: SparkSession, mapping: dict | None = None) -> Dat
         for year, source in years.items()
         if source
     ]
-    return spark.createDataFrame(rows, "canonical_column string, year long, source_column string")
+    return small_table(spark, rows, "canonical_column string, year long, source_column string")
 
 
 def indicator_labels(spark: SparkSession) -> DataFrame:
     rows = [(name, INDICATOR_LABELS[name], position) for position, name in enumerate(INDICATORS, start=1)]
-    return spark.createDataFrame(rows, "indicator string, label string, position int")
+    return small_table(spark, rows, "indicator string, label string, position int")
 
 
 def configured_years(catalogue: dict | None = None) -> list[int]:
@@ -226,8 +228,3 @@ def catalogue_documents(spark: SparkSession, *documents: dict) -> DataFrame:
     """Catalogue JSON documents as a table, the input of the catalogue rules."""
     rows = [(i, json.dumps(document)) for i, document in enumerate(documents)]
     return spark.createDataFrame(rows, "catalogue_id long, document string")
-
-
-def integer_text(column):
-    """Integer value of integer-like text, else null."""
-    return F.trim(column).try_cast("long")

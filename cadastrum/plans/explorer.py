@@ -12,6 +12,7 @@ from cadastrum import catalogue as cat
 from cadastrum.functions import like_any
 from cadastrum.operators.filters import boolean_of, moment_of, number_of
 from cadastrum.schemas import INDICATORS
+from cadastrum.session import small_table
 
 # Fixed values of the explorer.
 DEFAULT_LIMIT = 50
@@ -127,7 +128,7 @@ def trend_series(gold: DataFrame, years: list[int], indicators: list[str] | None
     spark = gold.sparkSession
     indicators = list(indicators or cat.TREND_INDICATORS)
     shown = [int(y) for y in dict.fromkeys(years) if y != UNPUBLISHED_YEAR]
-    spine = spark.createDataFrame([(y,) for y in shown], "year long")
+    spine = small_table(spark, [(y,) for y in shown], "year long")
     # One row per year on both sides.
     wide = F.broadcast(spine).join(trend(gold, indicators, shown), "year", "left")
     labels = F.broadcast(cat.indicator_labels(spark).select("indicator", "label"))

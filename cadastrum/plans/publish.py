@@ -9,6 +9,7 @@ from cadastrum import catalogue as cat
 from cadastrum.column_labels import FILTER_KINDS
 from cadastrum.functions import department_of, preview_label, ratio
 from cadastrum.schemas import INDICATORS
+from cadastrum.session import small_table
 from cadastrum.sources.sinks import as_document
 
 PREVIEW_ROWS = 500
@@ -143,8 +144,8 @@ def available_years(df: DataFrame) -> DataFrame:
 def missing_years(spark: SparkSession, present: DataFrame, catalogue: dict | None = None) -> DataFrame:
     """Known missing years and configured years without data."""
     catalogue = catalogue or cat.INCOME_CATALOGUE
-    known = spark.createDataFrame([(int(y),) for y in catalogue["known_missing_years"]], "year long")
-    configured = spark.createDataFrame([(y,) for y in cat.configured_years(catalogue)], "year long")
+    known = small_table(spark, [(int(y),) for y in catalogue["known_missing_years"]], "year long")
+    configured = small_table(spark, [(y,) for y in cat.configured_years(catalogue)], "year long")
     absent = configured.join(present.select("year").distinct(), "year", "left_anti")
     return known.union(absent).distinct().orderBy("year")
 
@@ -289,8 +290,8 @@ def column_catalogue(df: DataFrame, known: dict[str, tuple[str, str]]) -> DataFr
     for position, (key, label, kind) in enumerate(column_kinds(df), start=1):
         label, kind = known.get(key, (label, kind))
         rows.append((position, key, label, kind, FILTER_KINDS[kind]))
-    described = df.sparkSession.createDataFrame(
-        rows, "position int, key string, label string, type string, filter_kind string"
+    described = small_table(
+        df.sparkSession, rows, "position int, key string, label string, type string, filter_kind string"
     ).withColumn("label", preview_label(F.col("key"), F.col("label")))
     filled = df.agg(*[F.count(name).alias(name) for name in df.columns]).unpivot([], df.columns, "key", "filled")
     return filled.join(F.broadcast(described), "key").select(

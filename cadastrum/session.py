@@ -76,3 +76,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, (list, tuple)):
+        return f"array({', '.join(map(_literal, value))})"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return str(value)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A dimension of a few rows as an inline table, whose size the planner knows."""
+    columns = [column.split() for column in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    names = ", ".join(name for name, _ in columns)
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns)
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    return spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})")

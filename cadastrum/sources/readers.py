@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cadastrum.session import small_table
+
 # Candidate delimiters in order of preference among equals.
 DELIMITERS = (",", "\t", ";", "|")
 # Without a consistent candidate the header decides, in this order.
@@ -153,4 +155,4 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def describe(df: DataFrame) -> DataFrame:
     """``(column_name, column_type)`` of a table, in column order."""
     rows = [(i, name, kind) for i, (name, kind) in enumerate(df.dtypes, start=1)]
-    return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
+    return small_table(df.sparkSession, rows, "position int, column_name string, column_type string")
