@@ -19,50 +19,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastrum.llm.expressions import ALNUM_WORD, all_words, whole_text
+from cadastrum.llm.expressions import whole_text
 from cadastrum.session import materialise
 
 PARTS = 16
-RATE_BITS = (4, 7, 10)
+RATE_BITS = (4, 3, 3)  # a 16th, then twice an eighth of that
 LEAST_SHARE, MOST_SHARE = 0.001, 0.15
 # Terms of eight bytes; beyond this the lexicon is joined by a shuffle.
 BROADCAST_TERMS = 2_000_000
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the text's distinct terms."""
-    return F.array_distinct(F.transform(all_words(F.lower(text), ALNUM_WORD), lambda word: F.xxhash64(word)))
+    """The text's distinct terms: what stands between spaces and line ends, in lower case."""
+    return F.array_distinct(F.split(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), " ", -1))
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
     """(term): hashes of the terms found in ``least`` to ``most`` of all rows, stored."""
     rows = docs.count()
-    frequencies = docs.select(F.explode(terms(whole_text(text))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("documents")
-    )
+    frequencies = docs.select(F.explode(terms(whole_text(text))).alias("word")).where("word <> ''").groupBy(
+        F.xxhash64("word").alias("term")
+    ).agg(F.count(F.lit(1)).alias("documents"))
     return materialise(frequencies.where(F.col("documents").between(least * rows, most * rows)).select("term"), "lexicon")
 
 
-def _components(kept: Column, text: Column) -> Column:
-    """Array of the part hashes of sorted lexicon terms (null for an empty part), then the hash of all.
+def _components(prints: DataFrame) -> DataFrame:
+    """``prints`` (kept, text) with ``components``: the part hashes of the sorted lexicon terms, then the hash of all.
 
-    Where no term is in the lexicon, the last one is the hash of the text itself. Hashes have 24 bits.
+    An empty part is null. Where no term is in the lexicon, the last one is the hash of the
+    text itself. Hashes have 24 bits. A bit field of the term's own hash says which parts it is in: the
+    parts of a rarer rate are thinned out from those of the rate before.
     """
 
     def short(hashed: Column) -> Column:
         return hashed.bitwiseAND(0xFFFFFF).cast("int")
 
-    def inside(part: int, used: int, rate: int) -> Column:
-        """The terms of one part: a bit field of the term's hash has the part's number."""
-        return F.filter(kept, lambda term: F.shiftrightunsigned(term, used).bitwiseAND((1 << rate) - 1) == part)
-
-    parts, used = [], 0
-    for rate in RATE_BITS:
-        for part in range(PARTS):
-            held = inside(part, used, rate)
-            parts.append(F.when(F.size(held) > 0, short(F.xxhash64(held))))
-        used += rate
-    return F.array(*parts, short(F.when(F.size(kept) > 0, F.xxhash64(kept)).otherwise(text)))
+    def with_field(terms: Column, used: int, bits: int, value: int) -> Column:
+        return F.filter(terms, lambda term: F.shiftrightunsigned(term, used).bitwiseAND((1 << bits) - 1) == value)
+
+    names = [f"_part_{part}" for part in range(PARTS)]
+    parts = [with_field(F.col("kept"), 0, RATE_BITS[0], part).alias(name) for part, name in enumerate(names)]
+    split = prints.select("*", *parts)
+    hashes, used = [], RATE_BITS[0]
+    for step in (0, *RATE_BITS[1:]):
+        if step:
+            thinned = [with_field(F.col(name), used, step, 0).alias(name) for name in names]
+            split = split.select(*[c for c in split.columns if c not in names], *thinned)
+            used += step
+        found = [F.when(F.size(name) > 0, short(F.xxhash64(name))) for name in names]
+        hashes.append(f"_hashes_{used}")
+        split = split.withColumn(hashes[-1], F.array(*found))
+    whole = short(F.when(F.size("kept") > 0, F.xxhash64("kept")).otherwise(F.col("text")))
+    return split.withColumn("components", F.concat(*hashes, F.array(whole))).drop(*names, *hashes)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -74,17 +82,19 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame,
     whole = whole_text(text)
     listed = texts.select(
         *keys, F.struct(F.xxhash64(whole).alias("text"), *carry).alias("about"),
-        F.explode(F.concat(F.array(F.lit(None).cast("long")), terms(whole))).alias("term"),
-    ).withColumn("about", F.when(F.col("term").isNull(), F.col("about")))
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), terms(whole))).alias("word"),
+    ).select(
+        *keys, F.when(F.col("word").isNull(), F.col("about")).alias("about"),
+        F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"),
+    )
     known = words.withColumn("known", F.lit(True))
     if words.count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
     kept = listed.join(known, "term", "left").where("known OR term IS NULL").groupBy(*keys).agg(
         F.first("about", ignorenulls=True).alias("about"), F.sort_array(F.collect_set("term")).alias("kept")
     )
-    return kept.select(
-        *keys, _components(F.col("kept"), F.col("about.text")).alias("components"), *(F.col(f"about.{name}") for name in carry)
-    )
+    prints = kept.select(*keys, "kept", "about.*")
+    return _components(prints).select(*keys, "components", *carry)
 
 
 def as_digits(components: Column) -> Column:
