@@ -19,6 +19,16 @@ SALES_LABELS = {
     "id_parcelle": ("Identifiant de parcelle", "text"),
     "ancien_id_parcelle": ("Ancien identifiant de parcelle", "text"),
     "numero_volume": ("Numéro de volume", "text"),
+    "lot1_numero": ("Lot 1", "text"),
+    "lot2_numero": ("Lot 2", "text"),
+    "lot3_numero": ("Lot 3", "text"),
+    "lot4_numero": ("Lot 4", "text"),
+    "lot5_numero": ("Lot 5", "text"),
+    "lot1_surface_carrez": ("Surface Carrez lot 1", "number"),
+    "lot2_surface_carrez": ("Surface Carrez lot 2", "number"),
+    "lot3_surface_carrez": ("Surface Carrez lot 3", "number"),
+    "lot4_surface_carrez": ("Surface Carrez lot 4", "number"),
+    "lot5_surface_carrez": ("Surface Carrez lot 5", "number"),
     "nombre_lots": ("Nombre de lots", "number"),
     "code_type_local": ("Code type de local", "text"),
     "type_local": ("Type de local", "text"),
@@ -34,9 +44,6 @@ SALES_LABELS = {
     "year": ("Millésime", "number"),
     "price_m2": ("Prix au m²", "number"),
 }
-# Five lots of a sale, each with a number and a surface.
-SALES_LABELS |= {f"lot{i}_numero": (f"Lot {i}", "text") for i in range(1, 6)}
-SALES_LABELS |= {f"lot{i}_surface_carrez": (f"Surface Carrez lot {i}", "number") for i in range(1, 6)}
 
 INCOME_LABELS = {
     "year": ("Millésime", "number"),

@@ -1,15 +1,17 @@
-"""Exact quantiles and weighted medians that survive huge, skewed groups.
-
-Two plans give the same result:
-
-* ``buffered`` - the built-in ``percentile`` aggregate (or one running sum per
-  group). It holds the distinct values of a group in one task, so it is used
-  only where the input's checked size is small.
-* ``binned`` - an order-preserving bin splits every group. Summing weights per
-  (group, bin) is map-side combinable; a running sum over the few bins of a
-  group shows which bin holds the wanted position; only rows of that bin go
-  on, are summed per distinct value, split once more, and searched. No task
-  ever sees a whole group, whatever its share of the table.
+"""Exact quantiles and weighted medians, one plan for any size of table or group.
+
+A cell number that never decreases with the value cuts every group three times: bins,
+cells of a bin, and grains of a cell, each a 4096th of the one before. Weights are
+summed per (group, cell), which combines before the shuffle; a running sum over a
+group's bins, then over the found bin's cells, then over the found cell's grains,
+shows where each wanted position lies. Only the rows of that cell go on, equal values
+collapsed.
+
+Cells are relative to the value, so a window holds at most a group's bins (512 for each
+factor of e that its values span), 4096 cells, 4096 grains, or the distinct doubles of
+one grain, of which there are fewer than a million. No task holds a whole group,
+whatever its share of the table or however crowded its values. All value columns and
+probabilities take the same pass, the plan is lazy, and joins are left to AQE.
 """
 
 from __future__ import annotations
@@ -20,29 +22,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastrum.functions.numbers import finite, round_even
-from cadastrum import session
-from cadastrum.session import input_bytes, is_small, materialise
 
-# Bins per e-fold of |value| (below 1: per unit), and slices of a located bin. A
-# group spanning e-folds gives a few thousand bins to sum over, and the rows that
-# go on (one bin in thousands) are cut 4096-fold again.
-BINS = 512
-SLICES = 4096
+BINS = 512  # per factor of e
+CUT_BITS = 12  # cells per bin and grains per cell, as a power of two
 
-_KEY, _VALUE, _WEIGHT = "__key", "__value", "__weight"
+_KEY, _COLUMN, _VALUE, _WEIGHT = "__key", "__column", "__value", "__weight"
+_GROUP = [_KEY, _COLUMN]
 _Targets = Callable[[Column], Column]
 
 
-def _bin(value: Column) -> Column:
-    # signum, log1p and floor never decrease, so the bin keeps the value order.
-    # The bound keeps infinities in a bin of their own; finite doubles stay below 710.
-    magnitude = F.least(F.log1p(F.abs(value)), F.lit(1000.0))
-    return (F.signum(value) * F.floor(magnitude * F.lit(BINS))).cast("long")
+def _grain(value: Column) -> Column:
+    """Number of the value's grain; ``ln`` is semi-monotonic, so order is kept.
 
+    The logarithm of a finite double stays within 750 of zero; infinities get ends of their own.
+    """
+    magnitude = F.least(F.ln(F.abs(value)) + 750.0, F.lit(1500.0))
+    return F.when(value == 0, F.lit(0).cast("long")).otherwise(
+        (F.signum(value) * F.floor(magnitude * F.lit(float(BINS << (2 * CUT_BITS))))).cast("long")
+    )
 
-def _slice(value: Column, low: Column, high: Column) -> Column:
-    part = F.try_divide(value - low, high - low)
-    return F.coalesce(F.floor(part * F.lit(SLICES)), F.lit(0)).cast("long")
+
+def _coarser(number: str, cuts: int = 1) -> Column:
+    """The wider cell that holds a numbered one (arithmetic shift rounds down)."""
+    return F.shiftright(number, CUT_BITS * cuts)
 
 
 def _locate(df: DataFrame, within: list[str], order: str, hits: Column, start: Column) -> DataFrame:
@@ -53,63 +55,43 @@ def _locate(df: DataFrame, within: list[str], order: str, hits: Column, start: C
     """
     ordered = Window.partitionBy(*within).orderBy(order)
     running = F.sum(_WEIGHT).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    before = F.lag("__upto").over(ordered)
-    df = df.withColumn("__upto", start + running).withColumn("__before", before)
-    df = df.withColumn("__last", F.lead("__upto").over(ordered).isNull())
-    if "__total" not in df.columns:
-        df = df.withColumn("__total", F.max("__upto").over(Window.partitionBy(*within)))
-    df = df.withColumn("__wanted", hits)
-    df = df.withColumn(
-        "__wanted",
-        F.expr(
-            "filter(__wanted, h -> (__before is null or h.at > __before)"
-            " and (h.at <= __upto or __last))"
-        ),
+    df = df.withColumn("__upto", start + running)
+    df = df.withColumn("__before", F.lag("__upto").over(ordered)).withColumn("__last", F.lead("__upto").over(ordered).isNull())
+    df = df.withColumn("__total", F.max("__upto").over(Window.partitionBy(*within))).withColumn("__wanted", hits)
+    wanted = F.expr(
+        "filter(__wanted, h -> (__before is null or h.at > __before) and (h.at <= __upto or __last))"
+    )
+    return (
+        df.withColumn("__wanted", wanted)
+        .where(F.size("__wanted") > 0)
+        .select(*within, order, F.coalesce("__before", start).alias("__from"), F.col("__wanted").alias("__hits"))
     )
-    return df.where(F.size("__wanted") > 0).withColumn("__start", F.coalesce("__before", start))
 
 
-def _order_statistics(rows: DataFrame, targets: _Targets, bounded_groups: bool) -> DataFrame:
-    """Per key, the smallest value whose running weight reaches each target.
+def _order_statistics(rows: DataFrame, targets: _Targets) -> DataFrame:
+    """Per key and column, the smallest value whose running weight reaches each target.
 
-    ``rows`` has a struct key, a non-null value and a positive weight. The
-    result has one row per (key, target id) with ``value``, ``share``.
+    ``rows`` has a struct key, a column number, a non-null value and a positive weight.
+    The result has one row per (key, column, target id) with ``value``, ``share``.
     """
-    rows = rows.withColumn("__bin", _bin(F.col(_VALUE)))
-    bins = rows.groupBy(_KEY, "__bin").agg(
-        F.sum(_WEIGHT).alias(_WEIGHT), F.min(_VALUE).alias("__low"), F.max(_VALUE).alias("__high")
-    )
-    found = _locate(bins, [_KEY], "__bin", targets(F.col("__total")), F.lit(0.0)).select(
-        _KEY, "__bin", "__low", "__high", "__start", "__wanted"
-    )
-    # A few rows per group. Without a known bound on the groups they are stored,
-    # which tells their size.
-    small = True
-    if not bounded_groups:
-        found = materialise(found, "located-bins")
-        small = input_bytes(found) <= session.BROADCAST_BYTES
-    edges = found.select(_KEY, "__bin", "__low", "__high")
-    if small:
-        # A second scan that keeps about one row in thousands and shuffles just those.
-        kept = rows.join(F.broadcast(edges), [_KEY, "__bin"])
-    else:
-        # Narrow rows are shuffled to their bins, ties collapsed before; AQE splits a hot bin.
-        ties = rows.groupBy(_KEY, "__bin", _VALUE).agg(F.sum(_WEIGHT).alias(_WEIGHT))
-        kept = ties.join(edges, [_KEY, "__bin"])
-    candidates = (
-        kept.withColumn("__slice", _slice(F.col(_VALUE), F.col("__low"), F.col("__high")))
-        .groupBy(_KEY, "__bin", "__slice", _VALUE)
-        .agg(F.sum(_WEIGHT).alias(_WEIGHT))
-    )
-    slices = candidates.groupBy(_KEY, "__bin", "__slice").agg(F.sum(_WEIGHT).alias(_WEIGHT))
-    slices = slices.join(found.withColumnsRenamed({"__start": "__from", "__wanted": "__hits"}), [_KEY, "__bin"])
-    placed = _locate(slices, [_KEY, "__bin"], "__slice", F.col("__hits"), F.col("__from")).select(
-        _KEY, "__bin", "__slice", F.col("__start").alias("__from"), F.col("__wanted").alias("__hits")
-    )
-    values = candidates.join(placed, [_KEY, "__bin", "__slice"])
-    exact = _locate(values, [_KEY, "__bin", "__slice"], _VALUE, F.col("__hits"), F.col("__from"))
-    return exact.select(_KEY, F.col(_VALUE).alias("value"), F.explode("__wanted").alias("hit")).select(
-        _KEY, "value", F.col("hit.id").alias("id"), F.col("hit.share").alias("share")
+    rows = rows.withColumn("__grain", _grain(F.col(_VALUE))).withColumn("__cell", _coarser("__grain"))
+    weight = F.sum(_WEIGHT).alias(_WEIGHT)
+    cells = rows.groupBy(*_GROUP, "__cell").agg(weight).withColumn("__bin", _coarser("__cell"))
+    bins = cells.groupBy(*_GROUP, "__bin").agg(weight)
+    in_bins = _locate(bins, _GROUP, "__bin", targets(F.col("__total")), F.lit(0.0))
+
+    def narrowed(inner: DataFrame, found: DataFrame, outer: str, order: str) -> DataFrame:
+        within = [*_GROUP, outer]
+        return _locate(inner.join(found, within), within, order, F.col("__hits"), F.col("__from"))
+
+    in_cells = narrowed(cells, in_bins, "__bin", "__cell").drop("__bin")
+    ties = rows.groupBy(*_GROUP, "__cell", "__grain", _VALUE).agg(weight)
+    near = ties.join(in_cells, [*_GROUP, "__cell"])
+    grains = near.groupBy(*_GROUP, "__cell", "__grain").agg(weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits"))
+    in_grains = _locate(grains, [*_GROUP, "__cell"], "__grain", F.col("__hits"), F.col("__from")).drop("__cell")
+    exact = narrowed(near.drop("__from", "__hits", "__cell"), in_grains, "__grain", _VALUE)
+    return exact.select(*_GROUP, F.col(_VALUE).alias("value"), F.explode("__hits").alias("hit")).select(
+        *_GROUP, "value", F.col("hit.id").alias("id"), F.col("hit.share").alias("share")
     )
 
 
@@ -117,17 +99,19 @@ def _target(index: int, at: Column, share: Column) -> Column:
     return F.struct(F.lit(index).alias("id"), at.cast("double").alias("at"), share.cast("double").alias("share"))
 
 
-def _keyed(df: DataFrame, keys: list[str], value: str, weight: Column) -> DataFrame:
+def _keyed(df: DataFrame, keys: list[str], values: list[str], weight: Column) -> DataFrame:
+    """One row per value column; only rows with a value and a positive weight."""
     # A struct key compares null-safely in joins, so null keys form groups too.
     key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
-    return (
-        df.select(key.alias(_KEY), finite(value).alias(_VALUE), weight.cast("double").alias(_WEIGHT))
-        .where(F.col(_VALUE).isNotNull() & (F.col(_WEIGHT) > 0) & ~F.isnan(_WEIGHT))
+    each = F.array(*[F.struct(F.lit(i).alias(_COLUMN), finite(v).alias(_VALUE)) for i, v in enumerate(values)])
+    long = df.select(key.alias(_KEY), weight.cast("double").alias(_WEIGHT), F.explode(each).alias("__one"))
+    return long.select(_KEY, f"__one.{_COLUMN}", f"__one.{_VALUE}", _WEIGHT).where(
+        F.col(_VALUE).isNotNull() & (F.col(_WEIGHT) > 0) & ~F.isnan(_WEIGHT)
     )
 
 
-def _binned_quantiles(df: DataFrame, keys: list[str], value: str, named: dict[str, float], bounded: bool) -> DataFrame:
-    probabilities = list(named.values())
+def _quantiles(df: DataFrame, keys: list[str], specs: dict[str, dict[str, float]]) -> DataFrame:
+    probabilities = sorted({p for named in specs.values() for p in named.values()})
 
     def targets(total: Column) -> Column:
         wanted = []
@@ -139,14 +123,18 @@ def _binned_quantiles(df: DataFrame, keys: list[str], value: str, named: dict[st
             wanted.append(_target(2 * i + 1, upper + 1, F.when(exact, 0.0).otherwise(position - lower)))
         return F.array(*wanted)
 
-    hits = _order_statistics(_keyed(df, keys, value, F.lit(1.0)), targets, bounded)
+    hits = _order_statistics(_keyed(df, keys, list(specs), F.lit(1.0)), targets)
 
-    def weighted(index: int) -> Column:
-        return F.max(F.when(F.col("id") == index, F.col("value") * F.col("share")))
+    def weighted(column: int, index: int) -> Column:
+        chosen = (F.col(_COLUMN) == column) & (F.col("id") == index)
+        return F.max(F.when(chosen, F.col("value") * F.col("share")))
 
-    return hits.groupBy(_KEY).agg(
-        *[(weighted(2 * i) + weighted(2 * i + 1)).alias(name) for i, name in enumerate(named)]
-    )
+    found = []
+    for column, named in enumerate(specs.values()):
+        for name, probability in named.items():
+            i = probabilities.index(probability)
+            found.append((weighted(column, 2 * i) + weighted(column, 2 * i + 1)).alias(name))
+    return hits.groupBy(_KEY).agg(*found)
 
 
 def quantile_table(
@@ -155,76 +143,48 @@ def quantile_table(
     specs: dict[str, dict[str, float]],
     totals: dict[str, Column] | None = None,
     digits: int | None = 2,
-    strategy: str = "auto",
-    bounded_groups: bool = False,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group; nulls skipped, empty -> null.
 
     ``specs`` maps a value column to ``{output name: probability}``; ``totals``
-    are further plain aggregates. ``bounded_groups`` states that the number of
-    groups has a small fixed bound (years, property types); the binned plan then
-    stays fully lazy. Else it stores the located bins first to learn their size.
+    are further plain aggregates.
     """
-    if strategy == "auto":
-        strategy = "buffered" if is_small(df) else "binned"
-    names = [name for named in specs.values() for name in named]
-    totals = totals or {}
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
+    groups = df.groupBy(key.alias(_KEY)).agg(
+        *[column.alias(name) for name, column in (totals or {"__rows": F.count("*")}).items()]
+    )
+    found = groups.join(_quantiles(df, keys, specs), _KEY, "left")
 
     def shown(name: str) -> Column:
         column = F.col(name)
         return (column if digits is None else round_even(column, digits)).alias(name)
 
-    if strategy == "buffered":
-        aggregates = [column.alias(name) for name, column in totals.items()]
-        for value, named in specs.items():
-            points = F.array(*[F.lit(float(p)) for p in named.values()])
-            aggregates.append(F.percentile(finite(value), points).alias(f"__q_{value}"))
-        grouped = df.groupBy(*keys).agg(*aggregates)
-        for value, named in specs.items():
-            for i, name in enumerate(named):
-                grouped = grouped.withColumn(name, F.col(f"__q_{value}")[i])
-        return grouped.select(*keys, *totals, *[shown(name) for name in names])
-
-    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
-    result = df.groupBy(key.alias(_KEY)).agg(
-        *[column.alias(name) for name, column in (totals or {"__rows": F.count("*")}).items()]
-    )
-    for value, named in specs.items():
-        part = _binned_quantiles(df, keys, value, named, bounded_groups)
-        result = result.join(part, _KEY, "left")
-    return result.select(
-        *[F.col(f"{_KEY}.{k}").alias(k) for k in keys], *totals, *[shown(name) for name in names]
+    return found.select(
+        *[F.col(f"{_KEY}.{k}").alias(k) for k in keys],
+        *(totals or {}),
+        *[shown(name) for named in specs.values() for name in named],
     )
 
 
-def weighted_median(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    weight: Column | str,
-    name: str,
-    strategy: str = "auto",
-    bounded_groups: bool = False,
-) -> DataFrame:
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column | str, name: str) -> DataFrame:
     """Smallest value whose running weight reaches half of the group's weight.
 
     Only rows with a value and a positive weight count; a group without any has
     no row in the result.
     """
-    if strategy == "auto":
-        strategy = "buffered" if is_small(df) else "binned"
+    return weighted_medians(df, keys, {value: name}, weight)
+
+
+def weighted_medians(df: DataFrame, keys: list[str], names: dict[str, str], weight: Column | str) -> DataFrame:
+    """``weighted_median`` of several columns in one pass; a group with any of them has a row."""
     weight = F.col(weight) if isinstance(weight, str) else weight
-    rows = _keyed(df, keys, value, weight)
-    if strategy == "binned":
-        hits = _order_statistics(rows, lambda total: F.array(_target(0, total / 2, F.lit(0.0))), bounded_groups)
-        result = hits.select(_KEY, F.col("value").alias(name))
-    else:
-        values = rows.groupBy(_KEY, _VALUE).agg(F.sum(_WEIGHT).alias(_WEIGHT))
-        found = _locate(
-            values, [_KEY], _VALUE, F.array(_target(0, F.col("__total") / 2, F.lit(0.0))), F.lit(0.0)
-        )
-        result = found.select(_KEY, F.col(_VALUE).alias(name))
-    return result.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], name)
+    hits = _order_statistics(
+        _keyed(df, keys, list(names), weight), lambda total: F.array(_target(0, total / 2, F.lit(0.0)))
+    )
+    found = hits.groupBy(_KEY).agg(
+        *[F.max(F.when(F.col(_COLUMN) == i, F.col("value"))).alias(name) for i, name in enumerate(names.values())]
+    )
+    return found.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], *names.values())
 
 
 def weighted_mean_of(value: Column, weight: Column) -> Column:

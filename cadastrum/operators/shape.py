@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadastrum.functions.numbers import french_number
+
 
 def map_by_key(entries: str, key: str, value: str) -> Column:
     """Array of structs -> map, in the array's order."""
@@ -26,16 +28,27 @@ def two_maps_to_rows(counts: Column, medians: Column) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of each key in source order; combines before the shuffle, no sort."""
+    """First row of each key in source order; combines before the shuffle.
+
+    Rows with texts are aggregated by sorting, so pass only the columns that are wanted.
+    """
     rest = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*rest), F.struct(*order))
     return df.groupBy(*keys).agg(first.alias("__first")).select(*keys, "__first.*").select(*df.columns)
 
 
 def measure_pivot(long: DataFrame, keys: list[str], measure: str, value: str, order: str, measures: dict) -> DataFrame:
-    """Long -> wide: first value in source order per key and listed measure, renamed."""
-    first = F.min_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
-    return long.groupBy(*keys).pivot(measure, list(measures)).agg(first).withColumnsRenamed(measures)
+    """Long -> wide: the number in the first non-null text in source order, per key and listed measure, renamed.
+
+    Texts are parsed before they are grouped, so the buffers have a fixed width and rows are hashed.
+    """
+
+    def first(name: str) -> Column:
+        wanted = (F.col(measure) == name) & F.col("__filled")
+        return F.min_by("__number", F.when(wanted, F.col(order)))
+
+    parsed = long.withColumns({"__number": french_number(value), "__filled": F.col(value).isNotNull()})
+    return parsed.groupBy(*keys).agg(*[first(name).alias(column) for name, column in measures.items()])
 
 
 def unpivot_series(wide: DataFrame, keys: list[str], columns: list[str], labels: DataFrame | None = None) -> DataFrame:
@@ -72,13 +85,12 @@ def promote_header(grid: DataFrame, marker: str = "codgeo") -> DataFrame:
     different headers, so a record maps column name to text.
     """
     is_header = folded_cell(F.get("cells", F.lit(0))) == marker
-    header = grid.where(is_header).groupBy("table_id").agg(F.min("row_idx").alias("header_idx"))
-    at = grid.join(header, "table_id")
-    names = at.where(F.col("row_idx").between(F.col("header_idx") - 1, F.col("header_idx")))
-    names = names.groupBy("table_id", "header_idx").agg(
-        F.max(F.when(F.col("row_idx") == F.col("header_idx"), F.col("cells"))).alias("codes"),
-        F.max(F.when(F.col("row_idx") < F.col("header_idx"), F.col("cells"))).alias("labels"),
+    # Header rows are picked in the scan; the row above is fetched by its place, not by regrouping the sheet.
+    header = grid.where(is_header).groupBy("table_id").agg(
+        F.min("row_idx").alias("header_idx"), F.min_by("cells", "row_idx").alias("codes")
     )
+    above = grid.select("table_id", (F.col("row_idx") + 1).alias("header_idx"), F.col("cells").alias("labels"))
+    names = header.join(above, ["table_id", "header_idx"], "left")
     candidate = F.transform(
         "codes",
         lambda code, i: F.coalesce(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +106,22 @@ def page(gold: DataFrame, request: PageRequest) -> DataFrame:
     )
 
 
+def page_after(gold: DataFrame, request: PageRequest, value, code: str) -> DataFrame:
+    """The page behind the row with sort ``value`` and ``code``; no rows are skipped one by one.
+
+    For deep pages: the filter reaches the scan and each task keeps one page at most, whatever
+    the page's number. Null values stand last in either direction.
+    """
+    column = F.col(sort_column(request.sort_by, request.indicator))
+    later_code = F.col("geography_code") > code
+    if value is None:
+        behind = column.isNull() & later_code
+    else:
+        further = column < F.lit(value) if request.descending else column > F.lit(value)
+        behind = further | column.isNull() | ((column == F.lit(value)) & later_code)
+    return page(gold.where(behind), replace(request, offset=0))
+
+
 def filtered_count(gold: DataFrame, request: PageRequest) -> DataFrame:
     return _selected(gold, request).agg(F.count("*").alias("total_rows"))
 
@@ -147,12 +163,14 @@ def indicator_options(availability: DataFrame) -> DataFrame:
 
 
 def gate(availability: DataFrame, request: PageRequest) -> None:
-    """Raise unless the year has data and the level offers the indicator."""
-    years = availability.where((F.col("year") == int(request.year)) & F.col("available"))
-    if request.year == UNPUBLISHED_YEAR or years.isEmpty():
+    """Raise unless the year has data and the level offers the indicator. One aggregate row is fetched."""
+    wanted = (F.col("level") == request.level_key) & (F.col("indicator") == request.indicator) & (F.col("coverage") > 0)
+    facts = availability.where((F.col("year") == int(request.year)) & F.col("available")).agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(wanted).alias("offered")
+    ).first()
+    if request.year == UNPUBLISHED_YEAR or not facts["entries"]:
         raise NotAvailable(f"year {request.year} is not available")
-    offered = years.where((F.col("level") == request.level_key) & (F.col("indicator") == request.indicator))
-    if offered.where("coverage > 0").isEmpty():
+    if not facts["offered"]:
         raise NotAvailable(f"indicator {request.indicator} is not available for {request.level} in {request.year}")
 
 

@@ -10,43 +10,54 @@ from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.functions import blank_to_null, department_of, fold_header, french_number, round_even
-from cadastrum.operators.quantiles import weighted_mean_of, weighted_median, with_table_weight
+from cadastrum.operators.quantiles import weighted_mean_of, weighted_median, weighted_medians, with_table_weight
 from cadastrum.operators.shape import first_per_key, map_by_key, measure_pivot
-from cadastrum.schemas import INCOME_GOLD, INCOME_SILVER, INDICATORS, conform, require_columns
+from cadastrum.schemas import INCOME_GOLD, INDICATORS, conform, require_columns
+from cadastrum.sources.readers import camel, either_case_columns, either_case_schema, read_either_case
 from cadastrum.sources.sinks import as_document
 
 
 # --- source rows ------------------------------------------------------------
 
 
-def level_of_file(name: str) -> str:
-    lowered = name.lower()
-    for level, marks in (
-        ("commune", ("_com", "commune")),
-        ("department", ("_dep", "departement")),
-        ("region", ("_reg", "region")),
-    ):
-        if any(mark in lowered for mark in marks):
-            return level
-    return "unknown"
+# Marks of a level in a file name, first hit wins.
+LEVEL_MARKS = (
+    ("commune", ("_com", "commune")),
+    ("department", ("_dep", "departement")),
+    ("region", ("_reg", "region")),
+)
 
 
-def add_lineage(rows: DataFrame, source_file: str, year: int, source_type: str, table_id: str) -> DataFrame:
-    """Provenance columns of one source file; level and role follow from its name."""
-    role = "metadata" if source_file.rsplit("/", 1)[-1].lower().startswith("meta_") else "data"
+def level_of_file(name: Column) -> Column:
+    lowered = F.lower(name)
+    level = F.lit("unknown")
+    for found, marks in reversed(LEVEL_MARKS):
+        hit = reduce(Column.__or__, [F.contains(lowered, F.lit(mark)) for mark in marks])
+        level = F.when(hit, found).otherwise(level)
+    return level
+
+
+def add_file_lineage(rows: DataFrame, source_file: Column, year: int, source_type: str, table_id: str) -> DataFrame:
+    """Provenance columns; level and role follow from the name of each row's own file."""
+    base_name = F.lower(F.element_at(F.split(source_file, "/"), -1))
     return rows.withColumns(
         {
-            "source_file": F.lit(source_file),
-            "extracted_file": F.lit(source_file),
+            "source_file": source_file,
+            "extracted_file": source_file,
             "year": F.lit(year).cast("long"),
             "source_type": F.lit(source_type),
             "table_id": F.lit(table_id),
-            "geography_level": F.lit(level_of_file(source_file)),
-            "file_role": F.lit(role),
+            "geography_level": level_of_file(source_file),
+            "file_role": F.when(F.startswith(base_name, F.lit("meta_")), "metadata").otherwise("data"),
         }
     )
 
 
+def add_lineage(rows: DataFrame, source_file: str, year: int, source_type: str, table_id: str) -> DataFrame:
+    """``add_file_lineage`` for rows of one named file."""
+    return add_file_lineage(rows, F.lit(source_file), year, source_type, table_id)
+
+
 def fold_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[fold_header(name, keep_unmapped_as="") for name in df.columns])
 
@@ -84,7 +95,9 @@ def standard_rows(source: DataFrame, level: str, year: Column | int) -> DataFram
     numbers = {
         column: french_number(found[column]) if found[column] else F.lit(None).cast("double") for column in INDICATORS
     }
-    extra = [c for c in ("source_file", "extracted_file", "source_type", "table_id", "file_role") if c in source.columns]
+    extra = [
+        c for c in ("source_file", "extracted_file", "source_type", "table_id", "file_role", "__part") if c in source.columns
+    ]
     rows = source.select(
         code.alias("commune_code"),
         name.alias("commune_name"),
@@ -98,14 +111,16 @@ def standard_rows(source: DataFrame, level: str, year: Column | int) -> DataFram
 
 
 def fill_all_null_median(rows: DataFrame) -> DataFrame:
-    """Where no row of a year's table has d5 but some have a median, d5 is the median."""
-    flags = rows.groupBy("year").agg(
-        ((F.count("d5_income") == 0) & (F.count("median_income") > 0)).alias("__fill")
-    )
+    """Where no row of a year's table has d5 but some have a median, d5 is the median.
+
+    A column ``__part`` tells tables of one year apart.
+    """
+    by = [c for c in ("year", "__part") if c in rows.columns]
+    flags = rows.groupBy(*by).agg(((F.count("d5_income") == 0) & (F.count("median_income") > 0)).alias("__fill"))
     filled = F.when(F.col("__fill"), F.col("median_income")).otherwise(F.col("d5_income"))
     columns = rows.columns
-    # One flag row per year.
-    return rows.join(F.broadcast(flags), "year").withColumn("d5_income", filled).select(*columns)
+    # One flag row per year and part.
+    return rows.join(flags, by).withColumn("d5_income", filled).select(*columns)
 
 
 def infer_level(rows: DataFrame, by: list[str], code: str | None, department: str | None) -> DataFrame:
@@ -126,30 +141,38 @@ def infer_level(rows: DataFrame, by: list[str], code: str | None, department: st
 
 
 def legacy_silver(bronze: DataFrame, year: int) -> DataFrame:
-    """Rows labelled by level; tables of unknown level are placed by their codes."""
+    """Rows labelled by level; tables of unknown level are placed by their codes.
+
+    The known communes, the known departments and the placed rows are parts of their own:
+    each decides for itself whether d5 is filled from the median. Rows that cannot be placed
+    are left out. Lazy: the level of the unknown part is a joined row.
+    """
     bronze = fold_columns(bronze)
     if "geography_level" not in bronze.columns:
         bronze = bronze.withColumn("geography_level", F.lit("commune"))
     found = detect_columns(bronze.columns)
-    known = F.col("geography_level").isin("commune", "department")
-    unknown = bronze.where(~known | F.col("geography_level").isNull())
+    if found["commune_code"] is None and found["department_code"] is None:
+        raise ValueError(f"no commune code among columns: {', '.join(bronze.columns)}")
+    known = F.coalesce(F.col("geography_level").isin("commune", "department"), F.lit(False))
+    parted = bronze.withColumn("__part", F.when(known, F.col("geography_level")).otherwise("placed"))
     placed = infer_level(
-        unknown.withColumn("__all", F.lit(1)), ["__all"], found["commune_code"], found["department_code"]
-    ).first()
-    labelled = bronze
-    if placed and placed["geography_level"]:
-        labelled = bronze.withColumn(
-            "geography_level", F.when(known, F.col("geography_level")).otherwise(placed["geography_level"])
-        )
-    present = {row[0] for row in labelled.groupBy("geography_level").count().select("geography_level").collect()}
-    levels = [level for level in ("commune", "department") if level in present]
-    if not levels:
-        raise ValueError("no commune or department rows in the source table")
+        parted.where(F.col("__part") == "placed"), ["__part"], found["commune_code"], found["department_code"]
+    ).withColumnRenamed("geography_level", "__placed")
+    # One row, for the one part without a level.
+    labelled = parted.join(F.broadcast(placed), "__part", "left").withColumn(
+        "geography_level", F.coalesce("__placed", F.when(known, F.col("geography_level")))
+    ).drop("__placed")
+    department_rows = F.col("geography_level") == "department"
+    if found["commune_code"] is None:
+        # Without the column no row is placed as a commune; one that says it is cannot be read.
+        refused = F.raise_error(F.lit(f"no commune code among columns: {', '.join(bronze.columns)}")).cast("boolean")
+        parts = [labelled.where(F.when(F.col("geography_level") == "commune", refused).otherwise(department_rows))]
+        return standard_rows(parts[0].drop("geography_level"), "department", year).drop("__part")
     parts = [
         standard_rows(labelled.where(F.col("geography_level") == level).drop("geography_level"), level, year)
-        for level in levels
+        for level in ("commune", "department")
     ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).drop("__part")
 
 
 def fill_from(
@@ -194,7 +217,7 @@ def long_silver(bronze: DataFrame, year: int, order: str) -> DataFrame:
         wanted, ["geo", "geo_object", "time_period"], "filosofi_measure", "obs_value", order, cat.MEASURES
     )
     commune = F.col("geo_object") == "COM"
-    numbers = {name: french_number(name) for name in cat.MEASURES.values()}
+    numbers = {name: F.col(name) for name in cat.MEASURES.values()}
     return wide.select(
         F.when(commune, F.col("geo")).otherwise("").alias("commune_code"),
         F.lit("").alias("commune_name"),
@@ -220,7 +243,8 @@ def silver_counts(silver: DataFrame, by: list[str]) -> DataFrame:
 
 
 def source_profile(long: DataFrame) -> DataFrame:
-    """Row count and the distinct objects and measures of a long source table."""
+    """Row count and the distinct objects and measures of a long source table, whose columns must be complete."""
+    require_columns(long, cat.LONG_SOURCE_COLUMNS, "long income source")
     return long.agg(
         F.count("*").alias("row_count"),
         F.array_sort(F.collect_set(blank_to_null("GEO_OBJECT"))).alias("geo_objects"),
@@ -241,12 +265,14 @@ def mask_unpublished(rows: DataFrame, mapping: dict | None = None) -> DataFrame:
 
 
 def add_provenance(rows: DataFrame, catalogue: dict | None = None) -> DataFrame:
-    """Provenance columns from the catalogue; rows of unlisted years are not loaded."""
-    years = F.broadcast(cat.source_years(rows.sparkSession, catalogue))
+    """Provenance columns from the catalogue; a row of a year it does not list is an error."""
+    years = F.broadcast(cat.source_years(rows.sparkSession, catalogue).withColumn("__listed", F.lit(True)))
     derived = F.col("indicator_source") == cat.DERIVED
-    joined = rows.join(years, "year")
+    joined = rows.join(years, "year", "left")
+    unlisted = F.raise_error(F.format_string("year %s is not in the source catalogue", "year")).cast("long")
     return joined.withColumns(
         {
+            "year": F.when(F.col("__listed"), F.col("year")).otherwise(unlisted),
             "source_generation": F.when(derived, "historical").otherwise(F.col("source_generation")),
             "is_official": ~derived,
             "methodology_version": F.when(derived, "derived_from_filosofi_v1")
@@ -258,7 +284,7 @@ def add_provenance(rows: DataFrame, catalogue: dict | None = None) -> DataFrame:
             & (F.col("geography_level") == "commune")
             & F.col("comparable"),
         }
-    ).drop("comparable", "secondary_comparable", "methodological_break", "break_label")
+    ).drop("comparable", "secondary_comparable", "methodological_break", "break_label", "__listed")
 
 
 def harmonise(silver: DataFrame, catalogue: dict | None = None, mapping: dict | None = None) -> DataFrame:
@@ -278,7 +304,7 @@ def harmonise(silver: DataFrame, catalogue: dict | None = None, mapping: dict |
     return conform(add_provenance(rows, catalogue), INCOME_GOLD)
 
 
-def derive_departments(communes: DataFrame, catalogue: dict | None = None, strategy: str = "auto") -> DataFrame:
+def derive_departments(communes: DataFrame, catalogue: dict | None = None) -> DataFrame:
     """Department rows from gold communes: weighted medians, poverty as weighted mean.
 
     All indicators go through one unpivot and one grouped pass.
@@ -289,7 +315,7 @@ def derive_departments(communes: DataFrame, catalogue: dict | None = None, strat
     medians = [name for name in INDICATORS if name != "poverty_rate"]
     # The weight may itself be one of the unpivoted indicators, so it is kept apart.
     long = weighted.select(*keys, "weight", *medians).unpivot([*keys, "weight"], medians, "indicator", "value")
-    found = weighted_median(long, [*keys, "indicator"], "value", "weight", "median", strategy)
+    found = weighted_median(long, [*keys, "indicator"], "value", "weight", "median")
     wide = found.groupBy(*keys).pivot("indicator", medians).agg(F.first("median"))
     poverty = weighted.groupBy(*keys).agg(weighted_mean_of(F.col("poverty_rate"), F.col("weight")).alias("poverty_rate"))
     rows = poverty.join(wide, keys, "left").withColumns(
@@ -302,19 +328,19 @@ def derive_departments(communes: DataFrame, catalogue: dict | None = None, strat
     return conform(add_provenance(rows, catalogue), INCOME_GOLD)
 
 
-def departments(gold: DataFrame, catalogue: dict | None = None, strategy: str = "auto") -> DataFrame:
+def departments(gold: DataFrame, catalogue: dict | None = None) -> DataFrame:
     """Official department rows where a year has any, else rows derived from communes."""
     official = gold.where(F.col("geography_level") == "department")
     years = official.select("year").distinct()
     # At most one row per catalogue year.
     lacking = gold.where(F.col("geography_level") == "commune").join(F.broadcast(years), "year", "left_anti")
-    return official.unionByName(derive_departments(lacking, catalogue, strategy))
+    return official.unionByName(derive_departments(lacking, catalogue))
 
 
 # --- summaries --------------------------------------------------------------
 
 
-def decile_summary(communes: DataFrame, department_rows: DataFrame, strategy: str = "auto") -> DataFrame:
+def decile_summary(communes: DataFrame, department_rows: DataFrame) -> DataFrame:
     """National d1, d5, d9 per year; a decile no commune has comes from departments."""
     deciles = ["d1_income", "d5_income", "d9_income"]
 
@@ -323,7 +349,7 @@ def decile_summary(communes: DataFrame, department_rows: DataFrame, strategy: st
         long = weighted.select("year", "weight", *deciles).unpivot(["year", "weight"], deciles, "indicator", "value")
         present = long.groupBy("year", "indicator").agg((F.count("value") > 0).alias(f"any_{suffix}"))
         found = weighted_median(
-            long, ["year", "indicator"], "value", "weight", f"value_{suffix}", strategy, bounded_groups=True
+            long, ["year", "indicator"], "value", "weight", f"value_{suffix}"
         )
         return present.join(found, ["year", "indicator"], "left")
 
@@ -332,7 +358,7 @@ def decile_summary(communes: DataFrame, department_rows: DataFrame, strategy: st
     return both.groupBy("year").pivot("indicator", deciles).agg(F.first(round_even(value, 2)))
 
 
-def year_summary(communes: DataFrame, department_rows: DataFrame, strategy: str = "auto") -> DataFrame:
+def year_summary(communes: DataFrame, department_rows: DataFrame) -> DataFrame:
     """Coverage, national weighted median income and poverty per year."""
     weighted = with_table_weight(communes, ["year"])
     counts = weighted.groupBy("year").agg(
@@ -344,12 +370,10 @@ def year_summary(communes: DataFrame, department_rows: DataFrame, strategy: str
         F.max("indicator_source").alias("department_indicator_source"),
         F.max("dispositif").alias("dispositif"),
     )
-    income = weighted_median(weighted, ["year"], "median_income", "weight", "income", strategy, bounded_groups=True)
-    poverty = weighted_median(weighted, ["year"], "poverty_rate", "weight", "poverty", strategy, bounded_groups=True)
+    medians = weighted_medians(weighted, ["year"], {"median_income": "income", "poverty_rate": "poverty"}, "weight")
     return (
         counts.join(covered, "year", "left")
-        .join(income, "year", "left")
-        .join(poverty, "year", "left")
+        .join(medians, "year", "left")
         .select(
             "year",
             "communes_covered",
@@ -478,9 +502,13 @@ def availability(gold: DataFrame, catalogue: dict | None = None) -> DataFrame:
     spark = gold.sparkSession
     coverage = gold.groupBy("year", level_key().alias("level")).agg(
         F.max("is_official").alias("official"),
-        F.max("indicator_source").alias("indicator_source"),
+        F.bool_or(F.col("indicator_source") == cat.OFFICIAL).alias("any_official"),
+        F.bool_or(F.col("indicator_source") == cat.DERIVED).alias("any_derived"),
         *[round_even(F.count(name) / F.count("*"), 4).alias(name) for name in INDICATORS],
     )
+    # Flags have a fixed width, so the rows are hashed; a text would have them sorted.
+    source = F.when(F.col("any_official"), cat.OFFICIAL).when(F.col("any_derived"), cat.DERIVED)
+    coverage = coverage.withColumn("indicator_source", source)
     measured = coverage.unpivot(["year", "level", "official", "indicator_source"], list(INDICATORS), "indicator", "share")
     years = cat.source_years(spark, catalogue, enabled_only=True)
     frame = years.withColumn("level", F.explode(F.array(*map(F.lit, cat.LEVELS)))).withColumn(
@@ -519,8 +547,77 @@ def availability_document(rows: DataFrame) -> DataFrame:
     ).select(F.to_json("years", {"ignoreNullFields": "false"}).alias("document"))
 
 
-def key_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+_SUMMARY_FIELDS = {
+    "source": ("string", "INSEE FiLoSoFi"),
+    "generated_at": ("string", ""),
+    "available_years": ("array<double>", None),
+    "latest_year": ("double", None),
+}
+_DECILES = "struct<d1_income:double,d5_income:double,d9_income:double,d1Income:double,d5Income:double,d9Income:double>"
+_ONE_SUMMARY = _SUMMARY_FIELDS | {
+    "dispositif": ("string", None),
+    "department_indicator_source": ("string", None),
+    "communes_covered": ("long", 0),
+    "departments_covered": ("long", 0),
+    "national_median_income": ("double", None),
+    "median_income_by_department": ("map<string,double>", None),
+    "decile_summary": (_DECILES, None),
+    "poverty_rate_summary": ("struct<mean:double,median:double>", None),
+    "notes": ("array<string>", None),
+}
+
+
+def read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """One row per year of an income summary collection, in either key style.
+
+    Absent values take their defaults; entries whose key is no year are skipped.
+    """
+    collection = read_either_case(spark, path, _SUMMARY_FIELDS | {"summaries_by_year": ("map<string,string>", None)})
+    entries = collection.select(
+        F.col("latest_year").cast("long").alias("collection_latest_year"), F.explode("summaries_by_year").alias("key", "text")
+    )
+    parsed = entries.select(
+        "collection_latest_year", F.col("key").try_cast("double").cast("long").alias("year"),
+        F.from_json("text", either_case_schema(_ONE_SUMMARY)).alias("one"),
+    ).where("year IS NOT NULL")
+    deciles = F.struct(*[
+        F.coalesce(F.col(f"decile_summary.{camel(name)}"), F.col(f"decile_summary.{name}")).alias(name)
+        for name in ("d1_income", "d5_income", "d9_income")
+    ])
+    return parsed.select("collection_latest_year", "year", *either_case_columns(_ONE_SUMMARY, "one")).withColumns({
+        "latest_year": F.col("latest_year").cast("long"),
+        "available_years": F.col("available_years").cast("array<bigint>"),
+        "median_income_by_department": F.coalesce("median_income_by_department", F.create_map().cast("map<string,double>")),
+        "decile_summary": deciles,
+        "notes": F.coalesce("notes", F.array().cast("array<string>")),
+    })
+
+
+def read_availability(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of availability documents, entries in either key style."""
+    fields = {
+        "available": ("boolean", False), "coverage": ("double", 0.0), "official": ("boolean", False),
+        "indicator_source": ("string", ""), "comparable_with_previous_years": ("boolean", False),
+    }
+    kind = f"map<string,map<string,map<string,struct<{either_case_schema(fields, ':')}>>>>"
+    years = spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("year", "levels"))
+    levels = years.select("year", F.explode("levels").alias("level", "indicators"))
+    rows = levels.select("year", "level", F.explode("indicators").alias("indicator", "one"))
+    return rows.select(F.col("year").cast("long").alias("year"), "level", "indicator", *either_case_columns(fields, "one"))
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata documents in either key style."""
+    broken = "array<struct<year:bigint,label:string,comparable_to_previous_year:boolean,comparableToPreviousYear:boolean>>"
+    read = read_either_case(spark, path, {
+        "source": ("string", "INSEE FiLoSoFi"), "generated_at": ("string", ""), "available_years": ("array<bigint>", None),
+        "missing_years": ("array<bigint>", None), "methodology_breaks": (broken, None), "datasets": ("map<string,string>", None),
+    })
+    return read.withColumn("methodology_breaks", F.transform("methodology_breaks", lambda b: F.struct(
+        b["year"].alias("year"), b["label"].alias("label"),
+        F.coalesce(b["comparableToPreviousYear"], b["comparable_to_previous_year"], F.lit(False)).alias("comparable_to_previous_year"),
+    )))
 
 
-SILVER_COLUMNS = [*INCOME_SILVER.fieldNames(), "geography_level"]
+def key_duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 1)

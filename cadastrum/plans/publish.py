@@ -172,8 +172,11 @@ def preview(df: DataFrame, order: list[str], columns: list[str] | None = None, r
     return df.orderBy(*order).limit(rows).select(*shown)
 
 
-def preview_document(df: DataFrame, dataset_id: str, location: str, order: list[str], years: list[int]) -> DataFrame:
-    """One JSON document: counts of the whole table and its first rows."""
+def preview_document(df: DataFrame, dataset_id: str, location: str, order: list[str], years: list[int] | None) -> DataFrame:
+    """One JSON document: counts of the whole table and its first rows.
+
+    ``years`` are the configured years; without them the table's own years are listed.
+    """
     from cadastrum.sources.sinks import json_safe
 
     first = json_safe(preview(df, order)).agg(
@@ -185,12 +188,16 @@ def preview_document(df: DataFrame, dataset_id: str, location: str, order: list[
             for key, label, kind in column_kinds(df)
         ]
     )
+    if years is None:
+        listed = df.agg(F.array_sort(F.collect_set(F.col("year").cast("long")))).scalar()  # one entry per year
+    else:
+        listed = F.array(*[F.lit(int(y)).cast("long") for y in years])
     row = first.select(
         F.lit(dataset_id).alias("dataset_id"),
         F.lit(location).alias("source_file_location"),
         df.agg(F.count("*")).scalar().alias("rows"),
         F.lit(len(df.columns)).alias("columns_count"),
-        F.array(*[F.lit(y) for y in years]).alias("available_years"),
+        listed.alias("available_years"),
         F.lit(None).cast("string").alias("last_update"),
         columns.alias("columns"),
         "records",

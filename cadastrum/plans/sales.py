@@ -12,6 +12,7 @@ from cadastrum.functions import fold_header, french_number, full_commune_code, r
 from cadastrum.operators.quantiles import quantile_table
 from cadastrum.operators.shape import map_by_key
 from cadastrum.schemas import SALES_COLUMNS, SALES_NUMBERS, SALES_TEXT
+from cadastrum.sources.readers import read_either_case
 from cadastrum.sources.sinks import as_document
 
 # Fixed values of the sales rules.
@@ -111,7 +112,7 @@ def quality_funnel(bronze: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def national(silver: DataFrame, strategy: str = "auto") -> DataFrame:
+def national(silver: DataFrame) -> DataFrame:
     return quantile_table(
         silver,
         ["year"],
@@ -120,41 +121,35 @@ def national(silver: DataFrame, strategy: str = "auto") -> DataFrame:
             "surface_reelle_bati": {"median_surface": 0.5},
         },
         {"total_sales_count": F.count("*")},
-        strategy=strategy,
-        bounded_groups=True,
     )
 
 
-def by_department(silver: DataFrame, strategy: str = "auto") -> DataFrame:
+def by_department(silver: DataFrame) -> DataFrame:
     table = quantile_table(
         silver,
         ["code_departement", "year"],
         {"price_m2": {"median_price_m2": 0.5}},
         {"sales_count": F.count("*")},
-        strategy=strategy,
     )
     return table.withColumnRenamed("code_departement", "department_code")
 
 
-def by_property_type(silver: DataFrame, strategy: str = "auto") -> DataFrame:
+def by_property_type(silver: DataFrame) -> DataFrame:
     table = quantile_table(
         silver,
         ["type_local", "year"],
         {"price_m2": {"median_price_m2": 0.5}},
-        strategy=strategy,
-        bounded_groups=True,
     )
     return table.withColumnRenamed("type_local", "property_type")
 
 
-def by_commune(silver: DataFrame, strategy: str = "auto") -> DataFrame:
+def by_commune(silver: DataFrame) -> DataFrame:
     """Per commune code, name and department, so name variants stay apart."""
     table = quantile_table(
         silver,
         ["code_commune", "nom_commune", "code_departement", "year"],
         {"price_m2": {"median_price_m2": 0.5}, "surface_reelle_bati": {"median_surface": 0.5}},
         {"sales_count": F.count("*")},
-        strategy=strategy,
     )
     return table.withColumnsRenamed(
         {"code_commune": "commune_code", "nom_commune": "commune_name", "code_departement": "department_code"}
@@ -183,9 +178,9 @@ def headline_metrics(national_rows: DataFrame, departments: DataFrame) -> DataFr
     return wide.unpivot(["year"], [c for c in wide.columns if c != "year"], "metric", "value")
 
 
-def summary_table(silver: DataFrame, source_file: str, generated_at: str, strategy: str = "auto") -> DataFrame:
+def summary_table(silver: DataFrame, source_file: str, generated_at: str) -> DataFrame:
     """One nested summary row per year: filters, totals, maps, department list."""
-    departments = by_department(silver, strategy)
+    departments = by_department(silver)
     per_department = (
         departments.groupBy("year")
         .agg(
@@ -197,7 +192,7 @@ def summary_table(silver: DataFrame, source_file: str, generated_at: str, strate
         .withColumn("median_price_m2_by_department", map_by_key("departments", "department_code", "median_price_m2"))
     )
     per_type = (
-        by_property_type(silver, strategy)
+        by_property_type(silver)
         .groupBy("year")
         .agg(F.array_sort(F.collect_list(F.struct("property_type", "median_price_m2"))).alias("types"))
         .withColumn("median_price_m2_by_property_type", map_by_key("types", "property_type", "median_price_m2"))
@@ -214,7 +209,7 @@ def summary_table(silver: DataFrame, source_file: str, generated_at: str, strate
         outliers.alias("outliers"),
     )
     return (
-        national(silver, strategy)
+        national(silver)
         .join(per_department, "year")
         .join(per_type, "year")
         .select(
@@ -236,41 +231,40 @@ def summary_table(silver: DataFrame, source_file: str, generated_at: str, strate
     )
 
 
-def summary_documents(silver: DataFrame, source_file: str, generated_at: str, strategy: str = "auto") -> DataFrame:
-    return as_document(summary_table(silver, source_file, generated_at, strategy))
+def summary_documents(silver: DataFrame, source_file: str, generated_at: str) -> DataFrame:
+    return as_document(summary_table(silver, source_file, generated_at))
 
 
-SUMMARY_SCHEMA = (
-    "year long, availableYears array<long>, available_years array<long>,"
-    " generatedAt string, generated_at string, sourceFile string, source_file string,"
-    " totalSalesCount long, total_sales_count long,"
-    " medianPricePerSquareMeter double, median_price_m2 double, medianSurface double, median_surface double,"
-    " salesCountByDepartment map<string,long>, sales_count_by_department map<string,long>,"
-    " medianPricePerSquareMeterByDepartment map<string,double>, median_price_m2_by_department map<string,double>,"
-    " medianPricePerSquareMeterByPropertyType map<string,double>, median_price_m2_by_property_type map<string,double>"
+_FILTERS = (
+    "struct<nature_mutation:string,property_types:array<string>,"
+    "outliers:struct<price_m2_min:double,price_m2_max:double,surface_min:double,surface_max:double>>"
 )
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """Sales summary documents in either key style; absent values take their defaults."""
-    raw = spark.read.schema(SUMMARY_SCHEMA).json(path)
-
-    def either(camel: str, snake: str, default: Column | None = None) -> Column:
-        found = F.coalesce(F.col(camel), F.col(snake))
-        return (found if default is None else F.coalesce(found, default)).alias(snake)
-
-    def no_entries(kind: str) -> Column:
-        return F.create_map().cast(f"map<string,{kind}>")
-
-    return raw.select(
-        "year",
-        either("availableYears", "available_years"),
-        either("generatedAt", "generated_at", F.lit("")),
-        either("sourceFile", "source_file", F.lit("")),
-        either("totalSalesCount", "total_sales_count", F.lit(0).cast("long")),
-        either("medianPricePerSquareMeter", "median_price_m2"),
-        either("medianSurface", "median_surface"),
-        either("salesCountByDepartment", "sales_count_by_department", no_entries("bigint")),
-        either("medianPricePerSquareMeterByDepartment", "median_price_m2_by_department", no_entries("double")),
-        either("medianPricePerSquareMeterByPropertyType", "median_price_m2_by_property_type", no_entries("double")),
-    )
+    renamed = {
+        "median_price_m2": "median_price_per_square_meter",
+        "median_price_m2_by_department": "median_price_per_square_meter_by_department",
+        "median_price_m2_by_property_type": "median_price_per_square_meter_by_property_type",
+    }
+    numbers, counts = "map<string,double>", "map<string,bigint>"
+    fields = {
+        "year": ("long", None),
+        "available_years": ("array<long>", None),
+        "generated_at": ("string", ""),
+        "source_file": ("string", ""),
+        "filters": (_FILTERS, None),
+        "total_sales_count": ("long", 0),
+        "median_surface": ("double", None),
+        "sales_count_by_department": (counts, None),
+    }
+    for snake, long_name in renamed.items():
+        kind = numbers if snake.endswith(("department", "type")) else "double"
+        fields |= {snake: (kind, None), long_name: (kind, None)}
+    read = read_either_case(spark, path, fields)
+    for snake, long_name in renamed.items():
+        kind = dict(read.dtypes)[snake]
+        found = [F.col(long_name), F.col(snake), *([F.create_map().cast(kind)] if kind.startswith("map") else [])]
+        read = read.withColumn(snake, F.coalesce(*found)).drop(long_name)
+    return read.withColumn("sales_count_by_department", F.coalesce("sales_count_by_department", F.create_map().cast(counts)))

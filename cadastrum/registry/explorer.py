@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
+from cadastrum.functions import round_even
 from cadastrum.operators.shape import unpivot_series
 from cadastrum.plans import explorer as plan
 from cadastrum.plans import income
@@ -115,21 +117,21 @@ def indicator_options(spark, sf_dir):
              SELECT * FROM (
                SELECT geography_code, year, CASE WHEN geography_level = 'commune' THEN 'commune'
                  WHEN is_official THEN 'department_official' ELSE 'department_derived' END AS level,
-                 {", ".join(c for c in INDICATORS if c != "poverty_rate")} FROM all_gold)
-             UNPIVOT INCLUDE NULLS (value FOR indicator IN ({", ".join(c for c in INDICATORS if c != "poverty_rate")})))
-           SELECT geography_code, year, level, indicator, value FROM long
+                 {", ".join(INDICATORS)} FROM all_gold)
+             UNPIVOT INCLUDE NULLS (value FOR indicator IN ({", ".join(INDICATORS)})))
+           SELECT geography_code, year, level, indicator, round_even(value * 1000000000, 0) / 1000000000 AS value FROM long
            WHERE (year, level, indicator) IN (SELECT (year, level, indicator) FROM availability WHERE available)""",
         *GOLD_VIEWS, AVAILABILITY_SQL,
     ),
 )
 def gated_query(spark, sf_dir):
-    """Every value whose indicator is on offer for its year and level."""
+    """Every value whose indicator is on offer for its year and level, to nine decimals."""
     rows = all_gold(spark, sf_dir)
-    indicators = [c for c in INDICATORS if c != "poverty_rate"]
-    long = rows.select("geography_code", "year", income.level_key().alias("level"), *indicators).unpivot(
-        ["geography_code", "year", "level"], indicators, "indicator", "value"
+    long = rows.select("geography_code", "year", income.level_key().alias("level"), *INDICATORS).unpivot(
+        ["geography_code", "year", "level"], list(INDICATORS), "indicator", "value"
     )
-    return plan.gated_values(long, plan.indicator_options(income.availability(rows)))
+    gated = plan.gated_values(long, plan.indicator_options(income.availability(rows)))
+    return gated.withColumn("value", round_even("value", 9))
 
 
 def _text(value: str) -> str:
@@ -171,10 +173,27 @@ def unpivot_series_query(spark, sf_dir):
     )
 
 
-@query("typed_sort", "SELECT doc_id, source, lang, n_chars FROM documents")
+@query(
+    "typed_sort",
+    """WITH w AS (
+         SELECT lang, regexp_extract(text, '^[A-Za-zÀ-ÖØ-öø-ÿ]+') AS word, n_chars FROM documents),
+       t AS (SELECT lang, word, count(*) AS rows FROM w GROUP BY ALL),
+       n AS (SELECT lang, CAST(n_chars AS VARCHAR) AS word, count(*) AS rows FROM w GROUP BY ALL)
+       SELECT 'text' AS kind, lang, word, rows,
+              row_number() OVER (PARTITION BY lang ORDER BY replace(lower(strip_accents(word)), 'ß', 'ss'), word) AS position
+       FROM t
+       UNION ALL SELECT 'number', lang, word, rows, row_number() OVER (PARTITION BY lang ORDER BY CAST(word AS DOUBLE) DESC) FROM n""",
+)
 def typed_sort(spark, sf_dir):
-    """Whole table by French text order, then by number; the rows are those of the table."""
-    documents = table(spark, sf_dir, "documents")
-    return documents.orderBy(
-        plan.typed_order("text", "text"), plan.typed_order("n_chars", "number", descending=True)
-    ).select("doc_id", "source", "lang", "n_chars")
+    """Places of the distinct first words by French text order, and of the distinct lengths by number, per language."""
+    words = table(spark, sf_dir, "documents").select(
+        "lang", F.regexp_extract("text", "^[A-Za-zÀ-ÖØ-öø-ÿ]+", 0).alias("word"), F.col("n_chars").cast("string").alias("length")
+    )
+
+    def placed(kind: str, column: str, *order):
+        counted = words.groupBy("lang", F.col(column).alias("word")).agg(F.count("*").alias("rows"))
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+        return counted.select(F.lit(kind).alias("kind"), "lang", "word", "rows", place.alias("position"))
+
+    by_text = placed("text", "word", plan.typed_order("word", "text"), F.col("word"))
+    return by_text.union(placed("number", "length", plan.typed_order("word", "number", descending=True)))

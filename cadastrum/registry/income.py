@@ -133,16 +133,65 @@ _FR_INDICATORS = ", ".join(INDICATORS)
 )
 def detect_columns(spark, sf_dir):
     """Commune rows under their published source names, brought back by detection."""
-    rows = standins.income_silver(spark, sf_dir).where(F.col("geography_level") == "commune")
+    raw = _source_named(standins.income_silver(spark, sf_dir).where(F.col("geography_level") == "commune"))
+    standard = plan.standard_rows(plan.fold_columns(raw), "commune", F.col("year"))
+    return standard.select("commune_code", "commune_name", "department_code", *INDICATORS, "year")
+
+
+def _source_named(rows):
+    """Silver rows under published source names, numbers in French writing."""
     names = {c: cat.PUBLISHED_COLUMNS[c].get(2018, "D518") for c in INDICATORS}
-    raw = rows.select(
+    return rows.select(
         F.col("commune_code").alias("CODGEO"),
         F.concat(F.lit(" "), "commune_name").alias("LIBGEO"),
         *[F.translate(F.col(c).cast("string"), ".", ",").alias(source) for c, source in names.items()],
         "year",
     )
-    standard = plan.standard_rows(plan.fold_columns(raw), "commune", F.col("year"))
-    return standard.select("commune_code", "commune_name", "department_code", *INDICATORS, "year")
+
+
+@query(
+    "legacy_silver",
+    with_views(
+        f"""SELECT commune_code, trim(commune_name) AS commune_name, department_code, 'commune' AS geography_level,
+                   CAST(2019 AS BIGINT) AS year, {_FR_INDICATORS}
+            FROM income_silver WHERE geography_level = 'commune' AND year IN (2018, 2019)""".replace(
+            "d5_income", "CASE WHEN year = 2018 THEN median_income ELSE d5_income END AS d5_income"
+        ),
+        INCOME_SQL,
+    ),
+)
+def legacy_silver(spark, sf_dir):
+    """Two tables of one year: one of known level, one placed by its codes and filled by itself."""
+    rows = standins.income_silver(spark, sf_dir).where((F.col("geography_level") == "commune") & F.col("year").isin(2018, 2019))
+    level = F.when(F.col("year") == 2019, "commune").otherwise("unknown")
+    bronze = _source_named(rows).withColumn("geography_level", level).drop("year")
+    silver = plan.legacy_silver(bronze, 2019)
+    return silver.select("commune_code", "commune_name", "department_code", "geography_level", "year", *INDICATORS)
+
+
+_MAIN_POVERTY = "CASE WHEN substr(commune_code, 5, 1) IN ('0', '2', '4') THEN NULL ELSE poverty_rate END"
+
+
+@query(
+    "historical_silver",
+    with_views(
+        f"""SELECT commune_code, department_code, CAST(2018 AS BIGINT) AS year, median_income, d1_income,
+                   median_income AS d5_income, coalesce({_MAIN_POVERTY}, poverty_rate * 2) AS poverty_rate,
+                   'historical' AS source_generation
+            FROM income_silver WHERE geography_level = 'commune' AND year = 2018""",
+        INCOME_SQL,
+    ),
+)
+def historical_silver(spark, sf_dir):
+    """Two workbook tables; the poverty rate of every other commune comes from the second."""
+    rows = standins.income_silver(spark, sf_dir).where((F.col("geography_level") == "commune") & (F.col("year") == 2018))
+    main = _source_named(rows.withColumn("poverty_rate", F.expr(_MAIN_POVERTY)))
+    poor = _source_named(rows.withColumn("poverty_rate", F.col("poverty_rate") * 2))
+    bronze = main.withColumn("table_id", F.lit("disp_com")).union(poor.withColumn("table_id", F.lit("disp_pauvres_com")))
+    silver = plan.historical_silver(bronze.withColumn("place", F.col("CODGEO")).drop("year"), 2018, "place")
+    return silver.select(
+        "commune_code", "department_code", "year", "median_income", "d1_income", "d5_income", "poverty_rate", "source_generation"
+    )
 
 
 @query(
@@ -267,7 +316,7 @@ def weighted_median_query(spark, sf_dir):
     """The binned plan over the whole table."""
     rows = _unit_prices(spark, sf_dir)
     keys = ["l_returnflag", "l_linestatus"]
-    return weighted_median(rows, keys, "value", "weight", "median", strategy="binned")
+    return weighted_median(rows, keys, "value", "weight", "median")
 
 
 @query(
@@ -458,7 +507,8 @@ def measure_pivot(spark, sf_dir):
     ),
 )
 def source_profile(spark, sf_dir):
-    profile = plan.source_profile(standins.observations(spark, sf_dir))
+    rest = {name: F.lit("") for name in ("UNIT_MEASURE", "CONF_STATUS", "OBS_STATUS", "UNIT_MULT")}
+    profile = plan.source_profile(standins.observations(spark, sf_dir).withColumns(rest))
     joined = {name: F.array_join(name, "|") for name in ("geo_objects", "measures")}
     return profile.withColumns(joined)
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
-from cadastrum.column_labels import SALES_LABELS
+from cadastrum.column_labels import FILTER_KINDS, INCOME_LABELS, RESULT_LABELS, SALES_LABELS
 from cadastrum.plans import explorer, income, layers, publish
 from cadastrum.plans import sales as sales_plan
 from cadastrum.plans.checks import catalogue_violations
 from cadastrum.registry import standins
 from cadastrum.registry.base import query, table
 from cadastrum.registry.income import (
+    AVAILABILITY_SQL,
     DECILE_SQL,
     DEPARTMENTS_SQL,
     GOLD_SQL,
@@ -110,7 +111,7 @@ def preview(spark, sf_dir):
 _LINEITEM = (
     ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
     ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
-    ("l_returnflag", "string"), ("l_linestatus", "string"),
+    ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"),
 )
 
 
@@ -123,11 +124,20 @@ _LINEITEM = (
 )
 def describe_columns(spark, sf_dir):
     """Names and types of a table's columns and how many cells are filled."""
-    lines = table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    lines = table(spark, sf_dir, "lineitem")
     filled = lines.agg(*[F.count(c).alias(c) for c in lines.columns]).unpivot([], lines.columns, "column_name", "filled")
     return filled.join(F.broadcast(readers.describe(lines)), "column_name")
 
 
+_INCOME_SHOWN = {
+    name: INCOME_LABELS[name]
+    for name in ("year", "geography_level", "commune_code", "department_code", "commune_name", *INDICATORS)
+}
+_RESULT_NAMES = {
+    "geographyCode": "geography_code", "geographyName": "geography_name", "indicatorValue": "median_income",
+    "indicatorSource": "indicator_source", "isOfficial": "is_official", "methodologyVersion": "methodology_version",
+    "comparableWithPreviousYears": "comparable_with_previous_years",
+}
 _CATALOGUE_TYPES = [
     (i, name, *SALES_LABELS[name])
     for i, name in enumerate((*SALES_COLUMNS, "year", "price_m2"), start=1)
@@ -149,6 +159,27 @@ def column_catalogue(spark, sf_dir):
     return publish.column_catalogue(silver(spark, sf_dir), SALES_LABELS)
 
 
+def _catalogue_sql(view: str, columns, names: dict[str, str] | None = None) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{name}' AS key, '{label}' AS label, '{kind}' AS type,
+            '{FILTER_KINDS[kind]}' AS filter_kind, count({(names or {}).get(name, name)}) AS filled FROM {view}"""
+        for i, (name, (label, kind)) in enumerate(columns.items(), start=1)
+    )
+
+
+@query("income_column_catalogue", with_views(_catalogue_sql("income_silver", _INCOME_SHOWN), INCOME_SQL))
+def income_column_catalogue(spark, sf_dir):
+    return publish.column_catalogue(standins.income_silver(spark, sf_dir).select(*_INCOME_SHOWN), INCOME_LABELS)
+
+
+@query("result_column_catalogue", with_views(_catalogue_sql("communes", RESULT_LABELS, _RESULT_NAMES), INCOME_SQL, GOLD_SQL))
+def result_column_catalogue(spark, sf_dir):
+    """The columns of explorer results, over all communes and years."""
+    communes = gold(spark, sf_dir).where(F.col("geography_level") == "commune")
+    shown = communes.select(*[F.col(source).alias(name) for name, source in _RESULT_NAMES.items()])
+    return publish.column_catalogue(shown, RESULT_LABELS)
+
+
 @query(
     "dataset_catalogue",
     with_views(
@@ -190,13 +221,16 @@ def _report_sql() -> str:
                 kind = "break"
             else:
                 kind = "stable"
-            sources = ", ".join(f"'{cat.PUBLISHED_COLUMNS[column].get(y, '')}'" for y in _REPORT_YEARS)
+            sources = ", ".join(
+                f"(SELECT coalesce(max('{cat.PUBLISHED_COLUMNS[column].get(y, '')}'), '') FROM income_silver WHERE year = {y})"
+                for y in _REPORT_YEARS
+            )
             rows.append(f"('{column}', '{level}', '{publish.REPORT_STATUS[kind][0]}', '{publish.REPORT_STATUS[kind][1]}', {sources})")
     names = "canonical_column, geography_level, status, notes, " + ", ".join(f'"{y}_column"' for y in _REPORT_YEARS)
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({names})"
 
 
-@query("schema_report", _report_sql())
+@query("schema_report", with_views(_report_sql(), INCOME_SQL))
 def schema_report(spark, sf_dir):
     """The report over the loaded table's years, written as CSV and read back."""
     path = scratch_path(spark, "schema-report")
@@ -208,37 +242,190 @@ def schema_report(spark, sf_dir):
 @query(
     "summary_collection",
     with_views(
-        """SELECT year, CAST(2023 AS BIGINT) AS latest_year, '2017,2018,2019,2020,2021,2023' AS available_years,
+        f"""SELECT year, (SELECT CAST(max(year) AS BIGINT) FROM year_summary) AS latest_year,
+                  (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM year_summary) AS available_years,
                   communes_covered, departments_covered, department_indicator_source, national_median_income,
-                  poverty_mean, poverty_median, d1_income, d9_income
+                  poverty_mean, poverty_median, d1_income, d5_income, d9_income, '{"|".join(income.SUMMARY_NOTES)}' AS notes
            FROM year_summary JOIN decile_summary USING (year)""",
         INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, DECILE_SQL, SUMMARY_SQL,
     ),
 )
 def summary_collection(spark, sf_dir):
     """All yearly summary documents in one JSON text, read back as rows."""
-    summaries = income.summary_table(*income_layers(spark, sf_dir), "2024-01-01T00:00:00+00:00")
-    collection = income.summary_collection(summaries, "2024-01-01T00:00:00+00:00")
-    path = scratch_path(spark, "summaries")
-    sinks.write_documents(sinks.as_document(collection), path)
-    read = spark.read.schema(collection.schema).json(path)
-    years = F.array_join(F.transform("available_years", lambda y: y.cast("string")), ",")
-    entry = read.select(years.alias("available_years"), F.col("latest_year"), F.explode("summaries_by_year"))
+    entry = _collection(spark, sf_dir)
     return entry.select(
         F.col("key").cast("long").alias("year"), "latest_year", "available_years",
         "value.communes_covered", "value.departments_covered", "value.department_indicator_source",
         "value.national_median_income",
         F.col("value.poverty_rate_summary.mean").alias("poverty_mean"),
         F.col("value.poverty_rate_summary.median").alias("poverty_median"),
-        "value.decile_summary.d1_income", "value.decile_summary.d9_income",
+        "value.decile_summary.d1_income", "value.decile_summary.d5_income", "value.decile_summary.d9_income",
+        F.array_join("value.notes", "|").alias("notes"),
+    )
+
+
+def _written_collection(spark, sf_dir) -> tuple[str, DataFrame]:
+    summaries = income.summary_table(*income_layers(spark, sf_dir), "2024-01-01T00:00:00+00:00")
+    collection = income.summary_collection(summaries, "2024-01-01T00:00:00+00:00")
+    path = scratch_path(spark, "summaries")
+    sinks.write_documents(sinks.as_document(collection), path)
+    return path, collection
+
+
+def _collection(spark, sf_dir) -> DataFrame:
+    path, collection = _written_collection(spark, sf_dir)
+    read = spark.read.schema(collection.schema).json(path)
+    years = F.array_join(F.transform("available_years", lambda y: y.cast("string")), ",")
+    return read.select(years.alias("available_years"), F.col("latest_year"), F.explode("summaries_by_year"))
+
+
+_DECILE_COLUMNS = [c for c in INDICATORS if c.startswith("d")]
+
+
+@query(
+    "summary_department_maps",
+    with_views(
+        "SELECT year, geography_code AS department_code, "
+        + ", ".join(f"round_even({c} * 100, 0) / 100 AS {c}" for c in ("median_income", *_DECILE_COLUMNS))
+        + " FROM departments",
+        INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL,
+    ),
+)
+def summary_department_maps(spark, sf_dir):
+    """The department maps of the summary documents, as rows."""
+    entry = _collection(spark, sf_dir).select(
+        F.col("key").cast("long").alias("year"), "value.median_income_by_department", "value.department_deciles_by_department"
+    )
+    rows = entry.select("year", "median_income_by_department", F.explode("department_deciles_by_department").alias("code", "deciles"))
+    return rows.select(
+        "year", F.col("code").alias("department_code"),
+        F.expr("median_income_by_department[code]").alias("median_income"), "deciles.*",
+    )
+
+
+@query(
+    "income_json_scan",
+    with_views(
+        """SELECT year, (SELECT CAST(max(year) AS BIGINT) FROM year_summary) AS latest_year, communes_covered, departments_covered,
+                  department_indicator_source, national_median_income, poverty_mean, poverty_median, d1_income, d9_income,
+                  departments
+           FROM year_summary JOIN decile_summary USING (year)
+           JOIN (SELECT year, count(*) AS departments FROM departments GROUP BY year) USING (year)""",
+        INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, DECILE_SQL, SUMMARY_SQL,
+    ),
+)
+def income_json_scan(spark, sf_dir):
+    """The summary document, with camelCase keys in place of snake_case ones, read by the reader of both."""
+    path, _ = _written_collection(spark, sf_dir)
+    camel = scratch_path(spark, "summaries-camel")
+    text = F.col("value")
+    for name in ("summaries_by_year", "communes_covered", "national_median_income", "decile_summary", "d1_income", "latest_year"):
+        text = F.replace(text, F.lit(f'"{name}"'), F.lit(f'"{readers.camel(name)}"'))
+    spark.read.text(path).select(text.alias("value")).write.text(camel)
+    read = income.read_summaries(spark, camel)
+    return read.select(
+        "year", F.col("collection_latest_year").alias("latest_year"), "communes_covered", "departments_covered",
+        "department_indicator_source", "national_median_income",
+        F.col("poverty_rate_summary.mean").alias("poverty_mean"), F.col("poverty_rate_summary.median").alias("poverty_median"),
+        "decile_summary.d1_income", "decile_summary.d9_income",
+        F.size("median_income_by_department").cast("long").alias("departments"),
+    )
+
+
+@query("availability_document", with_views("SELECT * FROM availability", *GOLD_VIEWS, AVAILABILITY_SQL))
+def availability_document(spark, sf_dir):
+    """The nested availability document, written and read back as rows."""
+    path = scratch_path(spark, "availability")
+    sinks.write_documents(income.availability_document(income.availability(all_gold(spark, sf_dir))), path)
+    return income.read_availability(spark, path)
+
+
+@query(
+    "preview_document",
+    """SELECT 'orders' AS dataset_id, (SELECT count(*) FROM orders) AS rows, 3 AS columns_count,
+              '2021,2024' AS available_years, 'number,number,text' AS types, o_orderkey, o_totalprice,
+              strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate
+       FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)""",
+)
+def preview_document(spark, sf_dir):
+    """A preview document taken apart again: counts of the whole table, typed columns, first records."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    document = publish.preview_document(rows, "orders", "orders.parquet", ["o_orderkey"], [2021, 2024])
+    kind = (
+        "struct<dataset_id:string,rows:bigint,columns_count:int,available_years:array<string>,"
+        "columns:array<struct<type:string>>,records:array<struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:string>>>"
+    )
+    parsed = document.select(F.from_json("document", kind).alias("d"))
+    return parsed.select(
+        "d.dataset_id", "d.rows", "d.columns_count", F.array_join("d.available_years", ",").alias("available_years"),
+        F.array_join("d.columns.type", ",").alias("types"), F.inline("d.records"),
+    )
+
+
+_PUBLISHED_SQL = """
+SELECT 'sales_summary' AS name, CAST(year AS BIGINT) AS latest_year, total_sales_count AS entries, median_price_m2 AS value
+  FROM national WHERE year = (SELECT max(year) FROM national)
+UNION ALL SELECT 'income_summaries', CAST(max(year) AS BIGINT), count(*), arg_max(national_median_income, year) FROM year_summary
+UNION ALL SELECT 'income_availability', CAST(max(year) AS BIGINT), count(*), NULL FROM availability WHERE available
+UNION ALL SELECT 'income_metadata', CAST(max(year) AS BIGINT), count(DISTINCT year), NULL FROM gold
+UNION ALL SELECT 'sales_preview', 2024, count(*), NULL FROM silver WHERE year = (SELECT max(year) FROM silver)
+UNION ALL SELECT 'income_preview', CAST(max(year) AS BIGINT), count(*), NULL FROM gold
+UNION ALL SELECT 'schema_report', NULL, (SELECT 2 * 2 + 2 * count(DISTINCT indicator) FROM availability), NULL"""
+
+
+@query(
+    "publish_latest",
+    with_views(
+        _PUBLISHED_SQL, SALES_SQL, SILVER_SQL, _NATIONAL_SQL, INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, DECILE_SQL, SUMMARY_SQL,
+        AVAILABILITY_SQL,
+    ),
+)
+def publish_latest(spark, sf_dir):
+    """The whole build and its publication; one row read from each published document."""
+    base = scratch_path(spark, "publication")
+    paths = layers.build_all(
+        standins.sales(spark, sf_dir), standins.income_silver(spark, sf_dir), f"{base}/tables", list(cat.SALES_YEARS)
     )
+    target = layers.publish(spark, paths, f"{base}/published", "2024-01-01T00:00:00+00:00")
+    nothing = F.lit(None).cast("double")
+
+    def row(name: str, rows: DataFrame, latest, entries, value=nothing) -> DataFrame:
+        return rows.agg(latest.cast("long").alias("latest_year"), entries.cast("long").alias("entries"), value.alias("value")).select(
+            F.lit(name).alias("name"), "latest_year", "entries", "value"
+        )
+
+    def preview_row(name: str) -> DataFrame:
+        read = readers.read_documents(spark, target[name], "rows long, available_years array<long>")
+        return row(name, read, F.max(F.array_max("available_years")), F.max("rows"))
+
+    sold = sales_plan.read_summaries(spark, target["sales_summary"])
+    summaries = income.read_summaries(spark, target["income_summaries"])
+    offered = income.read_availability(spark, target["income_availability"]).where("available")
+    metadata = income.read_metadata(spark, target["income_metadata"])
+    report = readers.read_delimited(spark, target["schema_report"], sep=",")
+    last = F.col("year") == F.col("collection_latest_year")
+    parts = [
+        row("sales_summary", sold, F.max("year"), F.max("total_sales_count"), F.max("median_price_m2")),
+        row("income_summaries", summaries, F.max("collection_latest_year"), F.count("*"), F.max(F.when(last, F.col("national_median_income")))),
+        row("income_availability", offered, F.max("year"), F.count("*")),
+        row("income_metadata", metadata, F.max(F.array_max("available_years")), F.max(F.size("available_years"))),
+        preview_row("sales_preview"),
+        preview_row("income_preview"),
+        row("schema_report", report, F.lit(None), F.count("*")),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 @query(
     "income_metadata",
     with_views(
         """SELECT string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS available_years,
-                  '2021,2022' AS missing_years, '2023' AS break_years, 'gold/commune_all_years.parquet' AS commune_path
+                  (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM (
+                     SELECT 2022 AS year UNION SELECT year FROM catalogue
+                     WHERE year NOT IN (SELECT year FROM gold WHERE year <> 2021))) AS missing_years,
+                  (SELECT string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) FROM catalogue WHERE methodological_break)
+                    AS break_years,
+                  'gold/commune_all_years.parquet' AS commune_path
            FROM gold WHERE year <> 2021""",
         *GOLD_VIEWS,
     ),

@@ -16,6 +16,7 @@ from cadastrum.registry.standins import BRONZE_SQL, SALES_SQL, SILVER_SQL, with_
 from cadastrum.schemas import SALES_COLUMNS
 from cadastrum.session import scratch_path
 from cadastrum.sources import readers, sinks
+from cadastrum.streaming.sales_stream import read_latest_totals, run_funnel_stream, run_silver_stream
 
 _R2 = "round_even({0} * 100, 0) / 100"
 _COLUMNS = ", ".join(SALES_COLUMNS)
@@ -29,8 +30,8 @@ def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.to_silver(standins.sales(spark, sf_dir))
 
 
-def _national(spark, sf_dir, strategy="auto"):
-    return plan.national(silver(spark, sf_dir), strategy)
+def _national(spark, sf_dir):
+    return plan.national(silver(spark, sf_dir))
 
 
 def _written_text(spark: SparkSession, sf_dir: str, label: str, sep: str, **options) -> str:
@@ -60,25 +61,39 @@ def gzip_scan(spark, sf_dir):
     "delimiter_profile",
     with_views(
         """SELECT sep AS file, sep AS delimiter, lines FROM (SELECT count(*) AS lines FROM sales),
-           (VALUES (','), (';'), ('|'), ('tab')) AS t(sep)""",
+           (VALUES (','), (';'), ('|'), ('tab')) AS t(sep)
+           UNION ALL SELECT 'mixed', '|', count(*) + 1 FROM nation
+           UNION ALL SELECT 'blank', ',', 0""",
         SALES_SQL,
     ),
 )
 def delimiter_profile(spark, sf_dir):
-    """One text set per delimiter, holding all sales; the choice is made per set."""
+    """One text set per delimiter, holding all sales; one whose header decides; one of blank lines."""
     base = scratch_path(spark, "delimiters")
     names = ["nature_mutation", "type_local", "code_departement", "code_commune", "nom_commune"]
     rows = standins.sales(spark, sf_dir).select(*names, F.coalesce("valeur_fonciere", F.lit(0)).cast("string"))
+
+    def written(lines: DataFrame, name: str) -> None:
+        lines.select("value", F.lit(name).alias("set")).write.mode("append").partitionBy("set").text(base)
+
     for name, sep in ((",", ","), (";", ";"), ("|", "|"), ("tab", "\t")):
-        line = F.concat_ws(sep, *[F.col(c) for c in rows.columns])
-        rows.select(line.alias("value"), F.lit(name).alias("file")).write.mode("append").partitionBy("file").text(base)
-    lines = spark.read.text(base).withColumn("file", F.col("file").cast("string"))
-    profile = readers.delimiter_profile(lines, ["file"])
-    headers = lines.groupBy("file").agg(F.min("value").alias("header"))
-    chosen = readers.choose_delimiter(profile, headers, ["file"])
-    counted = profile.groupBy("file").agg(F.max("total").alias("lines"))
+        written(rows.select(F.concat_ws(sep, *[F.col(c) for c in rows.columns]).alias("value")), name)
+    nations = table(spark, sf_dir, "nation")
+    odd = F.when(F.col("n_nationkey") % 2 == 0, F.concat("n_name", F.lit(";x"))).otherwise(F.col("n_name"))
+    header = spark.range(1).select(F.lit(-1).alias("at"), F.lit("a|b;c").alias("value"))
+    mixed = header.union(nations.select("n_nationkey", odd)).coalesce(1).sortWithinPartitions("at")
+    written(mixed, "mixed")
+    written(spark.range(3).select(F.lit("  ").alias("value")), "blank")
+
+    lines = readers.text_lines(spark, base).withColumn("set", F.regexp_extract("file", "/set=([^/]*)/", 1))
+    lines = lines.withColumn("set", F.url_decode("set"))
+    profile = readers.delimiter_profile(lines, ["set"])
+    chosen = readers.choose_delimiter(profile, readers.first_lines(lines, ["set"], "place"), ["set"])
+    counted = profile.groupBy("set").agg(F.max("total").alias("lines"))
     shown = F.when(F.col("delimiter") == "\t", "tab").otherwise(F.col("delimiter"))
-    return chosen.join(counted, "file").select("file", shown.alias("delimiter"), "lines")
+    return chosen.join(counted, "set", "left").select(
+        F.col("set").alias("file"), shown.alias("delimiter"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines")
+    )
 
 
 @query("parquet_project", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_quantity >= 30")
@@ -162,21 +177,22 @@ def sales_silver_write(spark, sf_dir):
     return readers.read_years(spark, path).select(*rows.columns)
 
 
+def _bronze_files(spark, sf_dir) -> str:
+    """Bronze rows in as many files as the table's own scan has partitions, and one folder more per year."""
+    source = scratch_path(spark, "stream-source")
+    bronze = plan.to_bronze(standins.raw_sales(spark, sf_dir), F.col("year"))
+    bronze.withColumn("part", F.col("year")).write.partitionBy("part").parquet(source)
+    return source
+
+
 @query("stream_sales_silver", _SILVER_CHECK)
 def stream_sales_silver(spark, sf_dir):
-    from cadastrum.streaming.sales_stream import run_silver_stream
-
     """Bronze text rows in several files, run through the stream."""
-    source = scratch_path(spark, "stream-source")
-    bronze = plan.to_bronze(standins.raw_sales(spark, sf_dir), F.col("year"))
-    bronze.repartition(4).write.parquet(source)
-    target = run_silver_stream(spark, source, scratch_path(spark, "stream-silver"))
+    target = run_silver_stream(spark, _bronze_files(spark, sf_dir), scratch_path(spark, "stream-silver"), max_files=2)
     return readers.read_years(spark, target).select(*SALES_COLUMNS, "year", "price_m2")
 
 
-@query(
-    "quality_funnel",
-    with_views(
+_FUNNEL_CHECK = with_views(
         """SELECT CAST(year AS BIGINT) AS year, count(*) AS rows_read,
              count(*) FILTER (stage = 1) AS filtered_non_sales, count(*) FILTER (stage = 2) AS filtered_non_residential,
              count(*) FILTER (stage = 3) AS filtered_invalid_values, count(*) FILTER (stage = 4) AS filtered_outliers,
@@ -188,12 +204,21 @@ def stream_sales_silver(spark, sf_dir):
                     OR surface_reelle_bati NOT BETWEEN 9 AND 1000 THEN 4 ELSE 5 END AS stage FROM sales)
            GROUP BY year""",
         SALES_SQL,
-    ),
-)
+    )
+
+
+@query("quality_funnel", _FUNNEL_CHECK)
 def quality_funnel(spark, sf_dir):
     return plan.quality_funnel(standins.sales(spark, sf_dir), ["year"])
 
 
+@query("stream_quality_funnel", _FUNNEL_CHECK)
+def stream_quality_funnel(spark, sf_dir):
+    """The funnel as running totals of a stream of the same rows in several micro-batches."""
+    target = run_funnel_stream(spark, _bronze_files(spark, sf_dir), scratch_path(spark, "stream-funnel"), max_files=2)
+    return read_latest_totals(spark, target)
+
+
 _NATIONAL_SQL = f"""
 national AS (
   SELECT CAST(year AS BIGINT) AS year, count(*) AS total_sales_count, {_median("price_m2")} AS median_price_m2,
@@ -257,8 +282,6 @@ def quantiles(spark, sf_dir):
         ["l_returnflag", "l_linestatus"],
         {"unit": {"d1": 0.1, "median": 0.5, "d9": 0.9}},
         {"rows": F.count("*")},
-        strategy="binned",
-        bounded_groups=True,  # two flag columns with fixed values
     )
 
 

@@ -15,7 +15,7 @@ from cadastrum.functions import (
     like_any,
     preview_value,
 )
-from cadastrum.operators.filters import any_column_contains, matches
+from cadastrum.operators.filters import any_column_contains, matches, where_matches
 from cadastrum.operators.shape import first_per_key, promote_header
 from cadastrum.plans import publish
 from cadastrum.registry.base import query, table
@@ -108,30 +108,35 @@ def conform_schema(spark, sf_dir):
     return conform(customers, INCOME_GOLD)
 
 
+_LINEAGE_NAMES = {"F": "meta_Disp_COM", "O": "disp_dep", "P": "FR_region"}
+
+
 @query(
     "lineage_level",
     """SELECT CASE WHEN o_orderstatus = 'F' THEN 'meta_Disp_COM.csv' WHEN o_orderstatus = 'O' THEN 'disp_dep.csv'
-                   ELSE 'FR_region.csv' END AS source_file,
+                   WHEN o_orderstatus = 'P' THEN 'FR_region.csv' ELSE 'rest.csv' END AS source_file,
               CASE WHEN o_orderstatus = 'F' THEN 'commune' WHEN o_orderstatus = 'O' THEN 'department'
-                   ELSE 'region' END AS geography_level,
+                   WHEN o_orderstatus = 'P' THEN 'region' ELSE 'unknown' END AS geography_level,
               CASE WHEN o_orderstatus = 'F' THEN 'metadata' ELSE 'data' END AS file_role,
               count(*) AS rows
        FROM orders GROUP BY ALL""",
 )
 def lineage_level(spark, sf_dir):
-    """Orders written under three file names; level and role come from the name."""
-    from cadastrum.plans.income import add_lineage
+    """Orders of every status written under four file names; level and role come from the file read."""
+    from cadastrum.plans.income import add_file_lineage
 
-    names = {"F": "meta_Disp_COM", "O": "disp_dep", "P": "FR_region"}
-    orders = table(spark, sf_dir, "orders")
+    name = F.lit("rest")
+    for status, file in _LINEAGE_NAMES.items():
+        name = F.when(F.col("o_orderstatus") == status, file).otherwise(name)
     base = scratch_path(spark, "lineage")
-    rows = None
-    for status, name in names.items():
-        path = f"{base}/{name}.csv"
-        orders.where(F.col("o_orderstatus") == status).select("o_orderkey").write.option("header", True).csv(path)
-        # A data set's folder takes the role of the file.
-        part = add_lineage(readers.read_delimited(spark, path, sep=","), f"{name}.csv", 2018, "data_gouv", "disp_com")
-        rows = part if rows is None else rows.unionByName(part)
+    # One folder per file name; the folder takes the role of the file.
+    table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("value"), name.alias("file")).write.partitionBy(
+        "file"
+    ).text(base)
+    lines = spark.read.text(base).select(
+        "value", F.concat(F.regexp_extract(F.col("_metadata.file_path"), "/file=([^/]*)/", 1), F.lit(".csv")).alias("read_from")
+    )
+    rows = add_file_lineage(lines, F.col("read_from"), 2018, "data_gouv", "disp_com")
     return rows.groupBy("source_file", "geography_level", "file_role").agg(F.count("*").alias("rows"))
 
 
@@ -192,9 +197,11 @@ def typed_filters(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("day", day)
     orders = orders.withColumn("even", F.when(F.col("o_custkey") % 2 == 0, "Oui").otherwise("faux"))
     orders = orders.withColumn("price_text", F.translate(F.col("o_totalprice").cast("decimal(18,2)").cast("string"), ".", ","))
-    return orders.where(
-        matches("price_text", "number-range", minimum="1500,5", maximum="300000")
-        & matches("day", "date-range", start="1996-02-01", end="31/12/2000")
+    typed = where_matches(orders, "o_totalprice", "number-range", minimum="1500,5")
+    typed = where_matches(typed, "o_orderdate", "date-range", start="01/02/1996")
+    return typed.where(
+        matches("price_text", "number-range", maximum="300000")
+        & matches("day", "date-range", end="31/12/2000")
         & matches("even", "boolean-select", boolean="true")
         & matches("o_orderpriority", "text", text=" HIGH ")
     ).select("o_orderkey", "o_totalprice", "o_orderstatus", "day")
@@ -216,9 +223,8 @@ def any_column_search(spark, sf_dir):
        QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1""",
 )
 def first_per_key_query(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    first = first_per_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
-    return first.select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    return first_per_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
 
 
 @query(

@@ -1,18 +1,16 @@
-"""Session settings, shared scratch space and input-size checks."""
+"""Session settings and shared scratch space."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many input bytes a whole group certainly fits in one task.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-# Largest stored table that may be broadcast (a few times as much in memory).
-BROADCAST_BYTES = 32 * 1024 * 1024
-
 _local_scratch: str | None = None
 
 
@@ -38,34 +36,22 @@ def build_session(app_name: str = "cadastrum", master: str | None = None, **conf
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for materialised tables, in storage every executor sees.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session may
-    fall back to a folder of this machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose driver and
+    executors are one process may fall back to a folder of this machine; that folder goes
+    when the process ends.
     """
     global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="cadastrum-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         base = _local_scratch
     return os.path.join(base, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all leaf relations of the plan, as Catalyst's statistics state them.
-
-    Leaves without statistics (for example local Python rows) count as huge, so
-    a caller that picks a plan by this size falls on the scalable side.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return input_bytes(df) <= limit
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to shared scratch space and read it back.
 

@@ -29,7 +29,7 @@ def delimiter_profile(lines: DataFrame, by: list[str]) -> DataFrame:
             F.struct(
                 F.lit(d).alias("delimiter"),
                 F.lit(-rank).alias("preference"),
-                F.regexp_count("value", F.lit("\\|" if d == "|" else d)).alias("per_line"),
+                (F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit("")))).alias("per_line"),
             )
             for rank, d in enumerate(DELIMITERS)
         ]
@@ -43,32 +43,64 @@ def delimiter_profile(lines: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def choose_delimiter(profile: DataFrame, headers: DataFrame, by: list[str]) -> DataFrame:
-    """One row per file with its delimiter.
+def consistent_delimiter(profile: DataFrame, by: list[str]) -> DataFrame:
+    """Per file the candidate with the same non-zero count on at least nine of ten lines, or null.
 
-    A candidate needs the same non-zero count on at least nine of ten lines; the
-    most consistent wins, then preference. Else the header line decides.
+    The most consistent wins, then preference.
     """
     share = F.floor(F.col("matching") * 100 / F.col("total"))
     fit = (F.col("per_line") > 0) & (F.col("matching") * 10 >= F.col("total") * 9)
-    best = profile.groupBy(*by).agg(
+    return profile.groupBy(*by).agg(
         F.max_by(F.when(fit, F.col("delimiter")), F.when(fit, F.struct(share, "preference"))).alias("consistent")
     )
+
+
+def choose_delimiter(profile: DataFrame, headers: DataFrame, by: list[str]) -> DataFrame:
+    """One row per file with its delimiter.
+
+    Without a consistent candidate the header line decides; a file of blank lines alone gets the comma.
+    """
     fallback = reduce(
         lambda rest, d: F.when(F.contains("header", F.lit(d)), d).otherwise(rest),
         reversed(HEADER_FALLBACK),
         F.lit(","),
     )
-    return best.join(headers, by).select(*by, F.coalesce("consistent", fallback).alias("delimiter"))
+    files = headers.join(consistent_delimiter(profile, by), by, "left")
+    return files.select(*by, F.coalesce("consistent", fallback, F.lit(",")).alias("delimiter"))
+
+
+def first_lines(lines: DataFrame, by: list[str], place: str) -> DataFrame:
+    """The first non-blank line of every file by its ``place``, null for a file of blank lines."""
+    filled = F.trim("value") != ""
+    return lines.groupBy(*by).agg(F.min_by("value", F.when(filled, F.col(place))).alias("header"))
+
+
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and an ascending place in it."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        # A file's splits are numbered in their order, and rows within a split in theirs.
+        F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias("place"),
+    )
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """Delimiter of a data set of like files, from all of its lines."""
-    lines = spark.read.text(path)
-    profile = delimiter_profile(lines.withColumn("file", F.lit(0)), ["file"])
-    header = lines.limit(1).select(F.lit(0).alias("file"), F.col("value").alias("header"))
-    row = choose_delimiter(profile, header, ["file"]).first()
-    return row["delimiter"] if row else ","
+    """Delimiter of a data set of like files: the one most of its files have, by all of their lines.
+
+    Headers are looked up only if no file has a consistent one.
+    """
+    lines = text_lines(spark, path)
+
+    def most_common(files: DataFrame, name: str) -> str | None:
+        row = files.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).first()
+        return row[name] if row else None
+
+    profile = delimiter_profile(lines, ["file"])
+    return (
+        most_common(consistent_delimiter(profile, ["file"]), "consistent")
+        or most_common(choose_delimiter(profile, first_lines(lines, ["file"], "place"), ["file"]), "delimiter")
+        or ","
+    )
 
 
 def read_delimited(
@@ -96,9 +128,12 @@ def read_delimited(
 
 
 def read_gzip(spark: SparkSession, path: str, partitions: int | None = None, **options) -> DataFrame:
-    """Gzip files decode in one task each, so rows are spread before further work."""
+    """Gzip files decode in one task each, so rows are spread before further work.
+
+    Without a number AQE sizes the partitions by the decoded bytes.
+    """
     rows = read_delimited(spark, path, **options)
-    return rows.repartition(partitions or spark.sparkContext.defaultParallelism)
+    return rows.repartition(partitions) if partitions else rows.hint("rebalance")
 
 
 def read_years(
@@ -123,11 +158,17 @@ def read_years(
     return table.withColumn("year", F.col("year").cast("long"))
 
 
+def year_folders(spark: SparkSession, base: str) -> list[int]:
+    """The years of ``base/year=YYYY``; one folder listing, no file is opened and no file name kept."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(folder) if status.isDirectory()]
+    return sorted(int(year[1]) for name in names if (year := re.fullmatch(r"year=([0-9]+)", name)))
+
+
 def read_harmonised_years(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
     """Union of the year folders that carry every column of ``schema``; others are skipped."""
-    # The file listing names the years; no file is opened for it.
-    files = spark.read.parquet(base).inputFiles()
-    found = sorted({int(year) for name in files for year in re.findall(r"/year=([0-9]+)/", name)})
+    found = year_folders(spark, base)
     needed = [name for name in schema.fieldNames() if name != "year"]
     kept = []
     for year in found:
@@ -139,12 +180,36 @@ def read_harmonised_years(spark: SparkSession, base: str, schema: StructType) ->
     return reduce(DataFrame.unionByName, kept).select(*schema.fieldNames())
 
 
-def either_case(df: DataFrame, snake: str, kind: str, default=None) -> Column:
-    """Field under its snake_case or camelCase name, camelCase first, else the default."""
+def camel(snake: str) -> str:
     head, *rest = snake.split("_")
-    camel = head + "".join(part.capitalize() for part in rest)
-    present = [F.col(name).cast(kind) for name in dict.fromkeys((camel, snake)) if name in df.columns]
-    return F.coalesce(*present, F.lit(default).cast(kind)).alias(snake)
+    return head + "".join(part.capitalize() for part in rest)
+
+
+# Fields by snake_case name: type, and the default for an absent value (None: null).
+Fields = dict[str, tuple[str, object]]
+
+
+def either_case_schema(fields: Fields, mark: str = " ") -> str:
+    """DDL of the fields under both their snake_case and their camelCase names."""
+    return ",".join(
+        f"`{name}`{mark}{kind}" for snake, (kind, _) in fields.items() for name in dict.fromkeys((camel(snake), snake))
+    )
+
+
+def either_case_columns(fields: Fields, inside: str | None = None) -> list[Column]:
+    """The fields of a row (or of its struct ``inside``); the camelCase name wins, then the other, then the default."""
+    columns = []
+    for snake, (kind, default) in fields.items():
+        found = [F.col(f"{inside}.{name}" if inside else name) for name in dict.fromkeys((camel(snake), snake))]
+        if default is not None:
+            found.append(F.lit(default).cast(kind))
+        columns.append(F.coalesce(*found).alias(snake))
+    return columns
+
+
+def read_either_case(spark: SparkSession, path: str, fields: Fields) -> DataFrame:
+    """JSON documents, one per line, whose fields have snake_case or camelCase names."""
+    return spark.read.schema(either_case_schema(fields)).json(path).select(*either_case_columns(fields))
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadastrum.plans.sales import quality_funnel, to_silver
 from cadastrum.session import scratch_path
@@ -41,10 +42,15 @@ def run_silver_stream(
 def run_funnel_stream(
     spark: SparkSession, source: str, target: str, checkpoint: str | None = None, max_files: int | None = None
 ) -> str:
-    """Running funnel totals per year; the state holds one row per year."""
+    """Running funnel totals per year; the state holds one row per year.
 
-    def publish(totals: DataFrame, _batch_id: int) -> None:
-        totals.write.mode("overwrite").parquet(target)
+    Every batch has a folder of its own, which a repeated batch writes anew; readers take the
+    last complete one, so neither a batch at work nor a crash leaves them without totals.
+    """
+
+    def publish(totals: DataFrame, batch_id: int) -> None:
+        # A row per year, so one file, which is renamed into place whole.
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     query = (
         quality_funnel(sales_stream(spark, source, max_files), ["year"])
@@ -56,3 +62,9 @@ def run_funnel_stream(
     )
     query.awaitTermination()
     return target
+
+
+def read_latest_totals(spark: SparkSession, target: str) -> DataFrame:
+    """Totals of the last batch whose writing was committed (a row per year and batch is read)."""
+    batches = spark.read.parquet(target)
+    return batches.where(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")

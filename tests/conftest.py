@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -13,7 +14,7 @@ def spark():
     from cadastrum.session import build_session
 
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+        "tests", os.environ.get("TEST_MASTER", "local[8]"), spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -92,8 +92,25 @@ def test_legacy_levels(spark):
     )
     got = income.legacy_silver(bronze, 2017)
     assert {r["commune_code"] for r in got.collect()} == {"01001", "75056"}
-    with pytest.raises(ValueError):
-        income.legacy_silver(bronze.where("CODGEO = 'none'"), 2017)
+    assert income.legacy_silver(bronze.where("CODGEO = 'none'"), 2017).count() == 0
+    with pytest.raises(Exception, match="no commune code"):
+        income.legacy_silver(bronze.withColumnRenamed("CODGEO", "other"), 2017)
+    with pytest.raises(Exception, match="no commune code"):
+        income.legacy_silver(bronze.withColumnRenamed("CODGEO", "CODDEP"), 2017).collect()
+
+
+def test_each_legacy_part_fills_d5_by_itself(spark):
+    bronze = spark.createDataFrame(
+        [("01001", "10", "9", "commune"), ("75056", "20", "", "unknown")],
+        "CODGEO string, MED17 string, D517 string, geography_level string",
+    )
+    got = {r["commune_code"]: r["d5_income"] for r in income.legacy_silver(bronze, 2017).collect()}
+    assert got == {"01001": 9.0, "75056": 20.0}
+
+
+def test_unlisted_year_is_an_error(spark):
+    with pytest.raises(Exception, match="2016"):
+        income.harmonise(silver(spark, commune("01001", 2018), commune("01001", 2016))).collect()
 
 
 def test_unpublished_columns_are_masked(spark):
@@ -112,15 +129,14 @@ def test_comparability_by_year(spark):
     assert got == {("commune", 2017): False, ("commune", 2018): True, ("commune", 2023): False, ("department", 2018): False}
 
 
-@pytest.mark.parametrize("strategy", ["buffered", "binned"])
-def test_derived_and_official_departments(spark, strategy):
+def test_derived_and_official_departments(spark):
     rows = [
         commune("01001", 2018, median_income=22000.0, tax_households=10.0, poverty_rate=10.0, d5_income=1.0),
         commune("01002", 2018, median_income=24000.0, tax_households=20.0, poverty_rate=16.0, d5_income=1.0),
         commune("97105", 2018, median_income=100.0, tax_households=1.0),
         commune("01001", 2023, median_income=5.0), department("01", 2023, median_income=7.0, d5_income=7.0),
     ]
-    got = {(r["geography_code"], r["year"]): r for r in income.departments(income.harmonise(silver(spark, *rows)), strategy=strategy).collect()}
+    got = {(r["geography_code"], r["year"]): r for r in income.departments(income.harmonise(silver(spark, *rows))).collect()}
     assert set(got) == {("01", 2018), ("971", 2018), ("01", 2023)}
     derived = got[("01", 2018)]
     assert derived["indicator_source"] == "derived_from_communes" and derived["is_official"] is False
