@@ -1,14 +1,17 @@
 """Explorer fixtures: pages, gates, warnings, typed filters and sorting, text."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.functions import display_date, display_number, french_number, preview_label, preview_value, repair_text
-from cadastrum.operators.filters import any_column_contains, matches
+from cadastrum.operators.filters import any_column_contains, matches, where_matches
 from cadastrum.operators.shape import dense_years, promote_header, two_maps_to_rows
 from cadastrum.plans import explorer, income, publish
 from cadastrum.schemas import INCOME_GOLD, conform
+from cadastrum.session import scratch_path
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +97,45 @@ def test_typed_filters(cells):
     assert names(cells.where(any_column_contains(["name", "amount"], "0"))) == {"Beta", "Alpha", "Gamma"}
 
 
+def test_typed_filters_reach_the_scan(spark):
+    path = scratch_path(spark, "typed")
+    rows = spark.sql(
+        "SELECT CAST(id AS DOUBLE) AS amount, CAST(id AS INT) AS whole, date_add(DATE'2024-01-01', CAST(id AS INT)) AS day,"
+        " id % 2 = 0 AS even FROM range(100) UNION ALL SELECT double('NaN'), NULL, NULL, NULL"
+    )
+    rows.write.parquet(path)
+    table = spark.read.parquet(path)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    numbers = where_matches(table, "amount", "number-range", minimum="10,5", maximum="20")
+    assert "GreaterThanOrEqual(amount,10.5)" in plan(numbers) and "LessThanOrEqual(amount,20.0)" in plan(numbers)
+    assert sorted(r.amount for r in numbers.collect()) == [float(i) for i in range(11, 21)]
+    days = where_matches(table, "day", "date-range", start="03/01/2024", end="2024-01-05")
+    assert "GreaterThanOrEqual(day,2024-01-03)" in plan(days) and "LessThanOrEqual(day,2024-01-05)" in plan(days)
+    assert days.count() == 3
+    assert where_matches(table, "amount", "number-range", minimum="abc").count() == 100
+    assert where_matches(table, "amount", "number-range").count() == 101
+    assert where_matches(table, "whole", "number-range", maximum="9").count() == 10
+    assert where_matches(table, "even", "boolean-select", boolean="true").count() == 50
+    assert where_matches(table, "even", "boolean-select").count() == 101
+
+
+def test_pages_behind_a_row(spark):
+    rows = [(f"{i:05d}", f"n{i // 3}" if i % 7 else None, "commune", 2018, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "geography_code string, geography_name string, geography_level string, year long, median_income double")
+    gold = conform(df.withColumns({"indicator_source": F.lit(cat.OFFICIAL), "is_official": F.lit(True)}), INCOME_GOLD)
+    for by, down in (("geography_name", False), ("geography_name", True), ("geography_code", True)):
+        request = explorer.PageRequest(2018, "median_income", limit=7, sort_by=by, descending=down)
+        everything = [r["geography_code"] for r in explorer.page(gold, replace(request, limit=200)).collect()]
+        seen, page = [], explorer.page(gold, request).collect()
+        while page:
+            seen += [r["geography_code"] for r in page]
+            page = explorer.page_after(gold, request, page[-1][by], page[-1]["geography_code"]).collect()
+        assert seen == everything
+
+
 def test_typed_sort(cells):
     def order(*key):
         return [r["name"] for r in cells.orderBy(explorer.typed_order(*key)).collect()]

@@ -254,3 +254,32 @@ def test_standard_schema_is_complete(spark):
     assert set(INCOME_SILVER.fieldNames()) <= set(rows.columns)
     with pytest.raises(ValueError):
         income.standard_rows(spark.createDataFrame([("x",)], "other string"), "commune", 2020)
+
+
+def test_pivot_and_availability_hash_their_rows(spark):
+    long = spark.createDataFrame(
+        [("MED_SL", "01001", "COM", "2023", "1", 1)],
+        "FILOSOFI_MEASURE string, GEO string, GEO_OBJECT string, TIME_PERIOD string, OBS_VALUE string, pos int",
+    )
+    gold = income.harmonise(silver(spark, commune("01001", 2018)))
+    for df in (income.long_silver(long, 2023, "pos"), income.availability(gold)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_income_documents_in_camel_case(spark, tmp_path):
+    one = {"communesCovered": 3, "nationalMedianIncome": 9.5, "decileSummary": {"d1Income": 1.0, "d9_income": 2.0}, "notes": ["a"]}
+    (tmp_path / "s.json").write_text(json.dumps({"latestYear": 2023, "summariesByYear": {"2023": one, "x": {}, "2021": {}}}))
+    got = {r["year"]: r for r in income.read_summaries(spark, str(tmp_path / "s.json")).collect()}
+    assert set(got) == {2021, 2023} and got[2023]["communes_covered"] == 3 and got[2023]["collection_latest_year"] == 2023
+    assert got[2023]["decile_summary"]["d1_income"] == 1.0 and got[2023]["decile_summary"]["d9_income"] == 2.0
+    assert got[2021]["notes"] == [] and got[2021]["source"] == "INSEE FiLoSoFi" and got[2021]["median_income_by_department"] == {}
+    entry = {"available": True, "coverage": 0.5, "indicatorSource": "x", "comparableWithPreviousYears": True}
+    (tmp_path / "a.json").write_text(json.dumps({"2018": {"commune": {"median_income": entry}}}))
+    row = income.read_availability(spark, str(tmp_path / "a.json")).first()
+    assert tuple(row) == (2018, "commune", "median_income", True, 0.5, False, "x", True)
+    (tmp_path / "m.json").write_text(json.dumps({"availableYears": [2018], "missing_years": [2022], "methodologyBreaks": [
+        {"year": 2023, "label": "l", "comparableToPreviousYear": True}]}))
+    read = income.read_metadata(spark, str(tmp_path / "m.json")).first()
+    assert read["available_years"] == [2018] and read["missing_years"] == [2022]
+    assert read["methodology_breaks"][0]["comparable_to_previous_year"] is True
