@@ -84,7 +84,8 @@ def drop_common_lines(
 
     Every row counts as a document. Null and empty texts have one empty line, which is
     too short to be dropped. A document that loses all lines keeps the empty text.
-    Rows of one key and text share their lines' numbers. An empty table gives no rows.
+    Rows of one key and text share their lines' numbers. An empty table gives no rows. A
+    column with a result's name gives way to it.
     """
     lines = materialise(
         docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"), line_keys(whole_text(text)).alias("keys"))
@@ -105,18 +106,21 @@ def drop_common_lines(
     hits = numbered.join(common, "hash", "left_semi").groupBy("id", "text_hash").agg(
         F.collect_set("number").alias("_common")
     ).toDF("_id", "_hash", "_common")
-    split = docs.withColumn("_text_hash", F.xxhash64(text))
-    found = split.join(hits, split[key].eqNullSafe(hits["_id"]) & (split["_text_hash"] == hits["_hash"]), "left")
+    own = [name for name in docs.columns if name not in ("n_lines", "n_dropped", "kept_text")]
+    packed = docs.select(
+        F.struct(*own).alias("_row"), F.col(key).alias("_key"), whole_text(text).alias("_text"), F.xxhash64(text).alias("_text_hash")
+    )
+    found = packed.join(hits, packed["_key"].eqNullSafe(hits["_id"]) & (packed["_text_hash"] == hits["_hash"]), "left")
     count = F.size("_lines")
     kept = F.array_except(F.sequence(F.lit(0), count - 1), F.coalesce("_common", F.array().cast("array<int>")))
     return (
-        found.withColumn("_lines", F.split(whole_text(text), "\n", -1))
+        found.withColumn("_lines", F.split("_text", "\n", -1))
         .withColumn("_kept", kept)
         .select(
-            *docs.columns,
+            "_row.*",
             count.cast("long").alias("n_lines"),
             (count - F.size("_kept")).cast("long").alias("n_dropped"),
-            F.when(count == F.size("_kept"), whole_text(text)).otherwise(
+            F.when(count == F.size("_kept"), F.col("_text")).otherwise(
                 F.expr("array_join(transform(_kept, number -> element_at(_lines, number + 1)), '\n')")
             ).alias("kept_text"),
         )

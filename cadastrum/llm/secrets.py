@@ -90,7 +90,11 @@ def written(spans: list[tuple[int, int, str]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") -> DataFrame:
-    """``docs`` with an array of (start, end, kind) for each whole text; a map over the scan, no shuffle."""
+    """``docs`` with an array of (start, end, kind) for each whole text; a map over the scan, no shuffle.
+
+    Null and empty texts have an empty array, repeated rows equal ones; an empty table gives no
+    rows; a column named like the result gives way to it.
+    """
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string>>")
     def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

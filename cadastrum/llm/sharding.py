@@ -66,12 +66,13 @@ def assign_shards(
 
     ``rows`` should be narrow: a key and what describes it; wide payloads are joined by key
     afterwards. Null keys hash like any value. Equal rows each get a slot of their own.
-    Fewer rows than shards leave the last shards empty; an empty table gives no rows.
+    Fewer rows than shards leave the last shards empty; an empty table gives no rows. A column
+    with a result's name gives way to it.
     """
     if n_shards * vnodes > MAX_POINTS:
         raise ValueError(f"at most {MAX_POINTS} ring points, their loads are summed on the driver")
     spark = rows.sparkSession
-    columns = rows.columns
+    columns = [name for name in rows.columns if name not in ("home_shard", "shard", "slot")]
     points = ring_points(n_shards, vnodes, ring_bits)
     size = 1 << ring_bits
     arcs, before = [], points[-1][0] - size
@@ -83,11 +84,10 @@ def assign_shards(
         "_arc", "home_shard", F.posexplode(F.sequence("_first", "_last")).alias("_turn", "_at")
     ).select("_arc", "home_shard", "_turn", F.pmod("_at", F.lit(size)).alias("_cell"))
 
-    position = F.xxhash64(*key)
     stored = materialise(
-        rows.groupBy(*columns)
+        rows.select(F.struct(*columns).alias("_row"), F.xxhash64(*key).alias("_position"))
+        .groupBy("_row", "_position")
         .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_position", position)
         .withColumn("_cell", F.shiftrightunsigned("_position", 64 - ring_bits).cast("int")),
         "shard-keys",
     )
@@ -108,14 +108,14 @@ def assign_shards(
     # At most one row per ring cell, and per ring point: both are parameters.
     plan = F.broadcast(counted.drop("_load", "_turn").join(F.broadcast(by_arc), "_arc"))
 
-    in_cell = Window.partitionBy("_cell").orderBy("_position", *columns).rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("_cell").orderBy("_position", "_row").rowsBetween(Window.unboundedPreceding, -1)
     ranked = stored.withColumn("_ahead", F.coalesce(F.sum("_copies").over(in_cell), F.lit(0))).join(plan, "_cell")
     return (
         repeat_rows(ranked, "_copies")
         .withColumn("_rank", F.col("_cell_start") + F.col("_ahead") + F.col("_copy"))
         .withColumn("_run", F.expr("element_at(filter(_runs, run -> run.first <= _rank), -1)"))
         .select(
-            *columns,
+            "_row.*",
             "home_shard",
             F.col("_run.shard").alias("shard"),
             (F.col("_run.slot") + F.col("_rank") - F.col("_run.first")).alias("slot"),

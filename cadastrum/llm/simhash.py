@@ -213,11 +213,11 @@ def keep_one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kept = materialise(
         best.select(*(F.col(f"best.{name}").alias(f"_kept_{name}") for name in ("none", "id", "text_hash"))), "kept"
     )
+    names = kept.columns
     marked = docs.select(
-        *docs.columns,
+        F.struct(*docs.columns).alias("_row"),
         F.col(key).isNull().alias("_kept_none"),
         F.coalesce(key, F.lit(0)).alias("_kept_id"),
         F.xxhash64(text).alias("_kept_text_hash"),
     )
-    names = kept.columns
-    return marked.join(kept, names).dropDuplicates(names).select(*docs.columns)
+    return marked.join(kept, names).dropDuplicates(names).select("_row.*")

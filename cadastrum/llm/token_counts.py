@@ -209,7 +209,8 @@ def unit_counts(path: str) -> UnitCounts:
 def count_tokens(docs: DataFrame, path: str, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of each whole text; a map over the scan, no shuffle.
 
-    ``path`` leads to the model file on every machine.
+    Null and empty texts count 0; repeated rows count alike; an empty table gives no rows; a
+    column named like the result gives way to it. ``path`` leads to the model file on every machine.
     """
 
     @F.pandas_udf("long")
