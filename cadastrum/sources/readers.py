@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,11 +158,9 @@ def read_years(
 
 
 def year_folders(spark: SparkSession, base: str) -> list[int]:
-    """The years of ``base/year=YYYY``; one folder listing, no file is opened and no file name kept."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in system.listStatus(folder) if status.isDirectory()]
-    return sorted(int(year[1]) for name in names if (year := re.fullmatch(r"year=([0-9]+)", name)))
+    """The years of ``base/year=YYYY``. No file is opened: executors see a row per file, the driver one per year."""
+    files = spark.read.format("binaryFile").load(base).select(F.col("year").cast("int").alias("year"))
+    return sorted(row["year"] for row in files.where("year IS NOT NULL").distinct().collect())
 
 
 def read_harmonised_years(spark: SparkSession, base: str, schema: StructType) -> DataFrame:
