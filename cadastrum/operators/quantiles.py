@@ -199,8 +199,7 @@ def weighted_mean_of(value: Column, weight: Column) -> Column:
 def with_table_weight(df: DataFrame, by: list[str]) -> DataFrame:
     """Add ``weight``: households if the table has any, else population, else 1.
 
-    ``by`` names the columns that tell tables apart (the year); one row per
-    table, so the flags may be broadcast.
+    ``by`` names the columns that tell tables apart (the year).
     """
     flags = df.groupBy(*by).agg(
         (F.count("tax_households") > 0).alias("__by_households"),
@@ -213,7 +212,7 @@ def with_table_weight(df: DataFrame, by: list[str]) -> DataFrame:
     )
     source = F.when(F.col("__by_households"), "tax_households").when(F.col("__by_population"), "population")
     return (
-        df.join(F.broadcast(flags), by)
+        df.join(flags, by)
         .withColumn("weight", chosen)
         .withColumn("weight_source", source)
         .drop("__by_households", "__by_population")

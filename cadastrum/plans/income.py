@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.functions import blank_to_null, department_of, fold_header, french_number, round_even
-from cadastrum.operators.quantiles import weighted_mean_of, weighted_median, weighted_medians, with_table_weight
+from cadastrum.operators.quantiles import weighted_mean_of, weighted_medians, with_table_weight
 from cadastrum.operators.shape import first_per_key, map_by_key, measure_pivot
 from cadastrum.schemas import INCOME_GOLD, INDICATORS, conform, require_columns
 from cadastrum.sources.readers import camel, either_case_columns, either_case_schema, read_either_case
@@ -307,16 +307,12 @@ def harmonise(silver: DataFrame, catalogue: dict | None = None, mapping: dict |
 def derive_departments(communes: DataFrame, catalogue: dict | None = None) -> DataFrame:
     """Department rows from gold communes: weighted medians, poverty as weighted mean.
 
-    All indicators go through one unpivot and one grouped pass.
+    All indicators take one pass.
     """
     coded = communes.withColumn("department_code", department_of("geography_code"))
     weighted = with_table_weight(coded, ["year"]).where(F.col("department_code").isNotNull())
     keys = ["department_code", "year"]
-    medians = [name for name in INDICATORS if name != "poverty_rate"]
-    # The weight may itself be one of the unpivoted indicators, so it is kept apart.
-    long = weighted.select(*keys, "weight", *medians).unpivot([*keys, "weight"], medians, "indicator", "value")
-    found = weighted_median(long, [*keys, "indicator"], "value", "weight", "median")
-    wide = found.groupBy(*keys).pivot("indicator", medians).agg(F.first("median"))
+    wide = weighted_medians(weighted, keys, {name: name for name in INDICATORS if name != "poverty_rate"}, "weight")
     poverty = weighted.groupBy(*keys).agg(weighted_mean_of(F.col("poverty_rate"), F.col("weight")).alias("poverty_rate"))
     rows = poverty.join(wide, keys, "left").withColumns(
         {
@@ -346,16 +342,16 @@ def decile_summary(communes: DataFrame, department_rows: DataFrame) -> DataFrame
 
     def medians(rows: DataFrame, suffix: str) -> DataFrame:
         weighted = with_table_weight(rows, ["year"])
-        long = weighted.select("year", "weight", *deciles).unpivot(["year", "weight"], deciles, "indicator", "value")
-        present = long.groupBy("year", "indicator").agg((F.count("value") > 0).alias(f"any_{suffix}"))
-        found = weighted_median(
-            long, ["year", "indicator"], "value", "weight", f"value_{suffix}"
-        )
-        return present.join(found, ["year", "indicator"], "left")
-
-    both = medians(communes, "commune").join(medians(department_rows, "department"), ["year", "indicator"], "left")
-    value = F.when(F.col("any_commune"), F.col("value_commune")).otherwise(F.col("value_department"))
-    return both.groupBy("year").pivot("indicator", deciles).agg(F.first(round_even(value, 2)))
+        present = weighted.groupBy("year").agg(*[(F.count(name) > 0).alias(f"any_{name}_{suffix}") for name in deciles])
+        found = weighted_medians(weighted, ["year"], {name: f"{name}_{suffix}" for name in deciles}, "weight")
+        return present.join(found, "year", "left")
+
+    both = medians(communes, "commune").join(medians(department_rows, "department"), "year", "left")
+    values = [
+        F.when(F.col(f"any_{name}_commune"), F.col(f"{name}_commune")).otherwise(F.col(f"{name}_department"))
+        for name in deciles
+    ]
+    return both.select("year", *[round_even(value, 2).alias(name) for name, value in zip(deciles, values, strict=True)])
 
 
 def year_summary(communes: DataFrame, department_rows: DataFrame) -> DataFrame:

@@ -178,25 +178,45 @@ def headline_metrics(national_rows: DataFrame, departments: DataFrame) -> DataFr
     return wide.unpivot(["year"], [c for c in wide.columns if c != "year"], "metric", "value")
 
 
+def by_levels(silver: DataFrame) -> DataFrame:
+    """The statistics of the nation, the departments and the property types in one pass: (year, level, code, ...)."""
+    levels = F.array(*[
+        F.struct(F.lit(level).alias("level"), code.cast("string").alias("code"))
+        for level, code in (("nation", F.lit(None)), ("department", F.col("code_departement")), ("type", F.col("type_local")))
+    ])
+    rows = silver.select("year", "price_m2", "surface_reelle_bati", F.inline(levels))
+    return quantile_table(
+        rows,
+        ["year", "level", "code"],
+        {
+            "price_m2": {"median_price_m2": 0.5, "d1_price_m2": 0.1, "d9_price_m2": 0.9},
+            "surface_reelle_bati": {"median_surface": 0.5},
+        },
+        {"sales_count": F.count("*")},
+    )
+
+
 def summary_table(silver: DataFrame, source_file: str, generated_at: str) -> DataFrame:
     """One nested summary row per year: filters, totals, maps, department list."""
-    departments = by_department(silver)
-    per_department = (
-        departments.groupBy("year")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("department_code", "year", "sales_count", "median_price_m2"))
-            ).alias("departments")
-        )
-        .withColumn("sales_count_by_department", map_by_key("departments", "department_code", "sales_count"))
-        .withColumn("median_price_m2_by_department", map_by_key("departments", "department_code", "median_price_m2"))
-    )
-    per_type = (
-        by_property_type(silver)
-        .groupBy("year")
-        .agg(F.array_sort(F.collect_list(F.struct("property_type", "median_price_m2"))).alias("types"))
-        .withColumn("median_price_m2_by_property_type", map_by_key("types", "property_type", "median_price_m2"))
+
+    def national(name: str) -> Column:
+        return F.max(F.when(F.col("level") == "nation", F.col(name)))
+
+    def listed(level: str, *fields: Column | str) -> Column:
+        """The rows of a level sorted by code; about a hundred at most."""
+        return F.array_sort(F.collect_list(F.when(F.col("level") == level, F.struct(*fields))))
+
+    years = by_levels(silver).groupBy("year").agg(
+        national("sales_count").alias("total_sales_count"),
+        *[national(name).alias(name) for name in ("median_price_m2", "d1_price_m2", "d9_price_m2", "median_surface")],
+        listed("department", F.col("code").alias("department_code"), "year", "sales_count", "median_price_m2").alias("departments"),
+        listed("type", F.col("code").alias("property_type"), "median_price_m2").alias("types"),
     )
+    maps = {
+        "sales_count_by_department": map_by_key("departments", "department_code", "sales_count"),
+        "median_price_m2_by_department": map_by_key("departments", "department_code", "median_price_m2"),
+        "median_price_m2_by_property_type": map_by_key("types", "property_type", "median_price_m2"),
+    }
     outliers = F.struct(
         F.lit(PRICE_M2_RANGE[0]).alias("price_m2_min"),
         F.lit(PRICE_M2_RANGE[1]).alias("price_m2_max"),
@@ -209,9 +229,7 @@ def summary_table(silver: DataFrame, source_file: str, generated_at: str) -> Dat
         outliers.alias("outliers"),
     )
     return (
-        national(silver)
-        .join(per_department, "year")
-        .join(per_type, "year")
+        years.withColumns(maps)
         .select(
             "year",
             F.array(*[F.lit(y) for y in SALES_YEARS]).alias("available_years"),
