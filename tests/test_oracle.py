@@ -1,9 +1,10 @@
-"""Every registered query against its SQL on the small tables."""
+"""Every query of the base library against its SQL on the small tables."""
 
 import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from cadastrum.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 # Rows-only queries still run; these tables have no duplicates or departments to show at this size.
@@ -15,7 +16,7 @@ def connection():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, connection, name):
     query, sql = entry.queries()[name], entry.oracle_sql().get(name)
     if sql is None:
