@@ -16,7 +16,9 @@ end of a document after ``BLOCK_IDS`` ids.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from cadastrum.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-MAX_WORDS, KEPT_CHARS = 600_000, 64
+MAX_WORDS, KEPT_CHARS = 500_000, 64
 END_ID = 0
 _AT_ONCE = 1 << 16  # a multiple of eight: packed pieces end on whole bytes
 
@@ -49,8 +51,11 @@ def width(vocabulary: int) -> int:
 def pack(ids: np.ndarray, bits: int) -> bytes:
     parts = []
     for at in range(0, len(ids), _AT_ONCE):
-        words = ids[at : at + _AT_ONCE].astype(">u4")
-        parts.append(np.packbits(np.unpackbits(words.view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]).tobytes())
+        whole = ids[at : at + _AT_ONCE].astype(">u4").view(np.uint8).reshape(-1, 4)
+        if bits % 8 == 0:  # whole bytes need no spreading
+            parts.append(whole[:, 4 - bits // 8 :].tobytes())
+        else:
+            parts.append(np.packbits(np.unpackbits(whole, axis=1)[:, 32 - bits :]).tobytes())
     return b"".join(parts)
 
 
@@ -60,18 +65,34 @@ def unpack(packed: bytes, bits: int, first: int, count: int) -> np.ndarray:
     for at in range(0, count, _AT_ONCE):
         n = min(_AT_ONCE, count - at)
         start = (first + at) * bits
-        raw = np.frombuffer(packed, dtype=np.uint8, offset=start // 8, count=(start % 8 + n * bits + 7) // 8) if n else b""
-        spread = np.zeros((n, 32), dtype=np.uint8)
-        spread[:, 32 - bits :] = np.unpackbits(raw)[start % 8 : start % 8 + n * bits].reshape(n, bits)
-        whole[at : at + n] = np.packbits(spread, axis=1).view(">u4")[:, 0]
+        raw = np.frombuffer(packed, dtype=np.uint8, offset=start // 8, count=(start % 8 + n * bits + 7) // 8)
+        if bits % 8 == 0:
+            spread = np.zeros((n, 4), dtype=np.uint8)
+            spread[:, 4 - bits // 8 :] = raw.reshape(n, bits // 8)
+        else:
+            spaced = np.zeros((n, 32), dtype=np.uint8)
+            spaced[:, 32 - bits :] = np.unpackbits(raw)[start % 8 : start % 8 + n * bits].reshape(n, bits)
+            spread = np.packbits(spaced, axis=1)
+        whole[at : at + n] = spread.view(">u4")[:, 0]
     return whole
 
 
+# The pre-token pattern for texts of ASCII and Latin letters alone, where its classes are these ranges.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_IS_LATIN = re.compile(f"[\\x00-\\x7f{_LATIN}]*").fullmatch
+_LATIN_WORDS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t-\r{_LATIN}0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"
+).findall
+# Pre-tokens whose byte-level form is the text itself but for the space.
+_PLAIN = re.compile(r" ?[!-~]+").fullmatch
+
+
 class WordIds(dict):
-    """Ids of the tokenizer's pre-tokens, as bytes, for those met most recently up to a bound.
+    """Ids of the tokenizer's pre-tokens, as bytes; those met in the last million or so are kept.
 
     The tokenizer merges inside pre-tokens only, so a text's ids are those of its pre-tokens in
-    turn. Texts that hold a special token's string go to the library as a whole.
+    turn. Plain pre-tokens go straight to the library's model, others through the whole of it, as do
+    texts that hold a special token's string.
     """
 
     def __init__(self, path: str):
@@ -81,22 +102,33 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            if _PLAIN(word):
+                ids = array("I", [token.id for token in self.model.tokenize(word.replace(" ", "\u0120"))]).tobytes()
+            else:
+                ids = self._whole(word)
         if len(word) <= KEPT_CHARS:
             if len(self) >= MAX_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         if any(token in text for token in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.words(text)))
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, (_LATIN_WORDS if text.isascii() or _IS_LATIN(text) else self.words)(text)))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -124,8 +156,8 @@ def _encode(path: str, key: str, text: str, end_id: int | None):
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
         for batch in batches:
-            for doc, whole in zip(batch[key].to_pylist(), batch[text]):
-                ids = words.encode(whole.as_py() or "") + end
+            for doc, whole in zip(batch[key].to_pylist(), batch[text].to_pylist()):
+                ids = words.encode(whole or "") + end
                 keys.append(doc)
                 starts.append(held)
                 parts.append(ids)
