@@ -97,18 +97,20 @@ def repair_text(column: Column | str) -> Column:
 
 
 def _replace_words(column: Column, words: tuple[tuple[str, str], ...]) -> Column:
-    """Whole words replaced in order. Texts without the start of any of them cost one pass."""
-    # The ASCII starts of the words, which no replacement changes.
-    starts = "|".join(dict.fromkeys(re.match("[a-z ]+", word).group() for word, _ in words))
-
-    def replaced(text: Column) -> Column:
-        # Literal patterns are compiled once each.
-        whole = reduce(
-            lambda rest, pair: F.regexp_replace(rest, f"(?i)(?<![A-Za-z0-9_]){pair[0]}(?![A-Za-z0-9_])", pair[1]), words, text
+    """Whole words replaced in order; only words the text contains cost a regex pass, compiled once each."""
+
+    def replace_word(text: Column, lowered: Column, word: str, shown: str) -> Column:
+        # The ASCII start of the word, which no earlier replacement changes.
+        hit = F.contains(lowered, F.lit(re.match("[a-z ]+", word).group()))
+        pattern = f"(?i)(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])"
+        return bound(text, lambda whole: F.when(hit, F.regexp_replace(whole, pattern, shown)).otherwise(whole))
+
+    def replaced_in(text: Column) -> Column:
+        return bound(
+            F.lower(text), lambda lowered: reduce(lambda rest, pair: replace_word(rest, lowered, *pair), words, text)
         )
-        return F.when(F.rlike(F.lower(text), F.lit(starts)), whole).otherwise(text)
 
-    return bound(column, replaced)
+    return bound(column, replaced_in)
 
 
 def french_display_text(column: Column | str) -> Column:

@@ -1,17 +1,15 @@
 """Exact quantiles and weighted medians, one plan for any size of table or group.
 
-A cell number that never decreases with the value cuts every group three times: bins,
-cells of a bin, and grains of a cell, each a 4096th of the one before. Weights are
-summed per (group, cell), which combines before the shuffle; a running sum over a
-group's bins, then over the found bin's cells, then over the found cell's grains,
-shows where each wanted position lies. Only the rows of that cell go on, equal values
-collapsed.
-
-Cells are relative to the value, so a window holds at most a group's bins (512 for each
-factor of e that its values span), 4096 cells, 4096 grains, or the distinct doubles of
-one grain, of which there are fewer than a million. No task holds a whole group,
-whatever its share of the table or however crowded its values. All value columns and
-probabilities take the same pass, the plan is lazy, and joins are left to AQE.
+A cell number that never decreases with the value cuts every group twice: into bins, and
+each bin into cells. Weights are summed per (group, bin), which combines before the
+shuffle; a running sum over a group's bins, then over the found bin's cells, shows where
+each wanted position lies. Only the rows of that cell go on, equal values collapsed.
+
+Cells are relative to the value, so a window holds at most a group's bins (2,048 for each
+factor of e that its values span), a bin's four million cells, or the distinct doubles of
+one cell, of which there are fewer than a million. No task holds a whole group, whatever its
+share of the table or however crowded its values. All value columns and probabilities take
+the same pass, the plan is lazy, and joins are left to AQE.
 """
 
 from __future__ import annotations
@@ -23,48 +21,43 @@ from pyspark.sql import functions as F
 
 from cadastrum.functions.numbers import finite, round_even
 
-BINS = 512  # per factor of e
-CUT_BITS = 12  # cells per bin and grains per cell, as a power of two
+BIN_BITS, CELL_BITS = 11, 22  # bins per factor of e and cells per bin, as powers of two
 
 _KEY, _COLUMN, _VALUE, _WEIGHT = "__key", "__column", "__value", "__weight"
 _GROUP = [_KEY, _COLUMN]
 _Targets = Callable[[Column], Column]
 
 
-def _grain(value: Column) -> Column:
-    """Number of the value's grain; ``ln`` is semi-monotonic, so order is kept.
+def _cell(value: Column) -> Column:
+    """Number of the value's cell; ``ln`` is semi-monotonic, so order is kept.
 
     The logarithm of a finite double stays within 750 of zero; infinities get ends of their own.
     """
     magnitude = F.least(F.ln(F.abs(value)) + 750.0, F.lit(1500.0))
     return F.when(value == 0, F.lit(0).cast("long")).otherwise(
-        (F.signum(value) * F.floor(magnitude * F.lit(float(BINS << (2 * CUT_BITS))))).cast("long")
+        (F.signum(value) * F.floor(magnitude * F.lit(float(1 << (BIN_BITS + CELL_BITS))))).cast("long")
     )
 
 
-def _coarser(number: str, cuts: int = 1) -> Column:
-    """The wider cell that holds a numbered one (arithmetic shift rounds down)."""
-    return F.shiftright(number, CUT_BITS * cuts)
-
-
 def _locate(df: DataFrame, within: list[str], order: str, hits: Column, start: Column) -> DataFrame:
-    """Keep rows whose running weight covers a wanted position.
+    """Keep rows whose running weight covers a wanted position: (within, order, __from, __hits).
 
-    ``__start`` becomes the weight before the row. The first and last row also
+    ``__from`` is the weight before the row. The first and last row also
     catch positions that floating-point sums push past the ends.
     """
     ordered = Window.partitionBy(*within).orderBy(order)
-    running = F.sum(_WEIGHT).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("__upto", start + running)
-    df = df.withColumn("__before", F.lag("__upto").over(ordered)).withColumn("__last", F.lead("__upto").over(ordered).isNull())
-    df = df.withColumn("__total", F.max("__upto").over(Window.partitionBy(*within))).withColumn("__wanted", hits)
-    wanted = F.expr(
-        "filter(__wanted, h -> (__before is null or h.at > __before) and (h.at <= __upto or __last))"
+    running = start + F.sum(_WEIGHT).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    kept = [c for c in df.columns if c not in (*within, order, _WEIGHT)]
+    summed = df.select(*within, order, *kept, running.alias("__upto"))
+    placed = summed.select(
+        *within, order, *kept, "__upto", F.lag("__upto").over(ordered).alias("__before"),
+        F.lead("__upto").over(ordered).isNull().alias("__last"),
+        F.max("__upto").over(Window.partitionBy(*within)).alias("__total"),
     )
-    return (
-        df.withColumn("__wanted", wanted)
-        .where(F.size("__wanted") > 0)
-        .select(*within, order, F.coalesce("__before", start).alias("__from"), F.col("__wanted").alias("__hits"))
+    wanted = placed.select(*within, order, "__before", "__upto", "__last", start.alias("__start"), hits.alias("__wanted"))
+    covered = F.expr("filter(__wanted, h -> (__before is null or h.at > __before) and (h.at <= __upto or __last))")
+    return wanted.select(*within, order, F.coalesce("__before", "__start").alias("__from"), covered.alias("__hits")).where(
+        F.size("__hits") > 0
     )
 
 
@@ -74,22 +67,18 @@ def _order_statistics(rows: DataFrame, targets: _Targets) -> DataFrame:
     ``rows`` has a struct key, a column number, a non-null value and a positive weight.
     The result has one row per (key, column, target id) with ``value``, ``share``.
     """
-    rows = rows.withColumn("__grain", _grain(F.col(_VALUE))).withColumn("__cell", _coarser("__grain"))
+    rows = rows.select(*_GROUP, _VALUE, _WEIGHT, _cell(F.col(_VALUE)).alias("__cell"))
+    # An arithmetic shift rounds down, so a bin holds neighbouring cells.
+    rows = rows.withColumn("__bin", F.shiftright("__cell", CELL_BITS))
     weight = F.sum(_WEIGHT).alias(_WEIGHT)
-    cells = rows.groupBy(*_GROUP, "__cell").agg(weight).withColumn("__bin", _coarser("__cell"))
-    bins = cells.groupBy(*_GROUP, "__bin").agg(weight)
+    bins = rows.groupBy(*_GROUP, "__bin").agg(weight)
     in_bins = _locate(bins, _GROUP, "__bin", targets(F.col("__total")), F.lit(0.0))
-
-    def narrowed(inner: DataFrame, found: DataFrame, outer: str, order: str) -> DataFrame:
-        within = [*_GROUP, outer]
-        return _locate(inner.join(found, within), within, order, F.col("__hits"), F.col("__from"))
-
-    in_cells = narrowed(cells, in_bins, "__bin", "__cell").drop("__bin")
-    ties = rows.groupBy(*_GROUP, "__cell", "__grain", _VALUE).agg(weight)
-    near = ties.join(in_cells, [*_GROUP, "__cell"])
-    grains = near.groupBy(*_GROUP, "__cell", "__grain").agg(weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits"))
-    in_grains = _locate(grains, [*_GROUP, "__cell"], "__grain", F.col("__hits"), F.col("__from")).drop("__cell")
-    exact = narrowed(near.drop("__from", "__hits", "__cell"), in_grains, "__grain", _VALUE)
+    bin_keys, cell_keys = [*_GROUP, "__bin"], [*_GROUP, "__bin", "__cell"]
+    near = rows.groupBy(*cell_keys, _VALUE).agg(weight).join(in_bins, bin_keys)
+    cells = near.groupBy(*cell_keys).agg(weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits"))
+    in_cells = _locate(cells, bin_keys, "__cell", F.col("__hits"), F.col("__from"))
+    last = near.drop("__from", "__hits").join(in_cells, cell_keys)
+    exact = _locate(last, cell_keys, _VALUE, F.col("__hits"), F.col("__from"))
     return exact.select(*_GROUP, F.col(_VALUE).alias("value"), F.explode("__hits").alias("hit")).select(
         *_GROUP, "value", F.col("hit.id").alias("id"), F.col("hit.share").alias("share")
     )

@@ -113,8 +113,8 @@ def test_no_group_is_held_by_one_task(spark):
     plan = quantile_table(df, ["k"], {"v": {"m": 0.5}})._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan
     windows = [line for line in plan.splitlines() if " Window " in line]
-    # Each window runs over bins, over cells of a bin, over grains of a cell, or over the values of a grain.
-    assert windows and all(any(c in line for c in ("__bin", "__cell", "__grain", "__total", "__upto")) for line in windows)
+    # Each window runs over bins, over cells of a bin, or over the values of a cell.
+    assert windows and all(any(c in line for c in ("__bin", "__cell", "__total", "__upto")) for line in windows)
 
 
 def test_infinities_are_ends(spark):
