@@ -105,7 +105,7 @@ PUBLISHED_COLUMNS = {
     },
 }
 
-# Long-table measure code -> canonical column.
+# Long-table measure code -> canonical column.
 MEASURES = {
     "MED_SL": "median_income",
     "D1_SL": "d1_income",
@@ -141,7 +141,7 @@ INDICATOR_LABELS = {
     "population": "Population",
 }
 
-# Raw source column -> canonical column, as ordered patterns over folded names.
+# Raw source column -> canonical column, as ordered patterns over folded names.
 COLUMN_PATTERNS = {
     "commune_code": ("^commune_code$", "^code_commune$", "^codgeo$", "^code_geo$", "^geo$"),
     "commune_name": ("^commune_name$", "^nom_commune$", "^libgeo$", "^libelle_commune$", "^commune$"),

@@ -14,6 +14,7 @@ from cadastrum.sources.sinks import as_document
 
 PREVIEW_ROWS = 500
 DEFAULT_FOCUS = "75"
+# The income columns that are published, in their order.
 PUBLISHED_INCOME = (
     "median_income", "d1_income", "d2_income", "d3_income", "d4_income", "d5_income", "d6_income",
     "d7_income", "d8_income", "d9_income", "poverty_rate", "tax_households", "population",

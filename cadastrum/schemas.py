@@ -31,6 +31,7 @@ SALES_NUMBERS = (
     "longitude",
     "latitude",
 )
+# The canonical sales columns in their order.
 SALES_COLUMNS = (
     "nature_mutation",
     "type_local",
@@ -44,15 +45,8 @@ SALES_COLUMNS = (
     "code_commune",
     "nom_commune",
 )
-SALES_BRONZE = _struct({**{name: StringType() for name in SALES_COLUMNS}, "year": LongType()})
-SALES_SILVER = _struct(
-    {
-        **{name: DoubleType() if name in SALES_NUMBERS else StringType() for name in SALES_COLUMNS},
-        "year": LongType(),
-        "price_m2": DoubleType(),
-    }
-)
 
+# The income indicators in their published order.
 INDICATORS = (
     "median_income",
     "d1_income",
