@@ -5,8 +5,8 @@ to a node is a conjunction of comparisons. Each rule is a 0/1 feature; a lasso-p
 logistic regression keeps few of them, and these are compiled into one Spark column
 expression over the statistics. Scoring is therefore a plain projection of the scan.
 
-The fit takes at most ``FIT_ROWS`` labelled rows, those of the least hash of their text,
-so its cost does not grow with the corpus.
+The fit takes about ``FIT_ROWS`` labelled rows at most, chosen by a hash of their key, so its
+cost does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -131,18 +131,37 @@ def fit_rules(labelled: DataFrame, names: list[str], label: str = "label", seed:
     return RuleModel(float(lasso.intercept), weights)
 
 
-def fit_on_texts(labelled: DataFrame, text: str, label: str, rows: int = FIT_ROWS) -> RuleModel:
-    """``fit_rules`` on the statistics of at most ``rows`` rows, those of the least text hash."""
-    chosen = labelled.where(F.col(label).isNotNull()).orderBy(F.xxhash64(text)).limit(rows)
+def sample_labels(labels: DataFrame, key: str, rows: int = FIT_ROWS) -> DataFrame:
+    """All of ``labels``, or about ``rows`` of them where there are more: those whose key's hash is low.
+
+    The choice depends on the keys and their number alone. Rows of a null key are left out.
+    """
+    keyed = labels.where(F.col(key).isNotNull())
+    count = keyed.count()
+    if count <= rows:
+        return keyed
+    return keyed.where(F.shiftrightunsigned(F.xxhash64(F.lit("fit"), F.col(key)), 11) < int(rows / count * 2**53))
+
+
+def fit_on_texts(labelled: DataFrame, text: str, label: str) -> RuleModel:
+    """``fit_rules`` on the statistics of a bounded number of labelled texts."""
     stats = statistics(whole_text(text))
+    known = labelled.where(F.col(label).isNotNull())
     return fit_rules(
-        chosen.select(*(column.alias(name) for name, column in stats.items()), F.col(label).alias("label")), list(stats)
+        known.select(*(column.alias(name) for name, column in stats.items()), F.col(label).alias("label")), list(stats)
     )
 
 
 def score_texts(docs: DataFrame, model: RuleModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of the whole text (null as empty); one projection, other columns unchanged."""
+    """``docs`` with the score of the whole text (null as empty); one projection.
+
+    Other columns stay as they are; one named like the score gives way to it. Every row is scored,
+    repeated rows alike; an empty table gives no rows.
+    """
     stats = statistics(whole_text(text))
-    columns = [F.col(column) for column in docs.columns]
-    inner = docs.select(F.struct(*columns).alias("_row"), *(column.alias(name) for name, column in stats.items()))
-    return inner.select("_row", model.score().alias("_score")).select("_row.*", F.col("_score").alias(name))
+    own = [column for column in docs.columns if column != name]
+    inner = docs.select(F.struct(*own).alias("_row"), *(column.alias(stat) for stat, column in stats.items()))
+    # The generator keeps a later filter on the score from being pushed below the statistics, where
+    # every rule would compute them anew.
+    scored = inner.select("_row", F.explode(F.array(model.score())).alias("_score"))
+    return scored.select("_row.*", F.col("_score").alias(name))
