@@ -24,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("node").agg(F.min("other").alias("least"))
     return both.join(least, "node").where(F.col("other") > F.col("node")).select(
         F.col("other").alias("child"), F.least("node", "least").alias("parent")
-    ).distinct()
+    )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
