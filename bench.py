@@ -59,8 +59,6 @@ def main() -> None:
         f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
         spark__driver__memory="16g",
-        # The tables are small; without this AQE gives most stages a single task.
-        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
         spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,8 +5,8 @@ each bin into cells. Weights are summed per (group, bin), which combines before
 shuffle; a running sum over a group's bins, then over the found bin's cells, shows where
 each wanted position lies. Only the rows of that cell go on, equal values collapsed.
 
-Cells are relative to the value, so a window holds at most a group's bins (2,048 for each
-factor of e that its values span), a bin's four million cells, or the distinct doubles of
+Cells are relative to the value, so a window holds at most a group's bins (512 for each
+factor of e that its values span), a bin's 16 million cells, or the distinct doubles of
 one cell, of which there are fewer than a million. No task holds a whole group, whatever its
 share of the table or however crowded its values. All value columns and probabilities take
 the same pass, the plan is lazy, and joins are left to AQE.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cadastrum.functions.numbers import finite, round_even
 
-BIN_BITS, CELL_BITS = 11, 22  # bins per factor of e and cells per bin, as powers of two
+BIN_BITS, CELL_BITS = 9, 24  # bins per factor of e and cells per bin, as powers of two
 
 _KEY, _COLUMN, _VALUE, _WEIGHT = "__key", "__column", "__value", "__weight"
 _GROUP = [_KEY, _COLUMN]
