@@ -1,6 +1,6 @@
 """I-Match fingerprints over randomised lexicons.
 
-The lexicon keeps the terms whose document frequency lies within a band. A text keeps
+The lexicon keeps the terms whose document frequency lies within a band; copies of a text count once. A text keeps
 its distinct lexicon terms, sorted, and hashes those that fall into each of several
 random parts of the lexicon. Parts come at three rates (a 16th, a 128th and a 1024th
 of the lexicon, ``PARTS`` of each), so texts of any length have parts that hold
@@ -8,7 +8,7 @@ only a few of their terms: those survive an edit of another place. One more comp
 hashes all kept terms, as the plain method does. Two fingerprints are as alike as their
 parts at the rate that agrees best.
 
-The lower end of the band is a share of all documents. A corpus of N documents with on
+The lower end of the band is a share of all texts. A corpus of N distinct texts with on
 average d distinct terms has N * d (document, term) pairs, so at most d / share terms
 reach it: the lexicon's size is bounded whatever N is, and it is checked before it is
 broadcast.
@@ -35,9 +35,19 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """(term): hashes of the terms found in ``least`` to ``most`` of all rows, stored."""
-    rows = docs.count()
-    frequencies = docs.select(F.explode(terms(whole_text(text))).alias("word")).where("word <> ''").groupBy(
+    """(term): hashes of the terms found in ``least`` to ``most`` of all distinct texts, stored.
+
+    Only texts that have copies are grouped; the others are read where they lie.
+    """
+    whole = whole_text(text)
+    hashed = docs.select(F.xxhash64(whole).alias("text_hash"), F.char_length(whole).alias("n_chars"), whole.alias("text"))
+    same = ["text_hash", "n_chars"]
+    texts = materialise(hashed.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")), "texts")
+    rows = texts.count()
+    copied = materialise(texts.where("copies > 1").select(*same), "copied")
+    once = hashed.join(copied, same, "left_semi").groupBy(*same).agg(F.first("text").alias("text"))
+    distinct = hashed.join(copied, same, "left_anti").select("text").union(once.select("text"))
+    frequencies = distinct.select(F.explode(terms(F.col("text"))).alias("word")).where("word <> ''").groupBy(
         F.xxhash64("word").alias("term")
     ).agg(F.count(F.lit(1)).alias("documents"))
     return materialise(frequencies.where(F.col("documents").between(least * rows, most * rows)).select("term"), "lexicon")
