@@ -78,7 +78,7 @@ class LineRuns:
 
 def drop_common_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 10, min_chars: int = 1,
-    batches: int = 4, fanout: int = 4,
+    batches: int = 6, fanout: int = 2,
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``.
 
