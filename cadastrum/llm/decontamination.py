@@ -5,8 +5,8 @@ window). The scan need not look at every word: any 10 consecutive words of a doc
 hold a 5-gram that starts at a multiple of 6, so the 5-grams at every sixth word are
 looked up in the set of all 5-grams of the windows. Windows of a shorter item are
 looked up at every word, and only if there are such items. The scan compares hashes
-of fully lower-cased words, which misses nothing; documents with a hit are then
-verified word by word on the exact normal form.
+of the same normal form as the verification (A-Z in lower case), so it misses
+nothing; documents with a hit are then verified word by word.
 
 The set is joined plainly: Spark broadcasts it while its stored size is below the
 session's threshold and shuffles the grams of the documents otherwise. The scan's
@@ -71,7 +71,7 @@ def contamination(
     short = sorted(row.length for row in windows.select("length").distinct().collect() if row.length < window)  # < window
     gram = max(1, window // 2)
     step = window - gram + 1
-    window_words = F.split(F.lower("window"), " ")
+    window_words = F.split("window", " ")
     set_grams = F.when(F.col("length") == window, _gram_hashes(window_words, gram)).otherwise(
         F.array(F.xxhash64(window_words))
     )
@@ -81,7 +81,7 @@ def contamination(
     looked_up = F.concat(_gram_hashes(scanned_words, gram, step), *(_gram_hashes(scanned_words, n) for n in short))
     grams = (
         docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_hash"),
-                    all_words(F.lower(whole_text(text)), ALNUM_WORD).alias("words"))
+                    all_words(ascii_lower(whole_text(text)), ALNUM_WORD).alias("words"))
         .select("id", "text_hash", F.size("words").cast("long").alias("n_words"), looked_up.alias("grams"))
         .select("id", "text_hash", "n_words", F.posexplode_outer("grams").alias("place", "gram"))
     )
