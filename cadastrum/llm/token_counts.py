@@ -13,7 +13,8 @@ Pieces hold the space mark at their start only, and characters without a piece o
 (each counts one token per byte) join nothing, so a unit - a run of marks and what follows up to the next mark -
 starts in the initial state. A chunk of a text is then a map from states to states and counts that
 is constant after its first unit: the map is kept as the chunk's head, its count and its
-open tail. Maps compose associatively; a text's chunks are composed by a prefix scan.
+open tail. Maps compose associatively; a text's chunks are folded in a
+balanced tree, which holds each character once.
 """
 
 from __future__ import annotations
@@ -176,13 +177,12 @@ def compose(one: ChunkMap, two: ChunkMap, counts: UnitCounts) -> ChunkMap:
     return ChunkMap(one.head, True, one.count + _closed(one.tail + two.head, counts) + two.count, two.tail)
 
 
-def scan(maps: list[ChunkMap], counts: UnitCounts) -> list[ChunkMap]:
-    """Inclusive prefix scan by doubling steps."""
-    step = 1
-    while step < len(maps):
-        maps = maps[:step] + [compose(maps[i - step], maps[i], counts) for i in range(step, len(maps))]
-        step *= 2
-    return maps
+def fold(maps: list[ChunkMap], counts: UnitCounts) -> ChunkMap:
+    """The composition of all maps, neighbours first."""
+    while len(maps) > 1:
+        odd = maps[len(maps) & ~1 :]
+        maps = [compose(maps[i], maps[i + 1], counts) for i in range(0, len(maps) - 1, 2)] + odd
+    return maps[0]
 
 
 def count_text(text: str | None, counts: UnitCounts, chunk_chars: int = CHUNK_CHARS) -> int:
@@ -192,7 +192,7 @@ def count_text(text: str | None, counts: UnitCounts, chunk_chars: int = CHUNK_CH
     marked = MARK + text.replace(" ", MARK)
     if len(marked) <= chunk_chars:
         return _closed(marked, counts)
-    whole = scan([chunk_map(marked[i : i + chunk_chars], counts) for i in range(0, len(marked), chunk_chars)], counts)[-1]
+    whole = fold([chunk_map(marked[i : i + chunk_chars], counts) for i in range(0, len(marked), chunk_chars)], counts)
     return _closed(whole.head, counts) + whole.count + _closed(whole.tail, counts)
 
 
