@@ -1,7 +1,7 @@
 """From raw documents to token files in five stages, each stored before the next one reads it.
 
 1. quality: rejects documents that score below 0.3,
-2. near_duplicates: keeps one document of each group linked by 5-word Jaccard similarity of 0.8 or more,
+2. near_duplicates: keeps one document of each group of SimHash fingerprints linked at three bits or fewer,
 3. decontamination: removes documents that hold a benchmark window of ten words,
 4. mixing: takes documents by source to the target weights, some of them twice,
 5. token_files: writes the ids as packed blocks and returns one row per document read from them.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastrum.llm import decontamination, mixing, near_copies, quality, token_files
+from cadastrum.llm import decontamination, mixing, quality, simhash, token_files
 from cadastrum.llm.queries import CUT_AT, quality_model, tokenizer_path
 from cadastrum.registry.base import table
 from cadastrum.session import materialise
@@ -25,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one_per_group(docs)
+    return simhash.keep_one_per_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
