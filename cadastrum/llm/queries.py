@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastrum.llm import (
-    decontamination, imatch, line_dedup, mixing, quality, secrets, sharding, simhash, token_counts, token_files,
+    conversations, decontamination, imatch, line_dedup, mixing, quality, secrets, sharding, simhash, token_counts, token_files,
 )
 from cadastrum.llm.expressions import repeat_rows, whole_text
 from cadastrum.registry.base import table
@@ -242,3 +242,35 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose fingerprints are linked by three bits or fewer."""
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their turns damaged: dropped, emptied, cut off, repeated or given to the user."""
+    spaced = rows.select("conv_id", "turn", *(F.coalesce(name, F.lit(" ")).alias(name) for name in ("role", "text")))
+    named = F.concat_ws(":", *(F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")))
+    fate = F.crc32(named) % 20
+    text = F.when(fate == 1, "").when(fate == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    changed = spaced.where(fate != 0).select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    repair = conversations.Repair(damaged(rows))
+    found = repair.summary().withColumn("parsed", F.struct("conv_id"))
+    digests = repair.digests().select(F.struct("conv_id").alias("hashed"), "repaired_sha256")
+    every = rows.select("conv_id").distinct().select(F.struct("conv_id").alias("own"))
+    joined = every.join(found.drop("conv_id"), F.col("own") == F.col("parsed"), "left").join(
+        digests, F.col("own") == F.col("hashed"), "left"
+    )
+    return joined.select(
+        "own.conv_id",
+        *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
