@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastrum.llm import (
     conversations, decontamination, imatch, line_dedup, mixing, quality, secrets, sharding, simhash, token_counts, token_files,
+    whitening,
 )
 from cadastrum.llm.expressions import repeat_rows, whole_text
 from cadastrum.registry.base import table
@@ -274,3 +275,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen whitened components of every embedding."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))
