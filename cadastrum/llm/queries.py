@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadastrum.llm import (
-    conversations, decontamination, imatch, line_dedup, mixing, quality, secrets, sharding, simhash, token_counts, token_files,
+    conversations, decontamination, imatch, line_dedup, mixing, quality, repeats, secrets, sharding, simhash, token_counts, token_files,
     whitening,
 )
 from cadastrum.llm.expressions import repeat_rows, whole_text
@@ -282,3 +282,21 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen whitened components of every embedding."""
     found = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every byte of a 200-byte string that starts twice goes."""
+    docs = documents(spark, sf_dir).select("doc_id", whole_text("text").alias("text"))
+    cut = repeats.cut_texts(docs).select(
+        "one", "two", F.sha2("kept", 256).alias("cut_sha256"), F.size("spans").cast("long").alias("n_spans"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+    )
+    rows = docs.select(
+        "doc_id", *repeats.text_key(F.col("text")), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha256")
+    )
+    zero = F.lit(0).cast("long")
+    return rows.join(cut, ["one", "two"], "left").select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"),
+    )
