@@ -13,7 +13,8 @@ from cadastrum.functions import blank_to_null, department_of, fold_header, frenc
 from cadastrum.operators.quantiles import weighted_mean_of, weighted_medians, with_table_weight
 from cadastrum.operators.shape import first_per_key, map_by_key, measure_pivot
 from cadastrum.schemas import INCOME_GOLD, INDICATORS, conform, require_columns
-from cadastrum.sources.readers import camel, either_case_columns, either_case_schema, read_either_case
+from cadastrum.sources.readers import BROKEN, camel, either_case_columns, either_case_schema, read_either_case
+from cadastrum.sources.records import json_documents
 from cadastrum.sources.sinks import as_document
 
 
@@ -566,27 +567,32 @@ _ONE_SUMMARY = _SUMMARY_FIELDS | {
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     """One row per year of an income summary collection, in either key style.
 
-    Absent values take their defaults; entries whose key is no year are skipped.
+    Absent values take their defaults; entries whose key is no year are skipped. A document or an entry that
+    cannot be read is a row with ``readable`` false.
     """
     collection = read_either_case(spark, path, _SUMMARY_FIELDS | {"summaries_by_year": ("map<string,string>", None)})
     entries = collection.select(
-        F.col("latest_year").cast("long").alias("collection_latest_year"), F.explode("summaries_by_year").alias("key", "text")
+        F.col("latest_year").cast("long").alias("collection_latest_year"), "readable",
+        F.explode_outer("summaries_by_year").alias("key", "text"),
     )
+    schema = f"{either_case_schema(_ONE_SUMMARY)}, {BROKEN} string"
     parsed = entries.select(
-        "collection_latest_year", F.col("key").try_cast("double").cast("long").alias("year"),
-        F.from_json("text", either_case_schema(_ONE_SUMMARY)).alias("one"),
-    ).where("year IS NOT NULL")
+        "collection_latest_year", "readable", F.col("key").try_cast("double").cast("long").alias("year"),
+        F.from_json("text", schema, {"columnNameOfCorruptRecord": BROKEN}).alias("one"),
+    ).where("year IS NOT NULL OR NOT readable").withColumn("readable", F.col("readable") & F.col(f"one.{BROKEN}").isNull())
     deciles = F.struct(*[
         F.coalesce(F.col(f"decile_summary.{camel(name)}"), F.col(f"decile_summary.{name}")).alias(name)
         for name in ("d1_income", "d5_income", "d9_income")
     ])
-    return parsed.select("collection_latest_year", "year", *either_case_columns(_ONE_SUMMARY, "one")).withColumns({
+    filled = parsed.select("collection_latest_year", "year", "readable", *either_case_columns(_ONE_SUMMARY, "one")).withColumns({
         "latest_year": F.col("latest_year").cast("long"),
         "available_years": F.col("available_years").cast("array<bigint>"),
         "median_income_by_department": F.coalesce("median_income_by_department", F.create_map().cast("map<string,double>")),
         "decile_summary": deciles,
         "notes": F.coalesce("notes", F.array().cast("array<string>")),
     })
+    given = ("collection_latest_year", "year", "readable")
+    return filled.select(*[F.col(c) if c in given else F.when(F.col("readable"), F.col(c)).alias(c) for c in filled.columns])
 
 
 def read_availability(spark: SparkSession, path: str) -> DataFrame:
@@ -596,7 +602,7 @@ def read_availability(spark: SparkSession, path: str) -> DataFrame:
         "indicator_source": ("string", ""), "comparable_with_previous_years": ("boolean", False),
     }
     kind = f"map<string,map<string,map<string,struct<{either_case_schema(fields, ':')}>>>>"
-    years = spark.read.text(path).select(F.explode(F.from_json("value", kind)).alias("year", "levels"))
+    years = json_documents(spark, path).select(F.explode(F.from_json("text", kind)).alias("year", "levels"))
     levels = years.select("year", F.explode("levels").alias("level", "indicators"))
     rows = levels.select("year", "level", F.explode("indicators").alias("indicator", "one"))
     return rows.select(F.col("year").cast("long").alias("year"), "level", "indicator", *either_case_columns(fields, "one"))

@@ -260,7 +260,10 @@ _FILTERS = (
 
 
 def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Sales summary documents in either key style; absent values take their defaults."""
+    """Sales summary documents in either key style, indented or not; absent values take their defaults.
+
+    A document that cannot be read is a row with ``readable`` false and nothing else.
+    """
     renamed = {
         "median_price_m2": "median_price_per_square_meter",
         "median_price_m2_by_department": "median_price_per_square_meter_by_department",
@@ -283,6 +286,7 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
     read = read_either_case(spark, path, fields)
     for snake, long_name in renamed.items():
         kind = dict(read.dtypes)[snake]
-        found = [F.col(long_name), F.col(snake), *([F.create_map().cast(kind)] if kind.startswith("map") else [])]
+        found = [F.col(long_name), F.col(snake), *([F.when(F.col("readable"), F.create_map().cast(kind))] if kind.startswith("map") else [])]
         read = read.withColumn(snake, F.coalesce(*found)).drop(long_name)
-    return read.withColumn("sales_count_by_department", F.coalesce("sales_count_by_department", F.create_map().cast(counts)))
+    none = F.when(F.col("readable"), F.create_map().cast(counts))
+    return read.withColumn("sales_count_by_department", F.coalesce("sales_count_by_department", none))

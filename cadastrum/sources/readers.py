@@ -9,26 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cadastrum.session import small_table
+from cadastrum.sources.records import json_documents, read_quoted
 
 # Candidate delimiters in order of preference among equals.
 DELIMITERS = (",", "\t", ";", "|")
+_FIELD_START = "(^|[,\\t;|])"
 # Without a consistent candidate the header decides, in this order.
 HEADER_FALLBACK = ("|", ";", ",")
 
 
+def _unquoted(line: Column) -> Column:
+    """The line without its quoted fields and without one that it does not close."""
+    closed = F.regexp_replace(line, _FIELD_START + '"[^"]*+(?:""[^"]*+)*+"', "$1")
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(closed, _FIELD_START + '"[\\s\\S]*$', "$1")).otherwise(line)
+
+
 def delimiter_profile(lines: DataFrame, by: list[str]) -> DataFrame:
     """How consistently each candidate splits the lines of every file.
 
     ``lines`` has a ``value`` column plus the ``by`` columns. For each
     candidate: the most common count per line and the share of lines with it.
-    All steps are map-side combinable; counts per line take few values.
+    Quoted fields count as empty. All steps are map-side combinable; counts per line take few values.
     """
+    bare = _unquoted(F.col("value"))
     counts = F.array(
         *[
             F.struct(
                 F.lit(d).alias("delimiter"),
                 F.lit(-rank).alias("preference"),
-                (F.length("value") - F.length(F.replace(F.col("value"), F.lit(d), F.lit("")))).alias("per_line"),
+                (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("per_line"),
             )
             for rank, d in enumerate(DELIMITERS)
         ]
@@ -111,12 +120,15 @@ def read_delimited(
 ) -> DataFrame:
     """Header row, every column text, blanks kept as empty text.
 
-    ``multi_line`` allows line breaks inside quotes but makes files unsplittable.
+    ``multi_line`` allows line breaks inside quotes. Files in UTF-8 stay splittable; others are read by one task each.
     """
+    sep = sep or detect_delimiter(spark, path)
+    if multi_line and encoding.upper() == "UTF-8":
+        return read_quoted(spark, path, sep)
     raw = (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("sep", sep or detect_delimiter(spark, path))
+        .option("sep", sep)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
@@ -204,14 +216,35 @@ def either_case_columns(fields: Fields, inside: str | None = None) -> list[Colum
     return columns
 
 
+BROKEN = "_broken"
+
+
+def parsed_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The documents of JSON files, indented or one per line, as rows of the declared schema (absent fields null).
+
+    ``readable`` is false for a document that is cut off or no JSON; its fields are all null.
+    """
+    found = json_documents(spark, path)
+    parsed = F.from_json("text", f"{schema}, {BROKEN} string", {"columnNameOfCorruptRecord": BROKEN})
+    rows = found.select(parsed.alias("one"), "complete").select(
+        "one.*", (F.col("complete") & F.col(f"one.{BROKEN}").isNull()).alias("readable")
+    ).drop(BROKEN)
+    return rows.select(*[F.when(F.col("readable"), F.col(c)).alias(c) for c in rows.columns if c != "readable"], "readable")
+
+
 def read_either_case(spark: SparkSession, path: str, fields: Fields) -> DataFrame:
-    """JSON documents, one per line, whose fields have snake_case or camelCase names."""
-    return spark.read.schema(either_case_schema(fields)).json(path).select(*either_case_columns(fields))
+    """JSON documents whose fields have snake_case or camelCase names, with ``readable``.
+
+    Defaults fill absent fields of documents that could be read, never a document that could not.
+    """
+    rows = parsed_documents(spark, path, either_case_schema(fields))
+    filled = [F.when(F.col("readable"), column).alias(name) for name, column in zip(fields, either_case_columns(fields), strict=True)]
+    return rows.select(*filled, "readable")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents, one per line, with a declared schema (absent fields null)."""
-    return spark.read.schema(schema).json(path)
+    """JSON documents, indented or one per line, with a declared schema (absent fields null)."""
+    return parsed_documents(spark, path, schema).drop("readable")
 
 
 def describe(df: DataFrame) -> DataFrame:
