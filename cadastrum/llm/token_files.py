@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from cadastrum.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-MAX_WORDS, KEPT_CHARS = 500_000, 64
+MAX_WORDS, KEPT_CHARS = 200_000, 64
+_ROWS_AT_ONCE = 256
 END_ID = 0
 _AT_ONCE = 1 << 16  # a multiple of eight: packed pieces end on whole bytes
 
@@ -88,7 +89,7 @@ _PLAIN = re.compile(r" ?[!-~]+").fullmatch
 
 
 class WordIds(dict):
-    """Ids of the tokenizer's pre-tokens, as bytes; those met in the last million or so are kept.
+    """Ids of the tokenizer's pre-tokens, as bytes; those met in the last few hundred thousand are kept.
 
     The tokenizer merges inside pre-tokens only, so a text's ids are those of its pre-tokens in
     turn. Plain pre-tokens go straight to the library's model, others through the whole of it, as do
@@ -155,7 +156,7 @@ def _encode(path: str, key: str, text: str, end_id: int | None):
             row = [part], [block], [first], [held], [bits], [keys], [starts], [packed]
             return pa.record_batch([pa.array(v, type=f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, _ROWS_AT_ONCE)):
             for doc, whole in zip(batch[key].to_pylist(), batch[text].to_pylist()):
                 ids = words.encode(whole or "") + end
                 keys.append(doc)
