@@ -57,6 +57,25 @@ def gzip_scan(spark, sf_dir):
     return plan.to_bronze(raw, F.col("year"))
 
 
+_QUOTED_NAME = """nom_commune || ' ' || chr(10) || '"' || nature_mutation || '"|' || type_local AS nom_commune"""
+
+
+@query(
+    "quoted_csv_scan",
+    with_views(
+        f"""SELECT {_COLUMNS.replace("nom_commune", _QUOTED_NAME)}, CAST(year AS BIGINT) AS year FROM bronze""",
+        SALES_SQL, BRONZE_SQL,
+    ),
+)
+def quoted_csv_scan(spark, sf_dir):
+    """All sales, every name with a line break, quotes and delimiters inside quotes; files are read in byte ranges."""
+    path = scratch_path(spark, "raw-quoted")
+    name = F.concat("Commune", F.lit('\n"'), "`Nature mutation`", F.lit('"|'), "`Type local`")
+    rows = standins.raw_sales(spark, sf_dir).withColumn("Commune", name)
+    rows.write.options(header=True, sep="|", escape='"').csv(path)
+    return plan.to_bronze(readers.read_delimited(spark, path, sep="|", multi_line=True), F.col("year"))
+
+
 @query(
     "delimiter_profile",
     with_views(
@@ -392,6 +411,36 @@ def summary_json_scan(spark, sf_dir):
     )
 
 
+@query(
+    "summary_layouts",
+    with_views(
+        """, counted AS (SELECT year, count(*) AS departments FROM by_department GROUP BY year),
+           layouts AS (SELECT unnest([1, 2, 3]) AS layout)
+           SELECT n.year AS year, total_sales_count, n.median_price_m2 AS median_price_m2, departments, TRUE AS readable
+           FROM national n JOIN counted USING (year) CROSS JOIN layouts
+           UNION ALL SELECT NULL, NULL, NULL, NULL, FALSE FROM national""",
+        SALES_SQL, SILVER_SQL, _NATIONAL_SQL, _DEPARTMENT_SQL,
+    ),
+)
+def summary_layouts(spark, sf_dir):
+    """The summary documents on one line, indented, indented with camelCase keys, and cut off: all read alike but the last."""
+    base = scratch_path(spark, "summary-layouts")
+    sinks.write_documents(_documents(spark, sf_dir), f"{base}/line")
+    line = F.col("value")
+    indented = F.regexp_replace(line, r"([,{\[])", "$1\n  ")
+    camel = indented
+    for name in ("total_sales_count", "sales_count_by_department", "median_price_m2_by_department"):
+        camel = F.replace(camel, F.lit(f'"{name}"'), F.lit(f'"{readers.camel(name).replace("PriceM2", "PricePerSquareMeter")}"'))
+    cut = F.substring(indented, F.lit(1), (F.length(indented) / 2).cast("int"))
+    documents = spark.read.text(f"{base}/line")
+    for name, text in (("indented", indented), ("camel", camel), ("cut", cut)):
+        documents.select(text.alias("value")).write.text(f"{base}/{name}")
+    return plan.read_summaries(spark, f"{base}/*").select(
+        "year", "total_sales_count", "median_price_m2",
+        F.when(F.col("readable"), F.size("sales_count_by_department")).cast("long").alias("departments"), "readable",
+    )
+
+
 @query(
     "map_union_rows",
     with_views(

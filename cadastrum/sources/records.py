@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cadastrum.session import materialise
+
 _RANGE = ["file", "range"]
 
 
@@ -153,7 +155,10 @@ def read_quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
     Files are read in byte ranges. Each file has a header; the names are those of the first file. Blank lines
     between records are skipped.
     """
-    records = records_of(lines_of(spark, path), delimited_grammar(sep)).where("trim(text) != ''")
+    # Stored, because the header is looked up before all records are parsed.
+    records = materialise(
+        records_of(lines_of(spark, path), delimited_grammar(sep)).where("trim(text) != ''").drop("complete"), "records"
+    )
     heads = records.groupBy("file").agg(F.min_by("text", F.struct("range", "row")).alias("head"))
     first = heads.orderBy("file").select("head").first()
     if first is None:

@@ -24,4 +24,4 @@ def test_entry_without_the_corpus_operators(tmp_path):
     without = ask(bare)
     assert without[0] == 0 and without[1] > 90
     if (ROOT / "cadastrum" / "llm").is_dir():
-        assert ask(ROOT) == (10, without[1] + 11)
+        assert ask(ROOT) == (13, without[1] + 14)
