@@ -1,15 +1,17 @@
-"""Exact quantiles and weighted medians, one plan for any size of table or group.
+"""Exact quantiles and weighted medians of groups of any size.
 
-A cell number that never decreases with the value cuts every group twice: into bins, and
-each bin into cells. Weights are summed per (group, bin), which combines before the
+Groups of up to ``SORTED_ROWS`` rows are shuffled once by key and sorted, and a running weight tells
+where each wanted position lies. Larger groups, whose keys are few by that very bound, never
+meet in one task: a cell number that never decreases with the value cuts each of them twice, into bins,
+and each bin into cells. Weights are summed per (group, bin), which combines before the
 shuffle; a running sum over a group's bins, then over the found bin's cells, shows where
-each wanted position lies. Only the rows of that cell go on, equal values collapsed.
+each wanted position lies. Only the rows of that cell go on, equal values collapsed. Both ways give
+the same rows; where a table has no large group, AQE drops that branch once the counts are known.
 
 Cells are relative to the value, so a window holds at most a group's bins (512 for each
 factor of e that its values span), a bin's 16 million cells, or the distinct doubles of
-one cell, of which there are fewer than a million. No task holds a whole group, whatever its
-share of the table or however crowded its values. All value columns and probabilities take
-the same pass, the plan is lazy, and joins are left to AQE.
+one cell, of which there are fewer than a million. All value columns and probabilities take
+the same pass and the plan is lazy.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from cadastrum.functions.numbers import finite, round_even
 
 BIN_BITS, CELL_BITS = 9, 24  # bins per factor of e and cells per bin, as powers of two
+SORTED_ROWS = 1 << 20  # a sorted group holds no more rows, so a table has at most one larger group per million rows
 
 _KEY, _COLUMN, _VALUE, _WEIGHT = "__key", "__column", "__value", "__weight"
 _GROUP = [_KEY, _COLUMN]
@@ -61,20 +64,30 @@ def _locate(df: DataFrame, within: list[str], order: str, hits: Column, start: C
     )
 
 
-def _order_statistics(rows: DataFrame, targets: _Targets) -> DataFrame:
-    """Per key and column, the smallest value whose running weight reaches each target.
+def with_cells(rows: DataFrame) -> DataFrame:
+    """Adds the number of each value's cell and bin."""
+    rows = rows.withColumn("__cell", _cell(F.col(_VALUE)))
+    # An arithmetic shift rounds down, so a bin holds neighbouring cells.
+    return rows.withColumn("__bin", F.shiftright("__cell", CELL_BITS))
+
+
+def bin_weights(rows: DataFrame) -> DataFrame:
+    """Weight per group and bin; tables of these merge by adding weights."""
+    return rows.groupBy(*_GROUP, "__bin").agg(F.sum(_WEIGHT).alias(_WEIGHT))
+
+
+def order_statistics_of_bins(bins: DataFrame, rows: DataFrame, targets: _Targets) -> DataFrame:
+    """Per key and column, the smallest value whose running weight reaches each target, of rows of any number.
 
-    ``rows`` has a struct key, a column number, a non-null value and a positive weight.
-    The result has one row per (key, column, target id) with ``value``, ``share``.
+    ``rows`` has a struct key, a column number, a non-null value with its cell and bin, and a positive weight; ``bins``
+    are its ``bin_weights``. The result has one row per (key, column, target id) with ``value``, ``share``.
     """
-    rows = rows.select(*_GROUP, _VALUE, _WEIGHT, _cell(F.col(_VALUE)).alias("__cell"))
-    # An arithmetic shift rounds down, so a bin holds neighbouring cells.
-    rows = rows.withColumn("__bin", F.shiftright("__cell", CELL_BITS))
     weight = F.sum(_WEIGHT).alias(_WEIGHT)
-    bins = rows.groupBy(*_GROUP, "__bin").agg(weight)
     in_bins = _locate(bins, _GROUP, "__bin", targets(F.col("__total")), F.lit(0.0))
     bin_keys, cell_keys = [*_GROUP, "__bin"], [*_GROUP, "__bin", "__cell"]
-    near = rows.groupBy(*cell_keys, _VALUE).agg(weight).join(in_bins, bin_keys)
+    near = rows.join(in_bins, bin_keys).groupBy(*cell_keys, _VALUE).agg(
+        weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits")
+    )
     cells = near.groupBy(*cell_keys).agg(weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits"))
     in_cells = _locate(cells, bin_keys, "__cell", F.col("__hits"), F.col("__from"))
     last = near.drop("__from", "__hits").join(in_cells, cell_keys)
@@ -84,11 +97,39 @@ def _order_statistics(rows: DataFrame, targets: _Targets) -> DataFrame:
     )
 
 
+def _sorted_statistics(rows: DataFrame, targets: _Targets, wanted: int) -> DataFrame:
+    """The same for groups that a task can sort: one shuffle, by key. ``wanted`` is the number of targets."""
+    group = Window.partitionBy(*_GROUP)
+    upto = group.orderBy(_VALUE).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.repartition(_KEY).select(
+        *_GROUP, _VALUE, F.sum(_WEIGHT).over(upto).alias("__upto"), F.sum(_WEIGHT).over(group).alias("__total")
+    )
+    marked = targets(F.col("__total"))
+    least = [
+        F.min(F.when(F.col("__upto") >= F.least(marked[i]["at"], F.col("__total")), F.col(_VALUE))).alias(f"__{i}") for i in range(wanted)
+    ]
+    found = running.groupBy(*_GROUP).agg(*least, F.max("__total").alias("__total"))
+    hits = F.array(*[
+        F.struct(F.col(f"__{i}").alias("value"), marked[i]["id"].alias("id"), marked[i]["share"].alias("share")) for i in range(wanted)
+    ])
+    return found.select(*_GROUP, F.inline(hits))
+
+
+def _order_statistics(rows: DataFrame, sizes: DataFrame, targets: _Targets, wanted: int) -> DataFrame:
+    """Each group's order statistics; ``sizes`` has the number of rows ``__rows`` per key."""
+    # One key per SORTED_ROWS rows at most.
+    large = F.broadcast(sizes.where(F.col("__rows") > SORTED_ROWS).select(_KEY))
+    spread = with_cells(rows.join(large, _KEY, "left_semi"))
+    return _sorted_statistics(rows.join(large, _KEY, "left_anti"), targets, wanted).unionByName(
+        order_statistics_of_bins(bin_weights(spread), spread, targets)
+    )
+
+
 def _target(index: int, at: Column, share: Column) -> Column:
     return F.struct(F.lit(index).alias("id"), at.cast("double").alias("at"), share.cast("double").alias("share"))
 
 
-def _keyed(df: DataFrame, keys: list[str], values: list[str], weight: Column) -> DataFrame:
+def keyed_values(df: DataFrame, keys: list[str], values: list[str], weight: Column) -> DataFrame:
     """One row per value column; only rows with a value and a positive weight."""
     # A struct key compares null-safely in joins, so null keys form groups too.
     key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
@@ -99,8 +140,8 @@ def _keyed(df: DataFrame, keys: list[str], values: list[str], weight: Column) ->
     )
 
 
-def _quantiles(df: DataFrame, keys: list[str], specs: dict[str, dict[str, float]]) -> DataFrame:
-    probabilities = sorted({p for named in specs.values() for p in named.values()})
+def quantile_targets(probabilities: list[float]) -> _Targets:
+    """Positions on both sides of each probability, with the share of the value there."""
 
     def targets(total: Column) -> Column:
         wanted = []
@@ -112,7 +153,16 @@ def _quantiles(df: DataFrame, keys: list[str], specs: dict[str, dict[str, float]
             wanted.append(_target(2 * i + 1, upper + 1, F.when(exact, 0.0).otherwise(position - lower)))
         return F.array(*wanted)
 
-    hits = _order_statistics(_keyed(df, keys, list(specs), F.lit(1.0)), targets)
+    return targets
+
+
+def probabilities_of(specs: dict[str, dict[str, float]]) -> list[float]:
+    return sorted({p for named in specs.values() for p in named.values()})
+
+
+def quantiles_of_hits(hits: DataFrame, specs: dict[str, dict[str, float]]) -> DataFrame:
+    """A row per key from the order statistics at ``quantile_targets``."""
+    probabilities = probabilities_of(specs)
 
     def weighted(column: int, index: int) -> Column:
         chosen = (F.col(_COLUMN) == column) & (F.col("id") == index)
@@ -140,9 +190,12 @@ def quantile_table(
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
     groups = df.groupBy(key.alias(_KEY)).agg(
-        *[column.alias(name) for name, column in (totals or {"__rows": F.count("*")}).items()]
+        *[column.alias(name) for name, column in (totals or {}).items()], F.count("*").alias("__rows")
     )
-    found = groups.join(_quantiles(df, keys, specs), _KEY, "left")
+    probabilities = probabilities_of(specs)
+    rows = keyed_values(df, keys, list(specs), F.lit(1.0))
+    hits = _order_statistics(rows, groups, quantile_targets(probabilities), 2 * len(probabilities))
+    found = groups.join(quantiles_of_hits(hits, specs), _KEY, "left")
 
     def shown(name: str) -> Column:
         column = F.col(name)
@@ -167,9 +220,10 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column |
 def weighted_medians(df: DataFrame, keys: list[str], names: dict[str, str], weight: Column | str) -> DataFrame:
     """``weighted_median`` of several columns in one pass; a group with any of them has a row."""
     weight = F.col(weight) if isinstance(weight, str) else weight
-    hits = _order_statistics(
-        _keyed(df, keys, list(names), weight), lambda total: F.array(_target(0, total / 2, F.lit(0.0)))
-    )
+    rows = keyed_values(df, keys, list(names), weight)
+    key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
+    sizes = df.groupBy(key.alias(_KEY)).agg(F.count("*").alias("__rows"))
+    hits = _order_statistics(rows, sizes, lambda total: F.array(_target(0, total / 2, F.lit(0.0))), 1)
     found = hits.groupBy(_KEY).agg(
         *[F.max(F.when(F.col(_COLUMN) == i, F.col("value"))).alias(name) for i, name in enumerate(names.values())]
     )

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadastrum.operators import quantiles
 from cadastrum.operators.quantiles import (
     quantile_table, weighted_mean_of, weighted_median, weighted_medians, with_table_weight,
 )
@@ -24,6 +25,14 @@ def brute_weighted_median(pairs):
             return value
 
 
+@pytest.fixture(params=[None, 0, 250], ids=["sorted", "binned", "both"], autouse=True)
+def sorted_rows(request, monkeypatch):
+    """All groups sorted, all binned, or the larger ones binned."""
+    if request.param is not None:
+        monkeypatch.setattr(quantiles, "SORTED_ROWS", request.param)
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(7)
@@ -107,14 +116,30 @@ def test_weight_choice_and_mean(spark):
     assert means == {2018: 1.0, 2019: 1.0, 2020: 9.0}
 
 
-def test_no_group_is_held_by_one_task(spark):
-    """No percentile buffer and no window over a group's rows, whatever the size."""
-    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.rand(1).alias("v"))
-    plan = quantile_table(df, ["k"], {"v": {"m": 0.5}})._jdf.queryExecution().executedPlan().toString()
-    assert "percentile" not in plan
-    windows = [line for line in plan.splitlines() if " Window " in line]
-    # Each window runs over bins, over cells of a bin, or over the values of a cell.
+def test_no_large_group_is_held_by_one_task(spark, monkeypatch):
+    """No percentile buffer; with a group beyond the bound, no window over its rows runs."""
+    df = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"), F.rand(1).alias("v"))
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", 500)
+    table = quantile_table(df, ["k"], {"v": {"m": 0.5}})
+    assert "percentile" not in table._jdf.queryExecution().executedPlan().toString()
+    large = table.where("k = 0")
+    windows = [line for line in large._jdf.queryExecution().executedPlan().toString().splitlines() if " Window " in line]
+    # Bins, cells of a bin, values of a cell; the sorted groups' running weight is over (key, column), without the large keys.
     assert windows and all(any(c in line for c in ("__bin", "__cell", "__total", "__upto")) for line in windows)
+    assert "LeftAnti" in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_groups_take_few_shuffles(spark, sorted_rows):
+    """The branch of the large groups goes once their keys are counted."""
+    if sorted_rows is not None:
+        pytest.skip("bound changed")
+    df = spark.range(1000).select((F.col("id") % 7).alias("k"), F.rand(1).alias("v"), F.rand(2).alias("w"))
+    table = quantile_table(df, ["k"], {"v": {"m": 0.5, "d": 0.1}, "w": {"n": 0.5}}, {"rows": F.count("*")})
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    shuffles = [line for line in final.splitlines() if " Exchange " in line and "hashpartitioning" in line]
+    assert "isFinalPlan=true" in plan and len(shuffles) <= 4, final
 
 
 def test_infinities_are_ends(spark):
