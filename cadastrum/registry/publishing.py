@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.column_labels import FILTER_KINDS, INCOME_LABELS, RESULT_LABELS, SALES_LABELS
-from cadastrum.plans import explorer, income, layers, publish
+from cadastrum.plans import explorer, income, incremental, layers, publish
 from cadastrum.plans import sales as sales_plan
 from cadastrum.plans.checks import catalogue_violations
 from cadastrum.registry import standins
@@ -25,11 +25,11 @@ from cadastrum.registry.income import (
     gold,
 )
 from cadastrum.registry.income import layers as income_layers
-from cadastrum.registry.sales import _NATIONAL_SQL, COMMUNE_SQL, silver
+from cadastrum.registry.sales import _DEPARTMENT_SQL, _NATIONAL_SQL, COMMUNE_SQL, silver
 from cadastrum.registry.standins import INCOME_SQL, SALES_SQL, SILVER_SQL, with_views
 from cadastrum.schemas import INDICATORS, SALES_COLUMNS
-from cadastrum.session import materialise, scratch_path
-from cadastrum.sources import readers, sinks
+from cadastrum.session import materialise, scratch_path, small_table
+from cadastrum.sources import readers, sinks, snapshots
 
 _COMMUNE_YEAR_SQL = f"""
 commune_year AS (
@@ -525,3 +525,40 @@ def build_all_years(spark, sf_dir):
         for name in _BUILT
     ]
     return reduce(DataFrame.union, counts)
+
+
+_CHANGED = 2019
+_LAYER_VIEWS = {
+    "sales_silver": "silver", "sales_national": "national", "sales_by_department": "by_department",
+    "sales_by_commune": "sales_communes", "income_gold": "gold", "income_departments": "departments", "commune_year": "commune_year",
+}
+
+
+@query(
+    "incremental_build",
+    with_views(
+        " UNION ALL ".join(
+            f"""SELECT '{name}' AS layer, CAST(year AS BIGINT) AS year, count(*) AS rows,
+                       CAST({1 if name.startswith("income") else f"CASE WHEN year = {_CHANGED} THEN 2 ELSE 1 END"} AS BIGINT) AS version
+                FROM {view} GROUP BY year"""
+            for name, view in _LAYER_VIEWS.items()
+        ),
+        SALES_SQL, SILVER_SQL, _NATIONAL_SQL, _DEPARTMENT_SQL, COMMUNE_SQL, INCOME_SQL, GOLD_SQL, DEPARTMENTS_SQL, _COMMUNE_YEAR_SQL,
+    ),
+)
+def incremental_build(spark, sf_dir):
+    """A build, more files in one year, a second build: rows and version of each layer's years."""
+    base = scratch_path(spark, "incremental")
+    inputs = {"sales_bronze": f"{base}/sales", "income_silver": f"{base}/income"}
+    rows = standins.sales(spark, sf_dir)
+    late = F.coalesce((F.col("year") == _CHANGED) & (F.col("type_local") == "Maison"), F.lit(False))
+    standins.income_silver(spark, sf_dir).write.partitionBy("year").parquet(inputs["income_silver"])
+    for part in (~late, late):
+        rows.where(part).write.mode("append").partitionBy("year").parquet(inputs["sales_bronze"])
+        incremental.build(spark, inputs, f"{base}/built")
+    found = [
+        (name, year, entry.rows, entry.version)
+        for name in _LAYER_VIEWS
+        for year, entry in snapshots.current(spark, f"{base}/built/{name}").years.items()
+    ]
+    return small_table(spark, found, "layer string, year bigint, rows bigint, version bigint")
