@@ -76,14 +76,18 @@ def bin_weights(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_GROUP, "__bin").agg(F.sum(_WEIGHT).alias(_WEIGHT))
 
 
-def order_statistics_of_bins(bins: DataFrame, rows: DataFrame, targets: _Targets) -> DataFrame:
-    """Per key and column, the smallest value whose running weight reaches each target, of rows of any number.
+def locate_bins(bins: DataFrame, targets: _Targets) -> DataFrame:
+    """The bins (``bin_weights``) that hold a group's targets."""
+    return _locate(bins, _GROUP, "__bin", targets(F.col("__total")), F.lit(0.0))
 
-    ``rows`` has a struct key, a column number, a non-null value with its cell and bin, and a positive weight; ``bins``
-    are its ``bin_weights``. The result has one row per (key, column, target id) with ``value``, ``share``.
+
+def order_statistics_in(in_bins: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per key and column, the smallest value whose running weight reaches each target, of groups of any size.
+
+    ``rows`` has a struct key, a column number, a non-null value with its cell and bin, and a positive weight; only
+    those in located bins are used. The result has one row per (key, column, target id) with ``value``, ``share``.
     """
     weight = F.sum(_WEIGHT).alias(_WEIGHT)
-    in_bins = _locate(bins, _GROUP, "__bin", targets(F.col("__total")), F.lit(0.0))
     bin_keys, cell_keys = [*_GROUP, "__bin"], [*_GROUP, "__bin", "__cell"]
     near = rows.join(in_bins, bin_keys).groupBy(*cell_keys, _VALUE).agg(
         weight, F.first("__from").alias("__from"), F.first("__hits").alias("__hits")
@@ -121,7 +125,7 @@ def _order_statistics(rows: DataFrame, sizes: DataFrame, targets: _Targets, want
     large = F.broadcast(sizes.where(F.col("__rows") > SORTED_ROWS).select(_KEY))
     spread = with_cells(rows.join(large, _KEY, "left_semi"))
     return _sorted_statistics(rows.join(large, _KEY, "left_anti"), targets, wanted).unionByName(
-        order_statistics_of_bins(bin_weights(spread), spread, targets)
+        order_statistics_in(locate_bins(bin_weights(spread), targets), spread)
     )
 
 
@@ -217,16 +221,22 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column |
     return weighted_medians(df, keys, {value: name}, weight)
 
 
+def median_target(total: Column) -> Column:
+    return F.array(_target(0, total / 2, F.lit(0.0)))
+
+
+def medians_of_hits(hits: DataFrame, names: list[str]) -> DataFrame:
+    """A row per key from the order statistics at ``median_target``, a column per value column."""
+    return hits.groupBy(_KEY).agg(*[F.max(F.when(F.col(_COLUMN) == i, F.col("value"))).alias(name) for i, name in enumerate(names)])
+
+
 def weighted_medians(df: DataFrame, keys: list[str], names: dict[str, str], weight: Column | str) -> DataFrame:
     """``weighted_median`` of several columns in one pass; a group with any of them has a row."""
     weight = F.col(weight) if isinstance(weight, str) else weight
     rows = keyed_values(df, keys, list(names), weight)
     key = F.struct(*keys) if keys else F.struct(F.lit(1).alias("__all"))
     sizes = df.groupBy(key.alias(_KEY)).agg(F.count("*").alias("__rows"))
-    hits = _order_statistics(rows, sizes, lambda total: F.array(_target(0, total / 2, F.lit(0.0))), 1)
-    found = hits.groupBy(_KEY).agg(
-        *[F.max(F.when(F.col(_COLUMN) == i, F.col("value"))).alias(name) for i, name in enumerate(names.values())]
-    )
+    found = medians_of_hits(_order_statistics(rows, sizes, median_target, 1), list(names.values()))
     return found.select(*[F.col(f"{_KEY}.{k}").alias(k) for k in keys], *names.values())
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.functions import round_even
+from cadastrum.operators.ranks import Zones, with_position
 from cadastrum.operators.shape import unpivot_series
 from cadastrum.plans import explorer as plan
 from cadastrum.plans import income
@@ -15,6 +15,7 @@ from cadastrum.registry.base import query, table
 from cadastrum.registry.income import AVAILABILITY_SQL, GOLD_SQL, GOLD_VIEWS, all_gold, gold
 from cadastrum.registry.standins import INCOME_SQL, with_views
 from cadastrum.schemas import INDICATORS
+from cadastrum.session import scratch_path
 
 _FIXED = ", ".join(plan.FIXED_COLUMNS)
 _LABELS = ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(cat.INDICATOR_LABELS.items(), start=1))
@@ -175,25 +176,41 @@ def unpivot_series_query(spark, sf_dir):
 
 @query(
     "typed_sort",
-    """WITH w AS (
-         SELECT lang, regexp_extract(text, '^[A-Za-zÀ-ÖØ-öø-ÿ]+') AS word, n_chars FROM documents),
-       t AS (SELECT lang, word, count(*) AS rows FROM w GROUP BY ALL),
-       n AS (SELECT lang, CAST(n_chars AS VARCHAR) AS word, count(*) AS rows FROM w GROUP BY ALL)
-       SELECT 'text' AS kind, lang, word, rows,
-              row_number() OVER (PARTITION BY lang ORDER BY replace(lower(strip_accents(word)), 'ß', 'ss'), word) AS position
+    """WITH t AS (SELECT lang, text AS word, count(*) AS rows FROM documents GROUP BY ALL),
+       n AS (SELECT lang, CAST(n_chars AS VARCHAR) AS word, count(*) AS rows FROM documents GROUP BY ALL)
+       SELECT 'text' AS kind, lang, sha256(word) AS cell, rows,
+              row_number() OVER (PARTITION BY lang ORDER BY lower(strip_accents(word)) COLLATE fr, word) AS position
        FROM t
-       UNION ALL SELECT 'number', lang, word, rows, row_number() OVER (PARTITION BY lang ORDER BY CAST(word AS DOUBLE) DESC) FROM n""",
+       UNION ALL SELECT 'number', lang, sha256(word), rows, row_number() OVER (PARTITION BY lang ORDER BY CAST(word AS DOUBLE) DESC) FROM n""",
 )
 def typed_sort(spark, sf_dir):
-    """Places of the distinct first words by French text order, and of the distinct lengths by number, per language."""
-    words = table(spark, sf_dir, "documents").select(
-        "lang", F.regexp_extract("text", "^[A-Za-zÀ-ÖØ-öø-ÿ]+", 0).alias("word"), F.col("n_chars").cast("string").alias("length")
-    )
+    """Places of the distinct whole texts by French text order, and of the distinct lengths by number, per language."""
+    cells = table(spark, sf_dir, "documents").select("lang", "text", F.col("n_chars").cast("string").alias("length"))
 
     def placed(kind: str, column: str, *order):
-        counted = words.groupBy("lang", F.col(column).alias("word")).agg(F.count("*").alias("rows"))
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
-        return counted.select(F.lit(kind).alias("kind"), "lang", "word", "rows", place.alias("position"))
+        counted = cells.groupBy("lang", F.col(column).alias("word")).agg(F.count("*").alias("rows"))
+        ranked = with_position(counted, list(order), ["lang"])
+        return ranked.select(F.lit(kind).alias("kind"), "lang", F.sha2("word", 256).alias("cell"), "rows", "position")
 
-    by_text = placed("text", "word", plan.typed_order("word", "text"), F.col("word"))
+    by_text = placed("text", "text", plan.typed_order("word", "text"), F.col("word"))
     return by_text.union(placed("number", "length", plan.typed_order("word", "number", descending=True)))
+
+
+@query(
+    "numbered_page",
+    """WITH p AS (SELECT o_orderkey, o_totalprice, o_custkey,
+                         row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END DESC NULLS LAST, o_orderkey) - 1
+                           AS position
+                  FROM orders),
+            h AS (SELECT count(*) AS n FROM orders)
+       SELECT o_orderkey, o_totalprice, o_custkey, position FROM p, h
+       WHERE position BETWEEN n // 2 AND n // 2 + 49 OR position >= n - 20""",
+)
+def numbered_page(spark, sf_dir):
+    """A page from the middle of all orders and the last page, by number; nulls stand last, keys break ties."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
+    price = F.when(F.col("o_orderstatus") == "P", None).otherwise(F.col("o_totalprice"))
+    zones = Zones(scratch_path(spark, "zones")).write(orders, [price.desc_nulls_last(), F.col("o_orderkey").asc()], partitions=32)
+    total = zones.total(spark)
+    pages = zones.page(spark, total // 2, 50).union(zones.page(spark, total - 20, 20))
+    return pages.select("o_orderkey", "o_totalprice", "o_custkey", "position").distinct()

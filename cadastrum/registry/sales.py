@@ -16,7 +16,7 @@ from cadastrum.registry.standins import BRONZE_SQL, SALES_SQL, SILVER_SQL, with_
 from cadastrum.schemas import SALES_COLUMNS
 from cadastrum.session import scratch_path
 from cadastrum.sources import readers, sinks
-from cadastrum.streaming.sales_stream import read_latest_totals, run_funnel_stream, run_silver_stream
+from cadastrum.streaming.sales_stream import price_store, read_latest_totals, run_funnel_stream, run_price_stream, run_silver_stream
 
 _R2 = "round_even({0} * 100, 0) / 100"
 _COLUMNS = ", ".join(SALES_COLUMNS)
@@ -269,6 +269,34 @@ by_type AS (
   FROM silver GROUP BY ALL)"""
 
 
+_PRICE_SPECS = {"price_m2": {"d1_price_m2": 0.1, "median_price_m2": 0.5, "d9_price_m2": 0.9}}
+_PRICES_SQL = with_views(
+    f"""SELECT code_departement, CAST(year AS BIGINT) AS year, {_median("price_m2", "0.1")} AS d1_price_m2,
+               {_median("price_m2")} AS median_price_m2, {_median("price_m2", "0.9")} AS d9_price_m2
+        FROM silver GROUP BY code_departement, year""",
+    SALES_SQL, SILVER_SQL,
+)
+
+
+@query("merged_quantiles", _PRICES_SQL)
+def merged_quantiles(spark, sf_dir):
+    """Prices by department and year from three stored batches: the early years, then a year in two parts."""
+    store = price_store(scratch_path(spark, "price-store"))
+    rows = silver(spark, sf_dir)
+    last = F.col("year") >= 2019
+    for batch, part in enumerate((~last, last & (F.col("type_local") == "Maison"), last & (F.col("type_local") != "Maison"))):
+        store.append(rows.where(part), batch)
+    return store.quantiles(spark, _PRICE_SPECS)
+
+
+@query("stream_quantiles", _PRICES_SQL)
+def stream_quantiles(spark, sf_dir):
+    """The same from a stream of files, a batch per few files."""
+    store = price_store(scratch_path(spark, "stream-prices"))
+    run_price_stream(spark, _bronze_files(spark, sf_dir), store, max_files=2)
+    return store.quantiles(spark, _PRICE_SPECS)
+
+
 @query("sales_by_property_type", with_views("SELECT * FROM by_type", SALES_SQL, SILVER_SQL, _TYPE_SQL))
 def sales_by_property_type(spark, sf_dir):
     return plan.by_property_type(silver(spark, sf_dir))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastrum.operators.histograms import HistogramStore
 from cadastrum.plans.sales import quality_funnel, to_silver
 from cadastrum.session import scratch_path
 
@@ -68,3 +69,27 @@ def read_latest_totals(spark: SparkSession, target: str) -> DataFrame:
     """Totals of the last batch whose writing was committed (a row per year and batch is read)."""
     batches = spark.read.parquet(target)
     return batches.where(F.col("batch") == batches.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def price_store(path: str) -> HistogramStore:
+    """Prices per square metre by department and year."""
+    return HistogramStore(path, ("code_departement", "year"), ("price_m2",), by="year")
+
+
+def run_price_stream(
+    spark: SparkSession, source: str, store: HistogramStore, checkpoint: str | None = None, max_files: int | None = None
+) -> HistogramStore:
+    """Adds the kept sales of all new files to the store, a batch at a time; a repeated batch replaces itself.
+
+    Medians of all files so far then cost the store's small tables and the values near the medians, not
+    the files.
+    """
+    query = (
+        to_silver(sales_stream(spark, source, max_files))
+        .writeStream.foreachBatch(lambda rows, batch: store.append(rows, batch))
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "price-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return store
