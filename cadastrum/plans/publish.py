@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +14,12 @@ from cadastrum import catalogue as cat
 from cadastrum.column_labels import FILTER_KINDS
 from cadastrum.functions import department_of, preview_label, ratio
 from cadastrum.schemas import INDICATORS
-from cadastrum.session import small_table
+from cadastrum.session import materialise, small_table
 from cadastrum.sources.sinks import as_document
 
 PREVIEW_ROWS = 500
 DEFAULT_FOCUS = "75"
-# The income columns that are published, in their order.
-PUBLISHED_INCOME = (
-    "median_income", "d1_income", "d2_income", "d3_income", "d4_income", "d5_income", "d6_income",
-    "d7_income", "d8_income", "d9_income", "poverty_rate", "tax_households", "population",
-)
+PUBLISHED_INCOME = INDICATORS
 
 
 def commune_year(sales: DataFrame, income: DataFrame) -> DataFrame:
@@ -206,25 +207,66 @@ def preview_document(df: DataFrame, dataset_id: str, location: str, order: list[
     return as_document(row)
 
 
-def dataset_catalogue(tables: dict[str, tuple[str, DataFrame | None]]) -> DataFrame:
-    """One row per dataset: label, rows, columns, years; unreadable ones keep nulls."""
-    spark = SparkSession.active()
-    rows = None
-    for name, (label, df) in tables.items():
-        if df is None:
-            row = spark.range(1).select(
-                F.lit(name).alias("id"), F.lit(label).alias("label"), F.lit(None).cast("long").alias("rows"),
-                F.lit(None).cast("int").alias("columns"), F.lit(None).cast("long").alias("first_year"),
-                F.lit(None).cast("long").alias("last_year"),
-            )
-        else:
-            row = df.agg(F.count("*").alias("rows"), F.min("year").alias("lo"), F.max("year").alias("hi")).select(
-                F.lit(name).alias("id"), F.lit(label).alias("label"), "rows",
-                F.lit(len(df.columns)).alias("columns"), F.col("lo").cast("long").alias("first_year"),
-                F.col("hi").cast("long").alias("last_year"),
-            )
-        rows = row if rows is None else rows.union(row)
-    return rows
+def _rows_by_footer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for content in batch.column("content"):
+            try:
+                found.append(pq.read_metadata(pa.BufferReader(content.as_buffer())).num_rows)
+            except (pa.ArrowException, OSError):
+                found.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("file"), pa.array(found, type=pa.int64())], names=["file", "own"])
+
+
+def file_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, rows) of every file of a Parquet folder; ``rows`` is null for a file that cannot be read.
+
+    Files are listed without being opened and counted by their footers; no column is read. Only
+    files that gave no count, empty or broken ones, are opened whole to tell which.
+    """
+
+    def named(column: str) -> Column:
+        return F.regexp_replace(column, "^file:/+", "file:///")
+
+    files = spark.read.format("binaryFile").load(path)
+    listed = files.select(named("path").alias("file"), F.col("length").alias("bytes"))
+    try:
+        table = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+        counted = table.groupBy(named("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":  # not one footer could be read
+            raise
+        return listed.withColumn("rows", F.lit(None).cast("long"))
+    facts = materialise(listed.join(counted, "file", "left"), "file-facts")
+    doubtful = files.select(named("path").alias("file"), "content").join(facts.where("rows IS NULL").select("file"), "file", "left_semi")
+    opened = doubtful.mapInArrow(_rows_by_footer, "file string, own long")
+    return facts.join(opened, "file", "left").select("file", "bytes", F.coalesce("rows", "own").alias("rows"))
+
+
+def dataset_catalogue(spark: SparkSession, datasets: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per dataset (label and Parquet folder): rows, columns, years, files that cannot be read.
+
+    A dataset stays in the catalogue whatever happened to its files: without a folder or a readable file its facts are
+    null. Rows come from footers, years from folder names where the year is a folder.
+    """
+    rows = []
+    for name, (label, path) in datasets.items():
+        facts: tuple = (None, None, None, None)
+        broken = None
+        try:
+            files = file_facts(spark, path)
+            total, broken = files.agg(F.sum("rows"), F.count_if(F.col("rows").isNull())).first()
+            if total is not None:
+                table = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+                low, high = table.agg(F.min("year"), F.max("year")).first() if "year" in table.columns else (None, None)
+                facts = (total, len(table.columns), low, high)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        rows.append((name, label, *facts, broken))
+    return small_table(
+        spark, rows, "id string, label string, rows bigint, columns int, first_year bigint, last_year bigint, unreadable_files bigint"
+    )
 
 
 # Fixed texts of the schema report.

@@ -184,19 +184,29 @@ def result_column_catalogue(spark, sf_dir):
     "dataset_catalogue",
     with_views(
         """SELECT 'sales' AS id, 'Transactions immobilières' AS label, count(*) AS rows, 13 AS columns,
-                  min(year) AS first_year, max(year) AS last_year FROM silver
-           UNION ALL SELECT 'income', 'Revenus et pauvreté', count(*), 18, min(year), max(year) FROM income_silver
-           UNION ALL SELECT 'absent', 'Non disponible', NULL, NULL, NULL, NULL""",
+                  min(year) AS first_year, max(year) AS last_year, CAST(0 AS BIGINT) AS unreadable_files FROM silver
+           UNION ALL SELECT 'income', 'Revenus et pauvreté', count(*), 18, min(year), max(year), 2 FROM income_silver
+           UNION ALL SELECT 'broken', 'Illisible', NULL, NULL, NULL, NULL, 1
+           UNION ALL SELECT 'absent', 'Non disponible', NULL, NULL, NULL, NULL, NULL""",
         SALES_SQL, SILVER_SQL, INCOME_SQL,
     ),
 )
 def dataset_catalogue(spark, sf_dir):
+    """Stored tables: a whole one, one with two files cut short among its own, one with such files alone, one without a folder."""
+    base = scratch_path(spark, "catalogue")
+    silver(spark, sf_dir).write.partitionBy("year").parquet(f"{base}/sales")
+    standins.income_silver(spark, sf_dir).write.partitionBy("year").parquet(f"{base}/income")
+    no_footer = spark.range(1).select(F.lit("PAR1 cut short").alias("value"))
+    for target in ("income/year=2018", "income/year=2019", "broken/year=2018"):
+        no_footer.coalesce(1).write.mode("append").text(f"{base}/{target}")
     return publish.dataset_catalogue(
+        spark,
         {
-            "sales": ("Transactions immobilières", silver(spark, sf_dir)),
-            "income": ("Revenus et pauvreté", standins.income_silver(spark, sf_dir)),
-            "absent": ("Non disponible", None),
-        }
+            "sales": ("Transactions immobilières", f"{base}/sales"),
+            "income": ("Revenus et pauvreté", f"{base}/income"),
+            "broken": ("Illisible", f"{base}/broken"),
+            "absent": ("Non disponible", f"{base}/absent"),
+        },
     )
 
 

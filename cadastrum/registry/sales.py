@@ -57,6 +57,22 @@ def gzip_scan(spark, sf_dir):
     return plan.to_bronze(raw, F.col("year"))
 
 
+@query("sniffed_scan", _BRONZE_CHECK)
+def sniffed_scan(spark, sf_dir):
+    """All sales in one folder: plain and gzip files, some of either named like the other."""
+    path = scratch_path(spark, "raw-sniffed")
+    rows = standins.raw_sales(spark, sf_dir).withColumn("set", F.pmod(F.xxhash64("Commune", "Valeur foncière"), F.lit(4)))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for number, (compression, name) in enumerate((("none", "csv"), ("gzip", "csv.gz"), ("none", "csv.gz"), ("gzip", "csv"))):
+        part = rows.where(F.col("set") == number).drop("set")
+        part.write.options(header=True, sep=";", compression=compression).csv(f"{path}-written/{number}")
+        files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop(path))
+        for at, status in enumerate(files.globStatus(hadoop(f"{path}-written/{number}/part-*"))):
+            files.rename(status.getPath(), hadoop(f"{path}/{number}-{at}.{name}"))
+    return plan.to_bronze(readers.read_sniffed(spark, path), F.col("year"))
+
+
 _QUOTED_NAME = """nom_commune || ' ' || chr(10) || '"' || nature_mutation || '"|' || type_local AS nom_commune"""
 
 

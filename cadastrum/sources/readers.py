@@ -1,15 +1,18 @@
-"""Scans: delimited text, gzip, yearly Parquet folders and JSON documents."""
+"""Scans: delimited text, gzip by name or content, yearly Parquet folders and JSON documents."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cadastrum.session import small_table
-from cadastrum.sources.records import json_documents, read_quoted
+from cadastrum.session import materialise, small_table
+from cadastrum.sources.records import json_documents, lines_of, parse_records, read_quoted
 
 # Candidate delimiters in order of preference among equals.
 DELIMITERS = (",", "\t", ";", "|")
@@ -97,8 +100,10 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
     Headers are looked up only if no file has a consistent one.
     """
-    lines = text_lines(spark, path)
+    return _chosen_delimiter(text_lines(spark, path))
 
+
+def _chosen_delimiter(lines: DataFrame) -> str:
     def most_common(files: DataFrame, name: str) -> str | None:
         row = files.where(F.col(name).isNotNull()).groupBy(name).count().orderBy(F.desc("count"), name).first()
         return row[name] if row else None
@@ -147,6 +152,85 @@ def read_gzip(spark: SparkSession, path: str, partitions: int | None = None, **o
     return rows.repartition(partitions) if partitions else rows.hint("rebalance")
 
 
+GZIP_MAGIC = b"\x1f\x8b"
+_GZIP_NAME = r"\.gz$"
+_CHUNK = 1 << 20
+
+
+def misnamed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, gzip) of the files whose first bytes say other than their names. Executors read them; files beyond 2 GB go by name."""
+    files = spark.read.format("binaryFile").load(path).where("length < 2147483647")
+    gzip = F.substring("content", 1, 2) == F.lit(GZIP_MAGIC)
+    return files.select("path", gzip.alias("gzip")).where(F.col("gzip") != F.rlike("path", F.lit(_GZIP_NAME)))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of whole files, a chunk at a time; gzip members are decoded one after the other."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data, rest, row = content.as_buffer(), b"", 0
+            for chunk in _chunks(memoryview(data)):
+                *lines, rest = (rest + chunk).split(b"\n")
+                if lines:
+                    yield _line_batch(path, row, lines)
+                    row += len(lines)
+            if rest:
+                yield _line_batch(path, row, [rest])
+
+
+def _line_batch(path: str, row: int, lines: list[bytes]) -> pa.RecordBatch:
+    texts = [line.decode("utf-8", "replace") for line in lines]
+    rows = pa.array(range(row, row + len(lines)), type=pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(lines)), rows, pa.array(texts)], names=["file", "row", "value"])
+
+
+def _chunks(data: memoryview) -> Iterator[bytes]:
+    if bytes(data[:2]) != GZIP_MAGIC:
+        for at in range(0, len(data), _CHUNK):
+            yield bytes(data[at : at + _CHUNK])
+        return
+    while len(data):
+        member = zlib.decompressobj(wbits=31)
+        for at in range(0, len(data), _CHUNK):
+            yield member.decompress(bytes(data[at : at + _CHUNK]))
+            if member.eof:
+                data = data[min(len(data), at + _CHUNK) - len(member.unused_data) :]
+                break
+        else:
+            return
+
+
+def read_sniffed(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Delimited text, plain or gzip by content, whatever the files are named, with quoted line breaks.
+
+    Files whose name tells the truth take Spark's own scan; plain ones stay splittable. The others are
+    opened by the executors, decoded in chunks and never held as text whole. One header per file, as in ``read_quoted``.
+    """
+    wrong = materialise(misnamed_files(spark, path), "misnamed").select(F.col("path").alias("file"))
+
+    def by(column: str) -> Column:
+        return F.regexp_replace(column, "^file:/+", "file:///")
+
+    wrong = wrong.select(by("file").alias("file"))
+    well_named = [r.path for r in _plain_names(spark, path, wrong).collect()]
+    opened = spark.read.format("binaryFile").load(path).join(wrong, by("path") == F.col("file"), "left_semi")
+    decoded = opened.select("path", "content").mapInArrow(_decoded, "file string, row long, value string").select(
+        "file", F.lit(0).cast("long").alias("range"), "row", F.ltrim("value", F.lit("\ufeff")).alias("value")
+    )
+    lines = lines_of(spark, well_named).unionByName(decoded) if well_named else decoded
+    lines = materialise(lines, "sniffed-lines")
+    if sep is None:
+        named = lines.withColumn("place", F.struct("range", "row"))
+        sep = _chosen_delimiter(named)
+    return parse_records(lines, sep)
+
+
+def _plain_names(spark: SparkSession, path: str, wrong: DataFrame) -> DataFrame:
+    """Names of the files that Spark's scan reads right: a row per file of one data set, as Spark's own listing keeps."""
+    named = F.regexp_replace("path", "^file:/+", "file:///")
+    return spark.read.format("binaryFile").load(path).select("path").join(wrong, named == F.col("file"), "left_anti")
+
+
 def read_years(
     spark: SparkSession,
     base: str,

@@ -70,7 +70,7 @@ def json_grammar(line: str = "value") -> Grammar:
     return Grammar(count("{[") - count("}]"), F.startswith(F.col(line), F.lit("{")), breaks=True)
 
 
-def lines_of(spark: SparkSession, path: str) -> DataFrame:
+def lines_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, range, row, value): ``range`` is the byte range's start, ``row`` ascends inside it."""
     return spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
@@ -155,10 +155,14 @@ def read_quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
     Files are read in byte ranges. Each file has a header; the names are those of the first file. Blank lines
     between records are skipped.
     """
+    return parse_records(lines_of(spark, path), sep)
+
+
+def parse_records(lines: DataFrame, sep: str) -> DataFrame:
+    """``read_quoted`` of lines (file, range, row, value)."""
+    spark = lines.sparkSession
     # Stored, because the header is looked up before all records are parsed.
-    records = materialise(
-        records_of(lines_of(spark, path), delimited_grammar(sep)).where("trim(text) != ''").drop("complete"), "records"
-    )
+    records = materialise(records_of(lines, delimited_grammar(sep)).where("trim(text) != ''").drop("complete"), "records")
     heads = records.groupBy("file").agg(F.min_by("text", F.struct("range", "row")).alias("head"))
     first = heads.orderBy("file").select("head").first()
     if first is None:

@@ -1,6 +1,7 @@
 """Records over several lines: equal to plain readers wherever the files are cut."""
 
 import csv
+import gzip
 import io
 import json
 import random
@@ -162,3 +163,20 @@ def test_quoted_delimiters_are_no_delimiters(spark, tmp_path):
     assert readers.detect_delimiter(spark, str(tmp_path)) == "|"
     (tmp_path / "a.txt").write_text('"x;y";"z\n' + "\n".join(['1;"2,3";"4""5, 6"'] * 20))
     assert readers.detect_delimiter(spark, str(tmp_path)) == ";"
+
+
+def test_gzip_by_content(spark, tmp_path):
+    """Names may lie; several members and a member's end on a chunk's end are fine."""
+    body = "\n".join(f'{i};"a\n{i}"' for i in range(3000))
+    parts = {
+        "plain.csv": ("n;v\n" + body).encode(), "named.gz": gzip.compress(("n;v\n" + body).encode()),
+        "plain-named.gz": ("﻿n;v\r\n" + body + "\n").encode(), "hidden.txt": gzip.compress(b"n;v\n1;x\n2") + gzip.compress(b";y\n") + gzip.compress(b""),
+        "empty.csv": b"", "empty.gz": gzip.compress(b""),
+    }
+    for name, content in parts.items():
+        (tmp_path / name).write_bytes(content)
+    assert {(r.path.rsplit("/")[-1], r.gzip) for r in readers.misnamed_files(spark, str(tmp_path)).collect()} == {("plain-named.gz", False), ("hidden.txt", True)}
+    found = readers.read_sniffed(spark, str(tmp_path))
+    assert found.columns == ["n", "v"]
+    expected = [(str(i), f"a\n{i}") for i in range(3000)] * 3 + [("1", "x"), ("2", "y")]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
