@@ -57,11 +57,12 @@ class Zones:
         rows = rows.withColumn("place", F.col("__place").bitwiseAND((1 << _RANGE_BITS) - 1)).drop("__place")
         rows.limit(0).write.parquet(f"{self.path}/shape")  # the columns, also of a table without rows
         rows.write.partitionBy("zone").parquet(f"{self.path}/rows")
-        counts = self._rows(df.sparkSession).groupBy("zone").agg(F.count("*").alias("rows"))
+        counts = self.rows(df.sparkSession).groupBy("zone").agg(F.count("*").alias("rows"))
         counts.coalesce(1).write.parquet(f"{self.path}/counts")
         return self
 
-    def _rows(self, spark: SparkSession) -> DataFrame:
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """All rows, with their zone and place in it."""
         return spark.read.schema(spark.read.parquet(f"{self.path}/shape").schema).parquet(f"{self.path}/rows")
 
     def zones_of(self, spark: SparkSession, offset: int, limit: int) -> dict[int, int]:
@@ -78,7 +79,7 @@ class Zones:
 
     def page(self, spark: SparkSession, offset: int, limit: int) -> DataFrame:
         """The rows from ``offset`` on, in order, with their ``position`` from 0."""
-        rows = self._rows(spark)
+        rows = self.rows(spark)
         inside, position = F.lit(False), F.lit(None).cast("long")
         for zone, before in sorted(self.zones_of(spark, offset, limit).items()):
             places = (F.col("place") >= max(0, offset - before)) & (F.col("place") < offset + limit - before)

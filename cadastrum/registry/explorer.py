@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastrum import catalogue as cat
 from cadastrum.functions import round_even
 from cadastrum.operators.ranks import Zones, with_position
+from cadastrum.operators.search_index import SearchIndex
 from cadastrum.operators.shape import unpivot_series
 from cadastrum.plans import explorer as plan
 from cadastrum.plans import income
@@ -214,3 +218,22 @@ def numbered_page(spark, sf_dir):
     total = zones.total(spark)
     pages = zones.page(spark, total // 2, 50).union(zones.page(spark, total - 20, 20))
     return pages.select("o_orderkey", "o_totalprice", "o_custkey", "position").distinct()
+
+
+_SEARCHES = ("000012", "0_0013", "supplier#0000001", "00%77", "none of them", "7")
+
+
+@query(
+    "indexed_search",
+    " UNION ALL ".join(
+        f"""SELECT '{text}' AS search, s_suppkey, s_name FROM supplier
+            WHERE lower(s_name) LIKE '%{text}%' OR lower(CAST(s_suppkey AS VARCHAR)) LIKE '%{text}%'"""
+        for text in _SEARCHES
+    ),
+)
+def indexed_search(spark, sf_dir):
+    """Searches over all suppliers by name or key: postings first, then the folders that can match."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("key"))
+    index = SearchIndex(scratch_path(spark, "search"), ("s_name", "key")).write(rows, [F.col("s_suppkey")], partitions=16)
+    found = [index.search(spark, text).select(F.lit(text).alias("search"), "s_suppkey", "s_name") for text in _SEARCHES]
+    return reduce(DataFrame.unionAll, found)
