@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cadastrum.session import scratch_path
 
 BLOCK_IDS = 1 << 16
-MAX_WORDS, KEPT_CHARS = 200_000, 64
+MAX_WORDS, KEPT_CHARS = 400_000, 64
 _ROWS_AT_ONCE = 256
 END_ID = 0
 _AT_ONCE = 1 << 16  # a multiple of eight: packed pieces end on whole bytes
@@ -89,7 +89,7 @@ _PLAIN = re.compile(r" ?[!-~]+").fullmatch
 
 
 class WordIds(dict):
-    """Ids of the tokenizer's pre-tokens, as bytes; those met in the last few hundred thousand are kept.
+    """Ids of the tokenizer's pre-tokens, as bytes; those met in the last half million or so are kept.
 
     The tokenizer merges inside pre-tokens only, so a text's ids are those of its pre-tokens in
     turn. Plain pre-tokens go straight to the library's model, others through the whole of it, as do
