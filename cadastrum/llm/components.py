@@ -1,8 +1,13 @@
 """Connected components by alternating large-star and small-star steps.
 
-Every step is a minimum per node (combined before the shuffle) and a join back;
-each round is written to the shared checkpoint folder, so the plan stays short
-and a lost executor costs one round at most. No edge list reaches the driver,
+Every step is a minimum per node (combined before the shuffle) and a join back to
+the node's links. The hub of a large component has a great share of all links, so
+the links of hubs are not dealt by node: the minima of the few nodes that have more than a
+fixed share of all link ends go to the links by broadcast, only those of other nodes by a
+shuffle. Repeated links go before each join.
+
+Each step is written to the shared checkpoint folder, so the plan stays short
+and a lost executor costs one step at most. No edge list reaches the driver,
 only its count and checksum.
 """
 
@@ -13,26 +18,41 @@ from pyspark.sql import functions as F
 
 from cadastrum.session import materialise
 
+HUBS = 4096
+
 
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(child, parent))"), F.sum(F.col("child") % 1000003)).first()
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("parent"), F.col("child"))).toDF("node", "other")
-    least = both.groupBy("node").agg(F.min("other").alias("least"))
-    return both.join(least, "node").where(F.col("other") > F.col("node")).select(
-        F.col("other").alias("child"), F.least("node", "least").alias("parent")
+def _with_least(rows: DataFrame, links: int) -> DataFrame:
+    """``rows`` (node, other) with ``least``, the node's least other one. ``rows`` has up to twice ``links`` rows.
+
+    Fewer than ``HUBS`` nodes can have more than their limit of all rows, whatever ``links`` is.
+    """
+    ends = rows.groupBy("node").agg(F.min("other").alias("least"), F.count(F.lit(1)).alias("degree"))
+    limit = 2 * links / HUBS
+    hubs = ends.where(F.col("degree") > limit).select("node", F.col("least").alias("hub_least"))
+    marked = rows.join(F.broadcast(hubs), "node", "left")
+    usual = marked.where("hub_least IS NULL").drop("hub_least").join(
+        ends.where(F.col("degree") <= limit).select("node", "least"), "node"
     )
+    return marked.where("hub_least IS NOT NULL").withColumnRenamed("hub_least", "least").unionByName(usual)
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
+    both = edges.union(edges.select("parent", "child")).toDF("node", "other")
+    return _with_least(both, links).where(F.col("other") > F.col("node")).select(
+        F.col("other").alias("child"), F.least("node", "least").alias("parent")
+    ).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """``edges`` run from the greater to the smaller node."""
-    least = edges.groupBy("child").agg(F.min("parent").alias("least"))
-    joined = edges.join(least, "child")
-    hung = joined.where(F.col("parent") > F.col("least")).select(F.col("parent").alias("child"), F.col("least").alias("parent"))
-    return hung.union(least.select(F.col("child"), F.col("least").alias("parent"))).distinct()
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
+    """``edges`` run from the greater to the smaller node; a node keeps its link to the least, the others move there."""
+    known = _with_least(edges.toDF("node", "other"), links)
+    child = F.when(F.col("other") > F.col("least"), F.col("other")).otherwise(F.col("node"))
+    return known.select(child.alias("child"), F.col("least").alias("parent")).distinct()
 
 
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -48,7 +68,8 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     )
     before = _signature(edges)
     for _ in range(rounds if before[0] else 0):
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        stars = materialise(_large_star(edges, before[0]), "stars")
+        edges = materialise(_small_star(stars, before[0]), "links")
         after = _signature(edges)
         if after == before:
             return edges.toDF("node", "root")
