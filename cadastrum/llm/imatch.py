@@ -4,9 +4,10 @@ The lexicon keeps the terms whose document frequency lies within a band; copies
 its distinct lexicon terms, sorted, and hashes those that fall into each of several
 random parts of the lexicon. Parts come at three rates (a 16th, a 128th and a 1024th
 of the lexicon, ``PARTS`` of each), so texts of any length have parts that hold
-only a few of their terms: those survive an edit of another place. One more component
-hashes all kept terms, as the plain method does. Two fingerprints are as alike as their
-parts at the rate that agrees best.
+only a few of their terms: those survive an edit of another place. Parts have 24 bits, since only
+shares of them count. One more component hashes all kept terms, as the plain method does; it is an
+identity by itself and has 64 bits. Two fingerprints are as alike as their parts at the rate that
+agrees best.
 
 The lower end of the band is a share of all texts. A corpus of N distinct texts with on
 average d distinct terms has N * d (document, term) pairs, so at most d / share terms
@@ -54,10 +55,10 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = LEAST_SHARE, mos
 
 
 def _components(prints: DataFrame) -> DataFrame:
-    """``prints`` (kept, text) with ``components``: the part hashes of the sorted lexicon terms, then the hash of all.
+    """``prints`` (kept, text) with ``components``: ``parts``, hashes of sorted lexicon terms, and ``whole``, that of all.
 
-    An empty part is null. Where no term is in the lexicon, the last one is the hash of the
-    text itself. Hashes have 24 bits. A bit field of the term's own hash says which parts it is in: the
+    An empty part is null. Where no term is in the lexicon, ``whole`` is the hash of the
+    text itself. A bit field of the term's own hash says which parts it is in: the
     parts of a rarer rate are thinned out from those of the rate before.
     """
 
@@ -79,8 +80,9 @@ def _components(prints: DataFrame) -> DataFrame:
         found = [F.when(F.size(name) > 0, short(F.xxhash64(name))) for name in names]
         hashes.append(f"_hashes_{used}")
         split = split.withColumn(hashes[-1], F.array(*found))
-    whole = short(F.when(F.size("kept") > 0, F.xxhash64("kept")).otherwise(F.col("text")))
-    return split.withColumn("components", F.concat(*hashes, F.array(whole))).drop(*names, *hashes)
+    whole = F.when(F.size("kept") > 0, F.xxhash64("kept")).otherwise(F.col("text"))
+    components = F.struct(F.concat(*hashes).alias("parts"), whole.alias("whole"))
+    return split.withColumn("components", components).drop(*names, *hashes)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -108,10 +110,10 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, words: DataFrame,
 
 
 def as_digits(components: Column) -> Column:
-    """A fingerprint as text: six hexadecimal digits for each component, dots for an empty one."""
-    return F.array_join(
-        F.transform(components, lambda part: F.coalesce(
-            F.lower(F.lpad(F.hex(part.cast("long")), 6, "0")), F.lit("......"))), "")
+    """A fingerprint as text: six hexadecimal digits for each part, dots for an empty one, then sixteen for the whole."""
+    parts = F.transform(components["parts"], lambda part: F.coalesce(
+        F.lower(F.lpad(F.hex(part.cast("long")), 6, "0")), F.lit("......")))
+    return F.concat(F.array_join(parts, ""), F.lower(F.lpad(F.hex(components["whole"]), 16, "0")))
 
 
 def likeness(one: Column, other: Column) -> Column:
@@ -120,14 +122,13 @@ def likeness(one: Column, other: Column) -> Column:
     The share is among parts not empty in both, and among half the parts at least, so that one
     common term in a sparse rate counts little.
     """
-    whole = PARTS * len(RATE_BITS) + 1
     shares = []
-    for first in range(1, whole, PARTS):
-        pairs = F.arrays_zip(F.slice(one, first, PARTS).alias("a"), F.slice(other, first, PARTS).alias("b"))
+    for first in range(1, PARTS * len(RATE_BITS) + 1, PARTS):
+        pairs = F.arrays_zip(F.slice(one["parts"], first, PARTS).alias("a"), F.slice(other["parts"], first, PARTS).alias("b"))
         equal = F.size(F.filter(pairs, lambda pair: pair["a"] == pair["b"]))
         filled = F.size(F.filter(pairs, lambda pair: pair["a"].isNotNull() | pair["b"].isNotNull()))
         shares.append(equal / F.greatest(filled, F.lit(PARTS // 2)))
-    return F.when(F.element_at(one, whole) == F.element_at(other, whole), 1.0).otherwise(F.greatest(*shares))
+    return F.when(one["whole"] == other["whole"], 1.0).otherwise(F.greatest(*shares))
 
 
 def next_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

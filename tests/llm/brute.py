@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -127,5 +128,62 @@ def edited(text, following):
     return text[: len(text) - n] + following[:n]
 
 
+def xxh(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def _signed(value):
+    return value - 2**64 if value >= 2**63 else value
+
+
+def _hash_of(terms):
+    """Spark's hash of an array of longs: each element seeds the next."""
+    seed = 42
+    for term in terms:
+        seed = xxh(struct.pack("<q", term), seed)
+    return seed
+
+
+def terms_of(text):
+    return set((text or "").lower().replace("\n", " ").split(" "))
+
+
+def lexicon(texts, least, most):
+    """Hashes of the terms of ``least`` to ``most`` of all distinct texts."""
+    distinct = {text or "" for text in texts}
+    found = {}
+    for text in distinct:
+        for word in terms_of(text) - {""}:
+            found[word] = found.get(word, 0) + 1
+    return {_signed(xxh(w.encode())) for w, n in found.items() if least * len(distinct) <= n <= most * len(distinct)}
+
+
+def imatch(text, words):
+    """(48 parts, whole) of the kept terms; an empty part is None."""
+    kept = sorted({_signed(xxh(word.encode())) for word in terms_of(text)} & words)
+    parts = []
+    for thinned in (0, 7, 63):  # bits above the first four that must be zero
+        for part in range(16):
+            mine = [term for term in kept if term & 15 == part and term >> 4 & thinned == 0]
+            parts.append(_hash_of(mine) & 0xFFFFFF if mine else None)
+    return parts, _hash_of(kept) if kept else xxh((text or "").encode())
+
+
+def digits(fingerprint):
+    parts, whole = fingerprint
+    return "".join("......" if part is None else f"{part:06x}" for part in parts) + f"{whole:016x}"
+
+
+def imatch_likeness(one, other):
+    if one[1] == other[1]:
+        return 1.0
+    best = 0.0
+    for first in (0, 16, 32):
+        pairs = list(zip(one[0][first : first + 16], other[0][first : first + 16], strict=True))
+        equal = sum(a is not None and a == b for a, b in pairs)
+        best = max(best, equal / max(8, sum(a is not None or b is not None for a, b in pairs)))
+    return best
+
+
 def crc(text):
     return zlib.crc32((text or "").encode())

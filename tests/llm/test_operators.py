@@ -288,7 +288,7 @@ def test_fingerprints(spark, docs, empty):
     table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(ordered)], "n long, text string").withColumn("about", F.lit("x"))
     got = imatch.fingerprints(table, ["n"], "text", words, carry=("about",))
     shown = got.select("n", imatch.as_digits(F.col("components")).alias("print"), "about").collect()
-    assert len(shown) == len(ordered) and all(r.about == "x" and len(r.print) == 6 * 49 for r in shown)
+    assert len(shown) == len(ordered) and all(r.about == "x" and len(r.print) == 6 * 48 + 16 for r in shown)
     by_text = {}
     for r in shown:
         text = ordered[r.n][1] or ""
@@ -307,6 +307,16 @@ def test_fingerprints(spark, docs, empty):
     assert imatch.fingerprints(empty, ["doc_id"], "text", words).count() == 0
 
 
+def test_whole_texts_do_not_collide(spark):
+    """30,000 texts without lexicon terms: an identity of 24 bits would join some 27 pairs of them."""
+    table = spark.range(30_000).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
+    nothing = spark.createDataFrame([], "term long")
+    prints = imatch.fingerprints(table, ["id"], "text", nothing)
+    assert prints.select(imatch.as_digits(F.col("components"))).distinct().count() == 30_000
+    paired = prints.toDF("id", "one").join(prints.select((F.col("id") + 1).alias("id"), F.col("components").alias("other")), "id")
+    assert paired.where(imatch.likeness(F.col("one"), F.col("other")) > 0).count() == 0
+
+
 def test_edits_stay_near_and_strangers_do_not(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
@@ -465,6 +475,34 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [1, 4, 4096])
+def test_components_with_hubs(spark, monkeypatch, hubs):
+    """Stars around the least, the greatest and a middle node, repeated links, random links between some of them."""
+    monkeypatch.setattr(components, "HUBS", hubs)
+    rng = random.Random(hubs)
+    links = [(0, i) for i in range(1, 120)] + [(i, 999) for i in range(200, 320)] + [(500, i) for i in range(450, 560)]
+    links += [(b, a) for a, b in links[::3]] + [(rng.randint(600, 800), rng.randint(600, 800)) for _ in range(120)] + [(320, 700), (None, 4)]
+    roots = {r.node: r.root for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    expected = {n: n for link in links for n in link if None not in link}
+    for _ in expected:
+        before = dict(expected)
+        for a, b in links:
+            if a is not None and b is not None:
+                expected[a] = expected[b] = min(expected[a], expected[b])
+        if before == expected:
+            break
+    assert roots == {n: root for n, root in expected.items() if n != root}
+
+
+def test_links_of_a_hub_are_not_dealt_by_node(spark):
+    """The hub's rows meet its minimum where they lie, so they stay spread over the tasks."""
+    ends = spark.range(1, 20_001, 1, 8).select(F.when(F.col("id") > 0, 0).cast("long").alias("node"), F.col("id").alias("other"))
+    hub = components._with_least(materialise(ends.repartition(8, "other"), "hub"), 20_000)
+    assert hub.count() == 20_000 and hub.where("least <> 1").count() == 0
+    tasks = hub.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert max(r["count"] for r in tasks) < 20_000 / 4
+
+
 def test_native_operators_hold_no_python_code():
     from pathlib import Path
 

@@ -9,7 +9,7 @@ import pytest
 from oracle import compare, connect
 
 import corpus_pipeline
-from cadastrum.llm import queries
+from cadastrum.llm import imatch, queries
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -93,14 +93,19 @@ def documents(spark):
     return [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").select("doc_id", "text", "source").collect()]
 
 
-def test_edited_texts_and_their_likeness(spark):
+def test_every_fingerprint_and_likeness_is_recomputed(spark):
     docs = documents(spark)
+    words = brute.lexicon([text for _, text, _ in docs], imatch.LEAST_SHARE, imatch.MOST_SHARE)
+    own = [brute.imatch(text, words) for _, text, _ in docs]
     got = queries.op7_imatch(spark, SF_DIR).orderBy("doc_id").collect()
     for i, ((doc, text, _), r) in enumerate(zip(docs, got, strict=True)):
-        following = docs[(i + 1) % len(docs)][1]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (doc, len(text), brute.sha(brute.edited(text, following)))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.near_edited == 1.0) or r.fingerprint != r.edited_fingerprint
+        after = (i + 1) % len(docs)
+        changed = brute.edited(text, docs[after][1])
+        print_ = brute.imatch(changed, words)
+        assert (r.doc_id, r.n_chars, r.edited_sha256) == (doc, len(text), brute.sha(changed))
+        assert (r.fingerprint, r.edited_fingerprint) == (brute.digits(own[i]), brute.digits(print_))
+        assert r.near_edited == pytest.approx(brute.imatch_likeness(own[i], print_))
+        assert r.near_next == pytest.approx(brute.imatch_likeness(own[i], own[after]))
     assert np.mean([r.near_edited for r in got]) > 0.25 > 0.05 > np.mean([r.near_next for r in got])
 
 
