@@ -15,19 +15,16 @@ from cadastrum.column_labels import FILTER_KINDS
 from cadastrum.functions import department_of, preview_label, ratio
 from cadastrum.schemas import INDICATORS
 from cadastrum.session import materialise, small_table
+from cadastrum.sources.buckets import write_buckets
 from cadastrum.sources.sinks import as_document
 
 PREVIEW_ROWS = 500
 DEFAULT_FOCUS = "75"
+COMMUNE_BUCKETS = 64
 PUBLISHED_INCOME = INDICATORS
 
 
-def commune_year(sales: DataFrame, income: DataFrame) -> DataFrame:
-    """Full outer join of both commune tables on (commune_code, year).
-
-    Null-safe, like the published join. Shared columns take the sales value
-    first. Both inputs hold one row per commune and year (name variants aside).
-    """
+def _commune_sides(sales: DataFrame, income: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = sales.select(
         F.col("commune_code").alias("s_code"),
         F.col("year").alias("s_year"),
@@ -44,11 +41,11 @@ def commune_year(sales: DataFrame, income: DataFrame) -> DataFrame:
         department_of("geography_code").alias("i_department"),
         *[F.col(name).alias(f"filosofi_{name}") for name in PUBLISHED_INCOME],
     )
-    matched = left.join(
-        right,
-        F.col("s_code").eqNullSafe(F.col("i_code")) & F.col("s_year").eqNullSafe(F.col("i_year")),
-        "full_outer",
-    )
+    return left, right
+
+
+def _commune_columns(matched: DataFrame) -> DataFrame:
+    """Columns of the joined sides; shared ones take the sales value first."""
     return matched.select(
         F.coalesce("s_code", "i_code").alias("commune_code"),
         F.coalesce("s_year", "i_year").alias("year"),
@@ -62,6 +59,44 @@ def commune_year(sales: DataFrame, income: DataFrame) -> DataFrame:
     )
 
 
+def commune_year(sales: DataFrame, income: DataFrame) -> DataFrame:
+    """Full outer join of both commune tables on (commune_code, year).
+
+    Null-safe, like the published join. Shared columns take the sales value
+    first. Both inputs hold one row per commune and year (name variants aside).
+    """
+    left, right = _commune_sides(sales, income)
+    same = F.col("s_code").eqNullSafe(F.col("i_code")) & F.col("s_year").eqNullSafe(F.col("i_year"))
+    return _commune_columns(left.join(right, same, "full_outer"))
+
+
+def store_commune_layers(
+    sales: DataFrame, income: DataFrame, base: str, prefix: str, buckets: int = COMMUNE_BUCKETS
+) -> tuple[DataFrame, DataFrame]:
+    """Both commune tables, bucketed by code and year under ``base``, as tables named ``prefix`` and their source."""
+    return (
+        write_buckets(sales, f"{prefix}_sales", f"{base}/sales", ["commune_code", "year"], buckets),
+        write_buckets(income, f"{prefix}_income", f"{base}/income", ["geography_code", "year"], buckets),
+    )
+
+
+def commune_year_of_buckets(sales: DataFrame, income: DataFrame) -> DataFrame:
+    """``commune_year`` of layers stored by ``store_commune_layers``, which are not shuffled again.
+
+    A null-safe comparison hides the key from the buckets, so rows with whole keys join by plain
+    equality; the others, one per year or code, join null-safe by themselves.
+    """
+    left, right = _commune_sides(sales, income)
+    whole_left = F.col("s_code").isNotNull() & F.col("s_year").isNotNull()
+    whole_right = F.col("i_code").isNotNull() & F.col("i_year").isNotNull()
+    whole = left.where(whole_left).join(
+        right.where(whole_right), (F.col("s_code") == F.col("i_code")) & (F.col("s_year") == F.col("i_year")), "full_outer"
+    )
+    same = F.col("s_code").eqNullSafe(F.col("i_code")) & F.col("s_year").eqNullSafe(F.col("i_year"))
+    others = left.where(~whole_left).join(right.where(~whole_right), same, "full_outer")
+    return _commune_columns(whole.unionByName(others))
+
+
 def focus_department(departments: DataFrame, by: list[str], default: str | None = DEFAULT_FOCUS) -> DataFrame:
     """The preferred department if present, else the one with most sales (lowest code on ties)."""
     preferred = F.col("department_code") == default if default else F.lit(False)

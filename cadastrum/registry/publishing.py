@@ -49,6 +49,17 @@ def commune_year(spark, sf_dir):
     return publish.commune_year(sales_plan.by_commune(silver(spark, sf_dir)), communes)
 
 
+@query("commune_year_of_buckets", with_views("SELECT * FROM commune_year", *_BOTH, _COMMUNE_YEAR_SQL))
+def commune_year_of_buckets(spark, sf_dir):
+    """The same rows from layers stored in buckets by code and year."""
+    path = scratch_path(spark, "buckets")
+    communes = gold(spark, sf_dir).where(F.col("geography_level") == "commune")
+    stored = publish.store_commune_layers(
+        sales_plan.by_commune(silver(spark, sf_dir)), communes, path, path.rsplit("/", 1)[1].replace("-", "_")
+    )
+    return publish.commune_year_of_buckets(*stored)
+
+
 @query(
     "align_series",
     with_views(

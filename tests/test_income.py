@@ -10,6 +10,7 @@ from cadastrum import catalogue as cat
 from cadastrum.plans import income, publish
 from cadastrum.plans.checks import catalogue_violations
 from cadastrum.schemas import INCOME_GOLD, INCOME_SILVER, INDICATORS, conform
+from cadastrum.sources.buckets import read_buckets
 from cadastrum.sources.readers import read_harmonised_years
 
 SILVER = "commune_code string, commune_name string, department_code string, geography_level string, year long, " + ", ".join(
@@ -213,6 +214,32 @@ def test_commune_year_join_keeps_both_sides(spark):
     assert got[None]["filosofi_median_income"] is None
 
 
+def test_stored_commune_layers_join_without_a_shuffle(spark, tmp_path):
+    """Null codes and years on either side, codes of one side only; a second session would find the files by their path."""
+    sales = spark.createDataFrame(
+        [(code, "A", "01", year, n, 2000.0 + n, 50.0) for n, (code, year) in enumerate(
+            [("01001", 2018), ("01001", 2019), ("02002", 2018), (None, 2018), (None, 2019), ("03003", None), (None, None)])],
+        "commune_code string, commune_name string, department_code string, year long, sales_count long, median_price_m2 double, median_surface double",
+    )
+    gold = income.harmonise(silver(
+        spark, commune("01001", 2018, median_income=20000.0), commune("97105", 2018, median_income=0.0), commune("02002", 2019)))
+    blank = gold.where("geography_code = '97105'").withColumn("geography_code", F.lit(None).cast("string"))
+    gold = gold.unionByName(blank).unionByName(blank.withColumn("year", F.lit(None).cast("long")))
+    expected = sorted(map(repr, publish.commune_year(sales, gold).collect()))
+
+    stored = publish.store_commune_layers(sales, gold, str(tmp_path), "layers_test", buckets=4)
+    joined = publish.commune_year_of_buckets(*stored)
+    assert sorted(map(repr, joined.collect())) == expected
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Bucketed: true") >= 2
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows without a whole key
+    again = read_buckets(
+        spark, "layers_again", f"{tmp_path}/sales", stored[0].schema, ["commune_code", "year"], 4)
+    assert sorted(map(repr, publish.commune_year_of_buckets(again, stored[1]).collect())) == expected
+    for name in ("layers_test_sales", "layers_test_income", "layers_again"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_partitions_without_canonical_columns_are_skipped(spark, tmp_path):
     gold = income.harmonise(silver(spark, commune("01001", 2018), commune("01001", 2019)))
     gold.where("year = 2018").drop("year").write.parquet(f"{tmp_path}/year=2018")
