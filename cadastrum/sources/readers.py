@@ -222,7 +222,7 @@ def read_sniffed(spark: SparkSession, path: str, sep: str | None = None) -> Data
     if sep is None:
         named = lines.withColumn("place", F.struct("range", "row"))
         sep = _chosen_delimiter(named)
-    return parse_records(lines, sep)
+    return parse_records(lines, sep, placed=False)
 
 
 def _plain_names(spark: SparkSession, path: str, wrong: DataFrame) -> DataFrame:

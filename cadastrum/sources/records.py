@@ -4,8 +4,8 @@ Each line acts on the state of the reader: it adds a step to it, or starts it an
 the state is whether a quoted field is open, for JSON the depth of open brackets. Such actions compose,
 so the action of a byte range comes from its lines and the state at its start from the ranges before it. A range that
 starts outside of records and has no line that steps needs nothing else: its lines are its
-records. In the others the lines are numbered by running states, and what lies over the end of a range is
-joined to the ranges that follow.
+records. In the others the task that reads the lines joins them by running states, and what lies over the end of a
+range is joined to the ranges that follow.
 
 Lines end with ``\\n``; a ``\\r`` before it stays inside a record and goes at its end. A byte-order mark at a
 line's start goes. A record that never ends reaches to the end of its file.
@@ -15,8 +15,12 @@ from __future__ import annotations
 
 import csv
 import io
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +48,13 @@ class Grammar:
 def delimited_grammar(sep: str, line: str = "value") -> Grammar:
     """State 1: inside a quoted field. A quote opens a field only at its start and is doubled inside."""
     mark = "\\" + sep if not sep.isalnum() else sep
-    field = '"[^"]*+(?:""[^"]*+)*+"'
-
-    def open_after(text: Column) -> Column:
-        unquoted = F.regexp_replace(text, f"(^|{mark}){field}", "$1")
-        return unquoted.rlike(f'(?:^|{mark})"')
-
+    inside = '[^"]*+(?:""[^"]*+)*+'
+    # Whole fields with their delimiters, then a quote that is not closed. Possessive, so a line is passed once.
+    opens = f'(?:(?:"{inside}"|(?!"))[^{mark}]*+{mark})*+"{inside}\\z'
     text = F.col(line)
     quoted = F.contains(text, F.lit('"'))
-    from_outside = quoted & open_after(text)
-    rest = F.regexp_extract(text, '^[^"]*+(?:""[^"]*+)*+"(?!")([\\s\\S]*)$', 1)
-    closes = quoted & text.rlike('^[^"]*+(?:""[^"]*+)*+"(?!")')
-    from_inside = ~closes | open_after(F.concat(F.lit("x"), rest))
+    from_outside = quoted & text.rlike(f"^{opens}")
+    from_inside = ~quoted | text.rlike(f'^{inside}(?:\\z|"[^{mark}]*+{mark}{opens})')
     # Unchanged, changed, or the same from either state.
     return Grammar(from_outside.cast("int"), from_outside == from_inside, 2)
 
@@ -90,51 +89,147 @@ def _running(rows: DataFrame, keys: list[str], order: str, start: Column, gramma
     return summed.withColumn("state", grammar.state(F.col("__sum") - F.coalesce(base, -start))).drop("__sum")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The batch cut where the byte range changes."""
+    file, start = batch.column("file"), batch.column("range")
+    begin = 0
+    for end in np.union1d(*[pc.run_end_encode(column).run_ends.to_numpy() for column in (file, start)]).tolist():
+        yield (file[begin].as_py(), start[begin].as_py()), batch.slice(begin, end - begin)
+        begin = end
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+_ACTIONS = "file string, range long, steps boolean, fresh boolean, step long"
+
+
+def _range_actions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per range: whether a line steps or is fresh, and the steps since the last fresh line."""
+    key, found = None, None
+    done: list[tuple] = []
+    for batch in batches:
+        for run_key, run in _runs(batch):
+            if run_key != key:
+                if key is not None:
+                    done.append((*key, *found))
+                key, found = run_key, (False, False, 0)
+            step, fresh = _numbers(run, "step"), np.flatnonzero(_numbers(run, "fresh"))
+            since = int(step[fresh[-1] :].sum()) if len(fresh) else found[2] + int(step.sum())
+            found = (found[0] or bool(step.any()), found[1] or len(fresh) > 0, since)
+    if key is not None:
+        done.append((*key, *found))
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+        columns = [pa.array(column, kind) for column, kind in zip(zip(*done, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "range", "steps", "fresh", "step"])
+
+
 def range_states(marked: DataFrame, grammar: Grammar) -> DataFrame:
     """(file, range, state, uneven): the state at each range's start, and whether its lines are not simply its records.
 
-    Windows hold the acting lines of a range, or a file's ranges; texts take no part.
+    A task passes its ranges' lines in order; the window holds a file's ranges. Texts take no part.
     """
-    simple = marked.groupBy(*_RANGE).agg(F.max(F.col("step") != 0).alias("steps"), F.max("fresh").alias("any_fresh"))
-    acting = marked.where((F.col("step") != 0) | F.col("fresh")).select(*_RANGE, "row", "step", "fresh")
-    placed = acting.join(simple.where("steps").select(*_RANGE), _RANGE, "left_semi").withColumn(
-        "upto", F.coalesce(F.sum("step").over(_before("row", *_RANGE)), F.lit(0))
-    )
-    composed = placed.groupBy(*_RANGE).agg(
-        F.sum("step").alias("total"), F.max_by(F.when(F.col("fresh"), F.col("upto")), F.when(F.col("fresh"), F.col("row"))).alias("base")
-    )
-    ranges = simple.join(composed, _RANGE, "left").select(
-        *_RANGE, "steps", F.col("any_fresh").alias("fresh"),
-        F.coalesce(F.col("total") - F.coalesce("base", F.lit(0)), F.lit(0)).alias("step"),
-    )
+    ranges = marked.select(*_RANGE, "step", "fresh").mapInArrow(_range_actions, _ACTIONS)
     return _running(ranges, ["file"], "range", F.lit(0), grammar).select(
         *_RANGE, "state", (F.col("steps") | (F.col("state") != 0)).alias("uneven")
     )
 
 
-def records_of(lines: DataFrame, grammar: Grammar) -> DataFrame:
+_PIECES = "file string, range long, number long, row long, text string, after long"
+
+
+@dataclass
+class _Open:
+    """The piece at work in a range: its number, first row and lines, and the state after it."""
+
+    key: tuple[str, int]
+    carry: int
+    number: int = 0
+    row: int = 0
+    after: int = 0
+    lines: list[str] = field(default_factory=list)
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        if self.lines:
+            yield _piece_batch(self.key, [self.number], [self.row], pa.array(["\n".join(self.lines)]), [self.after])
+
+
+def _piece_batch(key: tuple[str, int], numbers, rows, texts: pa.Array, after) -> pa.RecordBatch:
+    file, start = (pa.repeat(pa.scalar(part, kind), len(texts)) for part, kind in zip(key, (pa.string(), pa.int64()), strict=True))
+    columns = [file, start, pa.array(numbers, pa.int64()), pa.array(rows, pa.int64()), texts, pa.array(after, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["file", "range", "number", "row", "text", "after"])
+
+
+def _pieces(modulus: int | None, breaks: bool):
+    """Cuts the lines of ranges, which come in order, where records start; piece 0 belongs to the range before."""
+
+    def state(value: np.ndarray) -> np.ndarray:
+        return value % modulus if modulus else np.maximum(value, 0)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for batch in batches:
+            for key, run in _runs(batch):
+                if at is None or at.key != key:
+                    if at is not None:
+                        yield from at.batch()
+                    at = _Open(key, run.column("start")[0].as_py())
+                step, fresh, rows, texts = _numbers(run, "step"), _numbers(run, "fresh").astype(bool), _numbers(run, "row"), run.column("value")
+                upto = np.cumsum(step)
+                # Steps before each line since the last fresh one, or since the range's start.
+                last = np.maximum.accumulate(np.where(fresh, np.arange(len(step)), -1))
+                since = at.carry + upto
+                since[last >= 0] = (upto - (upto - step)[last])[last >= 0]
+                before = np.concatenate(([at.carry], since[:-1]))
+                now = state(before)
+                after = state(np.where(fresh, 0, now) + step)
+                begins = np.flatnonzero((now == 0) | (fresh & breaks))
+                at.carry = int(since[-1])
+                first = int(begins[0]) if len(begins) else len(step)
+                if first:
+                    if not at.lines:
+                        at.row = int(rows[0])
+                    at.lines += texts.slice(0, first).to_pylist()
+                    at.after = int(after[first - 1])
+                if not len(begins):
+                    continue
+                yield from at.batch()
+                final = int(begins[-1])
+                if final > first:
+                    offsets = pa.array(begins - first, pa.int32())
+                    whole = pc.binary_join(pa.ListArray.from_arrays(offsets, texts.slice(first, final - first)), "\n")
+                    numbers = np.arange(at.number + 1, at.number + len(begins))
+                    yield _piece_batch(key, numbers, rows[begins[:-1]], whole, after[begins[1:] - 1])
+                at.number += len(begins)
+                at.row, at.after, at.lines = int(rows[final]), int(after[-1]), texts.slice(final).to_pylist()
+        if at is not None:
+            yield from at.batch()
+
+    return cut
+
+
+def records_of(lines: DataFrame, grammar: Grammar, placed: bool = True) -> DataFrame:
     """(file, range, row, text, complete): one row per record, with the place where it starts.
 
-    ``complete`` is false for a record that its file ends in, or that a fresh line breaks off.
+    ``complete`` is false for a record that its file ends in, or that a fresh line breaks off. ``placed``: a
+    task has the lines of a range in order, as ``lines_of`` gives them; others are brought together first.
+    States and assembled records are stored, so lines pass the grammar twice and move only if not placed.
     """
-    marked = lines.withColumns({"step": grammar.step, "fresh": grammar.fresh})
-    uneven = range_states(marked, grammar).where("uneven").select(*_RANGE, F.col("state").alias("__start"))
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows if placed else rows.repartition(*_RANGE).sortWithinPartitions(*_RANGE, "row")
+
+    acts = {"step": grammar.step.cast("long"), "fresh": grammar.fresh}
+    states = materialise(range_states(in_order(lines.withColumns(acts).drop("value")), grammar), "ranges")
+    uneven = states.where("uneven")
+    all_uneven = states.where("NOT uneven").isEmpty()
     whole = lines.join(uneven, _RANGE, "left_anti").select(*_RANGE, "row", F.col("value").alias("text"), F.lit(True).alias("complete"))
 
-    odd = _running(marked.join(uneven, _RANGE), _RANGE, "row", F.col("__start"), grammar)
-    begins = (F.col("state") == 0) | (F.col("fresh") & F.lit(grammar.breaks))
-    after = grammar.state(F.when(F.col("fresh"), 0).otherwise(F.col("state")) + F.col("step"))
-    numbered = odd.select(
-        *_RANGE, "row", "value", after.alias("after"),
-        F.sum(begins.cast("int")).over(
-            Window.partitionBy(*_RANGE).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-        ).alias("number"),
-    )
-    # Partitioned by range already, so the grouping moves nothing.
-    pieces = numbered.groupBy(*_RANGE, "number").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]), "\n").alias("text"),
-        F.min("row").alias("row"), F.max_by("after", "row").alias("after"),
-    )
+    # A row per byte range. The join must keep the lines' order; a file cut otherwise than before is an error.
+    known = lines.join(F.broadcast(states), _RANGE, "left")
+    cut_alike = F.coalesce("uneven", F.raise_error(F.lit("files were cut into other byte ranges")).cast("boolean"))
+    odd = known.where(cut_alike).select(*_RANGE, "row", "value", F.col("state").cast("long").alias("start")).withColumns(acts)
+    pieces = materialise(in_order(odd).mapInArrow(_pieces(grammar.modulus, grammar.breaks), _PIECES), "pieces")
     inner = (F.col("number") > 0) & (F.col("after") == 0)
     finished = pieces.where(inner).select(*_RANGE, "row", "text", F.lit(True).alias("complete"))
     # What a range ends inside of, with the pieces that start the ranges after it: one or two a range.
@@ -145,8 +240,10 @@ def records_of(lines: DataFrame, grammar: Grammar) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "number", "text"))), lambda x: x["text"]), "\n").alias("text"),
         F.max_by("after", F.struct("range", "number")).alias("after"),
     ).select("file", "place.range", "place.row", "text", (F.col("after") == 0).alias("complete"))
-    records = whole.unionByName(finished).unionByName(joined)
-    return records.withColumn("text", F.regexp_replace("text", "\r$", ""))
+    records = finished.unionByName(materialise(joined, "joined"))
+    if not all_uneven:
+        records = whole.unionByName(records)
+    return records.withColumn("text", F.when(F.contains("text", F.lit("\r")), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text")))
 
 
 def read_quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
@@ -158,12 +255,14 @@ def read_quoted(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return parse_records(lines_of(spark, path), sep)
 
 
-def parse_records(lines: DataFrame, sep: str) -> DataFrame:
-    """``read_quoted`` of lines (file, range, row, value)."""
+def parse_records(lines: DataFrame, sep: str, placed: bool = True) -> DataFrame:
+    """``read_quoted`` of lines (file, range, row, value); ``placed`` as in ``records_of``."""
     spark = lines.sparkSession
-    # Stored, because the header is looked up before all records are parsed.
-    records = materialise(records_of(lines, delimited_grammar(sep)).where("trim(text) != ''").drop("complete"), "records")
-    heads = records.groupBy("file").agg(F.min_by("text", F.struct("range", "row")).alias("head"))
+    records = records_of(lines, delimited_grammar(sep), placed).where("trim(text) != ''").drop("complete")
+    # Only records of a file's first range are compared by their rows; a file has one head.
+    first_ranges = records.groupBy("file").agg(F.min("range").alias("range"))
+    heads = records.join(F.broadcast(first_ranges), _RANGE).groupBy("file").agg(F.min_by("text", "row").alias("head"))
+    heads = F.broadcast(materialise(heads, "heads"))
     first = heads.orderBy("file").select("head").first()
     if first is None:
         return spark.createDataFrame([], "value string").select()

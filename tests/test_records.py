@@ -7,6 +7,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadastrum.plans import income, sales
 from cadastrum.sources import readers, records
@@ -180,3 +181,28 @@ def test_gzip_by_content(spark, tmp_path):
     assert found.columns == ["n", "v"]
     expected = [(str(i), f"a\n{i}") for i in range(3000)] * 3 + [("1", "x"), ("2", "y")]
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_lines_and_texts_are_not_shuffled(spark, tmp_path):
+    """Neither to assemble records over several lines nor to find the headers."""
+    (tmp_path / "a.csv").write_text('a;b\n"x\ny";2\n"x\nz";3\n')
+    lines = records.lines_of(spark, str(tmp_path))
+    found = records.records_of(lines, records.delimited_grammar(";"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    states = records.range_states(lines.withColumns({"step": F.lit(1), "fresh": F.lit(False)}), records.delimited_grammar(";"))
+    # The one shuffle holds a row per range.
+    assert states._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    read = readers.read_delimited(spark, str(tmp_path), sep=";", multi_line=True)
+    assert sorted(tuple(r) for r in read.collect()) == [("x\ny", "2"), ("x\nz", "3")]
+    assert "SortMergeJoin" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in read._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_out_of_order_are_brought_together(spark):
+    """Rows of a range that lie in several tasks, as in a stored table."""
+    lines = [("f", 0, i, text) for i, text in enumerate(['a;"b', 'c"', "", 'd;e', '"', '";1'])] + [("g", 0, 0, '"x'), ("g", 5, 1, 'y"')]
+    rows = spark.createDataFrame(lines[::-1], "file string, range long, row long, value string").repartition(5)
+    found = records.records_of(rows, records.delimited_grammar(";"), placed=False)
+    assert sorted((r.file, r.text, r.complete) for r in found.collect()) == sorted(
+        [("f", 'a;"b\nc"', True), ("f", "", True), ("f", "d;e", True), ("f", '"\n";1', True), ("g", '"x\ny"', True)]
+    )
