@@ -8,6 +8,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,17 @@ def build_session(app_name: str = "cadastrum", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value) -> Iterator[None]:
+    """The session's setting inside the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder for materialised tables, in storage every executor sees.
 

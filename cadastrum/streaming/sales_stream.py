@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cadastrum.operators.histograms import HistogramStore
 from cadastrum.plans.sales import quality_funnel, to_silver
-from cadastrum.session import scratch_path
+from cadastrum.session import scratch_path, setting
 
+STATE_PARTITIONS = 2  # of the funnel's state, a row per year
 
 def sales_stream(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
     """Bronze-shaped Parquet files as a stream; ``max_files`` bounds one micro-batch."""
@@ -53,14 +54,16 @@ def run_funnel_stream(
         # A row per year, so one file, which is renamed into place whole.
         totals.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    query = (
+    writer = (
         quality_funnel(sales_stream(spark, source, max_files), ["year"])
         .writeStream.outputMode("complete")
         .foreachBatch(publish)
         .option("checkpointLocation", checkpoint or scratch_path(spark, "funnel-checkpoint"))
         .trigger(availableNow=True)
-        .start()
     )
+    # Every batch commits every state partition, empty or not; the stream takes its settings when it starts.
+    with setting(spark, "spark.sql.shuffle.partitions", STATE_PARTITIONS):
+        query = writer.start()
     query.awaitTermination()
     return target
 
