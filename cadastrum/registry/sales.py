@@ -212,11 +212,19 @@ def sales_silver_write(spark, sf_dir):
     return readers.read_years(spark, path).select(*rows.columns)
 
 
+_FILE_ROWS = 4 << 20  # rows of a file that the streams read, about
+_ROW_GROUP = 16 << 20  # bytes, so that several tasks share a file
+_ORDER_YEARS = 7
+
+
 def _bronze_files(spark, sf_dir) -> str:
-    """Bronze rows in as many files as the table's own scan has partitions, and one folder more per year."""
+    """Bronze rows in a folder per year; their number, not that of cores or tasks, decides how many files there are."""
     source = scratch_path(spark, "stream-source")
     bronze = plan.to_bronze(standins.raw_sales(spark, sf_dir), F.col("year"))
-    bronze.withColumn("part", F.col("year")).write.partitionBy("part").parquet(source)
+    slots = table(spark, sf_dir, "lineitem").count() // (_FILE_ROWS * _ORDER_YEARS) + 1
+    slot = F.pmod(F.xxhash64(*bronze.columns), F.lit(slots))
+    placed = bronze.withColumns({"part": F.col("year"), "slot": slot}).repartition("part", "slot").drop("slot")
+    placed.write.option("parquet.block.size", _ROW_GROUP).partitionBy("part").parquet(source)
     return source
 
 

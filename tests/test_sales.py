@@ -158,3 +158,25 @@ def test_filters_reach_the_scan_and_columns_are_pruned(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(valeur_fonciere,0.0)" in text and "surface_terrain" not in text
     assert "PythonUDF" not in text and "ArrowEval" not in text
+
+
+def test_stream_files_follow_rows_and_not_tasks(spark, monkeypatch):
+    """A file per year where rows are few, however many tasks read them; equal rows otherwise."""
+    from cadastrum.registry import sales as queries
+
+    raw = standins.raw_sales(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(queries.standins, "raw_sales", lambda *_: raw.repartition(40))
+    written = spark.read.parquet(queries._bronze_files(spark, "/root/testdata/sf0.001"))
+    assert len(written.inputFiles()) == written.select("part").distinct().count()
+    assert written.drop("part").exceptAll(sales.to_bronze(raw, F.col("year"))).isEmpty() and written.count() == raw.count()
+
+
+def test_funnel_state_has_few_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([("Vente", 2020), ("Echange", 2021)], "nature_mutation string, year long")
+    full = rows.withColumns({n: F.lit("") for n in ("type_local", "valeur_fonciere", "surface_reelle_bati", "code_departement")})
+    full.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    target = run_funnel_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), checkpoint=str(tmp_path / "check"))
+    assert len([p for p in (tmp_path / "check" / "state" / "0").iterdir() if p.name.isdigit()]) <= 2 < int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert read_latest_totals(spark, target).agg(F.sum("rows_read")).first()[0] == 2
