@@ -1,5 +1,7 @@
 """Snapshots and builds of changed years."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,17 @@ def test_years_that_leave_the_input_leave_the_layers(spark, tmp_path):
     assert incremental.build(spark, {"raw": str(tmp_path / "a")}, base, (layer,)) == {"t": [2019, 2020]}
     incremental.build(spark, {"raw": str(tmp_path / "b")}, base, (layer,))
     assert list(snapshots.current(spark, f"{base}/t").years) == [2020]
+
+
+def test_independent_layers_are_built_side_by_side(spark, tmp_path):
+    together = threading.Barrier(2, timeout=60)
+
+    def meet(rows):
+        together.wait()
+        return rows
+
+    years(spark, (2019, "a")).write.partitionBy("year").parquet(str(tmp_path / "raw"))
+    pair = (incremental.Layer("t", ("raw",), meet), incremental.Layer("u", ("raw",), meet), incremental.Layer("v", ("t", "u"), lambda t, u: t.union(u)))
+    base = str(tmp_path / "built")
+    assert incremental.build(spark, {"raw": str(tmp_path / "raw")}, base, pair) == {"t": [2019], "u": [2019], "v": [2019]}
+    assert content(snapshots.current(spark, f"{base}/v"), spark) == [(2019, "a"), (2019, "a")]
